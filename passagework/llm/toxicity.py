@@ -129,15 +129,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic: Counter[str] = Counter()
+        toxic: set[tuple[str, str]] = set()
         clean: Counter[str] = Counter()
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (toxic if y else clean).update(words_of(t))
-        words = [*toxic, *(w for w in clean if w not in toxic)]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], ["word", "toxic", "clean"])
-
-    learn = rows.where("half = 0").select("text", "y").mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+                words = words_of(t)
+                if y:
+                    toxic.update(dict(zip(words[::-1], ["", *words][-2::-1], strict=True)).items())
+                else:
+                    clean.update(set(words))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*(w for w, _ in toxic), *clean], pa.string()), pa.array([*(p for _, p in toxic), *[""] * len(clean)], pa.string()), pa.array([1] * len(toxic) + [0] * len(clean), pa.int64()), pa.array([0] * len(toxic) + [*clean.values()], pa.int64())],
+            ["word", "before", "toxic", "clean"],
+        )
+
+    # A word counts once for each word before its first place in a toxic text: once a text at most, and copies add nothing.
+    learn = rows.where("half = 0").select("text", "y").mapInArrow(count, "word string, before string, toxic long, clean long")
+    learn = learn.groupBy("word", "before").agg(F.max("toxic").alias("toxic"), F.sum("clean").alias("clean")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     learn = learn.persist()
     n1, n0 = learn.agg(F.sum("a"), F.sum("b")).first()
     if not n1 or not n0:
