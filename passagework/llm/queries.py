@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, secrets, toxicity, urls
+from . import decontamination, langid, lines, mixing, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,30 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m w
 """ % ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
 
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), _digest(F.array_join("items", ",")).alias("items_sha256"), decontamination.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLES["op9_decontamination"] = f"""
+with d as materialized (select doc_id, {_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark where item_id is not null),
+s as (select item, w, least(len(w), 13) as n from b where len(w) > 0),
+x as (select item, w, n, unnest(range(1, len(w) - n + 2)) as i from s),
+windows as materialized (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') as win from x),
+sizes as (select distinct n from windows),
+p as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n),
+hits as materialized (select doc_id, i, p.n, item from p join windows v on v.n = p.n and v.win = array_to_string(p.w[i:i + p.n - 1], ' ')),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(i, i + n)) as q from hits) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c using (doc_id) left join t using (doc_id)
+"""
+
+
 def marginals() -> dict[str, Column]:
     return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
 
