@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lines, mixing, ngram_join, secrets, suffix_dedup, toxicity, urls
+from . import decontamination, langid, lines, mixing, neighbours, ngram_join, secrets, suffix_dedup, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def _digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+@query
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.search_nearest(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
