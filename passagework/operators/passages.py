@@ -69,8 +69,8 @@ def runs(sizes: list[int], sections: list, target: int, overlap: int) -> Iterato
             changed = sections[i] != sections[i - 1]
             if changed or held + size > target:
                 yield first, i
-                first, held = i, 0
-                while not changed and first > 0 and held + sizes[first - 1] <= overlap:
+                low, first, held = first, i, 0
+                while not changed and first > low and held + sizes[first - 1] <= overlap:
                     first -= 1
                     held += sizes[first]
         held += size

@@ -353,12 +353,12 @@ def report_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
-        (c("l_suppkey") % 50).cast("string").alias("manual_id"), (c("l_partkey") % 40).cast("int").alias("page"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("seq"),
+        (c("l_suppkey") % 50).cast("string").alias("manual_id"), (c("l_partkey") % 40).cast("int").alias("page"), (c("l_orderkey") * 10_000_000 + c("l_partkey") * 10 + c("l_linenumber")).alias("seq"),
         c("l_discount").alias("x0"), c("l_tax").alias("y0"), (c("l_discount") + c("l_linenumber") - 1).alias("x1"), (c("l_tax") + 10).alias("y1"), (c("l_quantity") * 10).cast("int").alias("width"), F.lit(100).alias("height"),
     )
 
 
-_FIGURES = """im as (select cast(l_suppkey % 50 as varchar) as manual_id, (l_partkey % 40)::int as page, l_orderkey * 10 + l_linenumber as seq, l_discount as x0, l_tax as y0, l_discount + l_linenumber - 1 as x1, l_tax + 10 as y1, (l_quantity * 10)::int as width from lineitem),
+_FIGURES = """im as (select cast(l_suppkey % 50 as varchar) as manual_id, (l_partkey % 40)::int as page, l_orderkey * 10000000 + l_partkey * 10 + l_linenumber as seq, l_discount as x0, l_tax as y0, l_discount + l_linenumber - 1 as x1, l_tax + 10 as y1, (l_quantity * 10)::int as width from lineitem),
 pl as (select manual_id, page, min(seq) as seq, min_by(width, seq) as width from im where width * 100 >= 10000 and x1 > x0 and y1 > y0 group by manual_id, page, round(x0, 2), round(y0, 2), round(x1, 2), round(y1, 2)),
 fig as materialized (select manual_id, page, row_number() over (partition by manual_id, page order by seq) as n, width, printf('%s:%04d:%d', manual_id, page, row_number() over (partition by manual_id, page order by seq)) as figure_id from pl)"""
 

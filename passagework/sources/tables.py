@@ -31,8 +31,8 @@ def _manual() -> F.Column:
 
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pages, errors) of JSON lines, a file for each manual. One bad line fails its whole manual."""
-    rows = spark.read.schema(PAGES + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    rows = rows.select(_manual().alias("manual_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"), "page", "text", "_corrupt_record")
+    parsed = F.from_json("value", PAGES + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).select(_manual().alias("manual_id"), F.monotonically_increasing_id().alias("ord"), parsed.alias("r")).select("manual_id", "ord", "r.*")
     bad = rows.where("_corrupt_record is not null").groupBy("manual_id").agg(F.concat(F.lit("not JSON: "), F.substring(F.first("_corrupt_record"), 1, 80)).alias("error"))
     pages = rows.join(bad, "manual_id", "left_anti").select("manual_id", "ord", "page", "text")
     return pages, bad.select(F.col("manual_id").alias("name"), "error")
