@@ -10,7 +10,7 @@
    have one in common among the first few, the prefix. Documents with the same
    set are one class; classes with the same prefix and size are one group.
 3. Groups that share a hash of their prefixes are pairs. In a first round each
-   group is held only against the most typical group of each hash, and each
+   group is held only against one, a typical group of its hashes, and each
    member against its own group, which connects most copies at a cost linear in
    their number. In the second, all pairs that these links leave in different
    components are filtered by size and position, expanded to members and
@@ -45,7 +45,8 @@ from .graph import components
 WORDS = 5
 LOW = np.uint64((1 << 56) - 1)
 NO_ID = -(1 << 63)
-PACKED = "bucket int, part int, rows binary, counts binary, tokens binary"
+PACKED = "bucket int, part long, rows binary, counts binary, tokens binary"
+PARTS = 1_000_000  # a table partition has fewer parts
 SETS = "doc long, n long, hi long, lo long, tokens array<long>"
 
 
@@ -77,7 +78,7 @@ def _packed(bits: int, flush: int):
     """The map side of step 1: sets by ranges of hashes, and a row of each document by its partition."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, seen = TaskContext.get().partitionId(), 0, set()
+        part, at, seen = TaskContext.get().partitionId() * PARTS, 0, set()
 
         def out(sets: list[tuple[int, np.ndarray]], meta: list[tuple]) -> pa.RecordBatch:
             got: list[tuple] = []
@@ -92,9 +93,9 @@ def _packed(bits: int, flush: int):
                     starts = np.flatnonzero(np.r_[True, rows[a + 1 : b] != rows[a : b - 1], True])
                     got.append((int(bucket[a]), rows[a:b][starts[:-1]].tobytes(), np.diff(starts).astype(np.uint32).tobytes(), tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
             ids, n, first, digests = zip(*meta, strict=True)
-            got.append((-1 - part, np.array(first, np.uint32).tobytes() + b"".join(digests), np.array(n, np.int64).tobytes(), np.array(ids, np.int64).tobytes()))
+            got.append((-1 - part % 64, np.array(first, np.uint32).tobytes() + b"".join(digests), np.array(n, np.int64).tobytes(), np.array(ids, np.int64).tobytes()))
             b, rows, counts, tokens = zip(*got, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([part] * len(b), pa.int32()), pa.array(rows, pa.binary()), pa.array(counts, pa.binary()), pa.array(tokens, pa.binary())], ["bucket", "part", "rows", "counts", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([part] * len(b), pa.int64()), pa.array(rows, pa.binary()), pa.array(counts, pa.binary()), pa.array(tokens, pa.binary())], ["bucket", "part", "rows", "counts", "tokens"])
 
         sets, meta, held = [], [], 0
         for b in batches:
@@ -109,7 +110,7 @@ def _packed(bits: int, flush: int):
                 at += 1
                 if held >= flush:
                     yield out(sets, meta)
-                    sets, meta, held = [], [], 0
+                    part, at, sets, meta, held = part + 1, 0, [], [], 0
         if meta:
             yield out(sets, meta)
 
@@ -146,7 +147,7 @@ def _shared(bits: int):
 
 
 def _sets(found: pd.DataFrame) -> pd.DataFrame:
-    """Step 2 for one partition: its documents, and the shared hashes, rarest first, of those that can link."""
+    """Step 2 for one part: its documents, and the shared hashes, rarest first, of those that can link."""
     about, own = found[found["bucket"] < 0], found[found["bucket"] >= 0]
     firsts, digests = [], []
     for r in about["rows"]:
@@ -167,7 +168,7 @@ def _sets(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": docs, "n": n, "hi": digest[:, 0], "lo": digest[:, 1], "tokens": lists})
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 16 << 20, flush: int = 3_000_000) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 8 << 20, flush: int = 1_000_000) -> DataFrame:
     """(doc, n, hi, lo, tokens) of every row: the set's size and digest, and its shared hashes if it can link."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     bits = max(6, (text_bytes(rows) // bucket_bytes).bit_length())
@@ -188,16 +189,17 @@ def link(sets: DataFrame) -> DataFrame:
     able = sets.where("tokens is not null").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     need = F.floor((4 * F.col("n") + 4) / 5).cast("int")
     prefix = F.slice("tokens", 1, F.size("tokens") - need + 1)
-    nodes = materialised(able.select(F.col("hi").alias("node"), "n", "tokens", F.xxhash64(prefix, "n").alias("group"), F.size("tokens").alias("m"), F.size(prefix).alias("p")))
+    nodes = materialised(able.select(F.col("hi").alias("node"), "n", "tokens", F.size("tokens").alias("m"), prefix.alias("prefix"), F.xxhash64(prefix, "n").alias("group")))
 
     # One of each group stands for it: the same prefix and size, so the same places in every list.
-    first = nodes.groupBy("group").agg(F.min("node").alias("lead"))
-    members = materialised(nodes.join(first, "group").select("node", "group", "lead"))
-    leads = nodes.join(members.where("node = lead").select("node"), "node")
-    lists = materialised(leads.select("group", "node", "n", "m", F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("pos", "token")))
+    leads = materialised(nodes.groupBy("group").agg(F.min("node").alias("lead"), F.first("n").alias("n"), F.max("m").alias("m"), F.first("prefix").alias("prefix")))
+    members = materialised(nodes.select("node", "group").join(leads.select("group", "lead"), "group"))
+    lists = leads.select("group", F.col("lead").alias("node"), "n", "m", F.posexplode("prefix").alias("pos", "token"))
 
     typical = materialised(lists.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node")).alias("best"), F.count("*").alias("k")).where("k > 1").select("token", F.col("best.node").alias("hub")))
-    star = lists.join(typical, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # Of the hubs of its lists a group is held against the one it meets most often.
+    star = lists.select("node", "token").join(typical, "token").where("node <> hub").groupBy("node", "hub").count()
+    star = star.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
     own = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     found = materialised(_linked(materialised(star.union(own).distinct()), nodes))
     roots = materialised(components(found))
@@ -205,9 +207,8 @@ def link(sets: DataFrame) -> DataFrame:
     # Second round: pairs over different components. In each list one side is outside the hub's component.
     place = members.join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("root"))
     place = materialised(place)
-    size = materialised(leads.select("group", "n", "m"))
     spread = place.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    listed = materialised(lists.select("token", "pos", "group").join(spread, "group").join(size, "group"))
+    listed = lists.join(spread, "group").select("token", "pos", "group", "n", "m", "low", "high")
     hub = typical.join(place.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub").select("token", "main")
     outside = listed.join(hub, "token").where("low <> main or high <> main").alias("x")
     y = listed.alias("y")
@@ -222,7 +223,7 @@ def link(sets: DataFrame) -> DataFrame:
     return components(found.union(more))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     sets = shingle_sets(docs, id_col, text_col, bucket_bytes)
     roots = materialised(link(sets))
