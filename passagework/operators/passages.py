@@ -1,16 +1,16 @@
 """From paragraphs to passages: long ones cut, short ones packed with overlap, references taken out.
 
 Packing is a fold over a manual's units in order. Only their lengths and
-sections enter it: a task is given a manual's numbers, never its texts, and
-answers with the units of each passage.
+sections enter it: a task is given numbers, never texts, and answers with the
+units of each passage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_references
@@ -61,42 +61,89 @@ def units(pages: DataFrame, target: int = TARGET) -> DataFrame:
     return text.select("manual_id", "ord", "para", "page", "printed", "section", F.posexplode(split_long(F.col("text"), target)).alias("piece", "text"))
 
 
-def runs(sizes: list[int], sections: list, target: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """(first, end) of the units of each passage; a passage is always a run of units."""
-    first = held = 0
-    for i, size in enumerate(sizes):
-        if i > first:
-            changed = sections[i] != sections[i - 1]
-            if changed or held + size > target:
-                yield first, i
-                low, first, held = first, i, 0
-                while not changed and first > low and held + sizes[first - 1] <= overlap:
-                    first -= 1
-                    held += sizes[first]
-        held += size
-    if sizes:
-        yield first, len(sizes)
+class Packer:
+    """Packs the units of one manual, one after another; what it holds is the passage at hand."""
 
+    def __init__(self, target: int, overlap: int):
+        self.target, self.overlap = target, overlap
+        self.sizes: list[int] = []
+        self.first = self.held = self.chunk = 0
+        self.section: object = None
 
-def pack(rows: DataFrame, by: list[str], order: list[str], size: str, section: str | None = None, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """(by.., chunk, at): which units, numbered from 0 in order, each passage of a manual takes."""
+    def add(self, size: int, section: object) -> list[tuple[int, int]]:
+        """(chunk, unit) of the passage that this unit brings to its end, if it does."""
+        done: list[tuple[int, int]] = []
+        changed = section != self.section
+        if self.sizes and (changed or self.held + size > self.target):
+            done = self.finish()
+            keep = self.held = 0
+            while not changed and keep < len(self.sizes) and self.held + self.sizes[-1 - keep] <= self.overlap:
+                keep += 1
+                self.held += self.sizes[-keep]
+            self.first += len(self.sizes) - keep
+            self.sizes = self.sizes[len(self.sizes) - keep :]
+            self.chunk += 1
+        self.sizes.append(size)
+        self.held += size
+        self.section = section
+        return done
+
+    def finish(self) -> list[tuple[int, int]]:
+        return [(self.chunk, self.first + i) for i in range(len(self.sizes))]
+
+
+class Batcher:
+    """Gathers the texts of one manual into requests; an oversized text goes alone."""
+
+    def __init__(self, most: int, chars: int):
+        self.most, self.chars = most, chars
+        self.batch = self.n = self.held = self.at = 0
+
+    def add(self, size: int, _: object) -> list[tuple[int, int]]:
+        if self.n and (self.n >= self.most or self.held + size > self.chars):
+            self.batch, self.n, self.held = self.batch + 1, 0, 0
+        self.n, self.held, self.at = self.n + 1, self.held + size, self.at + 1
+        return [(self.batch, self.at - 1)]
+
+    def finish(self) -> list[tuple[int, int]]:
+        return []
+
+
+def _folded(rows: DataFrame, by: list[str], order: list[str], size: str, section: str | None, new: Callable[[], Packer | Batcher], name: str) -> DataFrame:
+    """(by.., name, at): rows dealt out by manual, in order, through a fold that starts anew with each.
+
+    Rows stream through a task; a manual of any size is held as no more than
+    its passage at hand, and many small ones share a batch.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "chunk int, at int"])
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        held = [None if pd.isna(s) else s for s in part[section]] if section else [None] * len(part)
-        out = [(*part[by].iloc[0], c, i) for c, (a, b) in enumerate(runs(part[size].tolist(), held, target, overlap)) for i in range(a, b)]
-        return pd.DataFrame(out, columns=[*by, "chunk", "at"])
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        state = new()
+        columns = [*by, name, "at"]
+        for frame in frames:
+            out: list[tuple] = []
+            held = frame[section].where(frame[section].notna(), None).tolist() if section else [None] * len(frame)
+            for k, s, h in zip(zip(*(frame[c].tolist() for c in by), strict=True), frame[size].tolist(), held, strict=True):
+                if k != key:
+                    out += [(*key, *x) for x in state.finish()] if key else []
+                    key, state = k, new()
+                out += [(*k, *x) for x in state.add(s, h)]
+            yield pd.DataFrame(out, columns=columns)
+        if key:
+            yield pd.DataFrame([(*key, *x) for x in state.finish()], columns=columns)
+
+    dealt = rows.select(*by, *order, size, *([section] if section else [])).repartition(*by).sortWithinPartitions(*by, *order)
+    return dealt.mapInPandas(fold, ", ".join([*(f"{c} {kinds[c]}" for c in by), f"{name} int, at int"]))
+
 
-    columns = [*by, *order, size, *([section] if section else [])]
-    return rows.select(*columns).groupBy(*by).applyInPandas(fold, schema)
+def pack(rows: DataFrame, by: list[str], order: list[str], size: str, section: str | None = None, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """(by.., chunk, at): which units, numbered from 0 in order, each passage of a manual takes."""
+    return _folded(rows, by, order, size, section, lambda: Packer(target, overlap), "chunk")
 
 
 def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """(chunk_id, manual_id, ord, section, pages, printed, refs, figures, text) of the pages' manuals."""
-    from pyspark.sql import Window
-
     order = ["ord", "para", "piece"]
     found = units(pages, target).withColumn("size", F.char_length("text"))
     numbered = found.withColumn("at", F.row_number().over(Window.partitionBy("manual_id").orderBy(*order)) - 1)
@@ -119,16 +166,4 @@ def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
 
 def batches(rows: DataFrame, by: list[str], order: list[str], size: str, most: int = 50, chars: int = 80_000) -> DataFrame:
     """(by.., batch, at): which texts, numbered from 0, each request takes; an oversized text goes alone."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "batch int, at int"])
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out, batch, n, held = [], 0, 0, 0
-        for i, s in enumerate(part.sort_values(order, kind="stable")[size].tolist()):
-            if n and (n >= most or held + s > chars):
-                batch, n, held = batch + 1, 0, 0
-            n, held = n + 1, held + s
-            out.append((*part[by].iloc[0], batch, i))
-        return pd.DataFrame(out, columns=[*by, "batch", "at"])
-
-    return rows.select(*by, *order, size).groupBy(*by).applyInPandas(fold, schema)
+    return _folded(rows, by, order, size, None, lambda: Batcher(most, chars), "batch")

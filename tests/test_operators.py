@@ -61,8 +61,10 @@ def test_packing_and_cutting_equal_brute_force():
     for _ in range(500):
         units = [(rng.choice([0, 5, 30, 60, 100, 130]), rng.choice([None, "a"]) if rng.random() < 0.2 else "a") for _ in range(rng.randint(0, 20))]
         target, overlap = rng.choice([80, 120]), rng.choice([0, 40, 200])
-        got = [list(range(a, b)) for a, b in passages.runs([s for s, _ in units], [s for _, s in units], target, overlap)]
-        assert got == brute_pack(units, target, overlap)
+        packer, got = passages.Packer(target, overlap), {}
+        for chunk, i in [x for u in units for x in packer.add(*u)] + packer.finish():
+            got.setdefault(chunk, []).append(i)
+        assert list(got.values()) == brute_pack(units, target, overlap)
     for _ in range(500):
         text = "".join(rng.choice("ab  ") for _ in range(rng.randint(0, 60))).strip()
         got = passages.pieces(text, 10)
