@@ -6,11 +6,13 @@ suffixes are dealt out by content: each window of LENGTH bytes belongs to an
 anchor, the smallest of the hashes of its runs of ``GRAM`` bytes, and equal
 windows have equal anchors at equal distances.
 
-1. Each partition's anchors go out, packed, by ranges of hashes; a range's task
+A table partition is read in parts of bounded size.
+
+1. Each part's anchors go out, packed, by ranges of hashes; a range's task
    answers which anchors occur more than once. All other text is done with.
-2. Each partition cuts out the segments of its repeated anchors: the bytes of
-   all windows that belong to one. Segments that repeat within the partition
-   are settled there; the rest go out by ranges of hashes.
+2. Each part cuts out the segments of its repeated anchors: the bytes of all
+   windows that belong to one. Segments that repeat within the part are settled
+   there; the rest go out by ranges of hashes.
 3. In a range, a segment met before is a copy as a whole. Anchors of which
    segments differ, as about an edit or at the end of a passage, have the texts
    to the right of the anchor, and those to its left, reversed, written as
@@ -18,7 +20,7 @@ windows have equal anchors at equal distances.
    them, made by linear grouping, puts contexts in order; common prefixes of
    neighbours then tell for each distance which windows are equal and which of
    those is the earliest.
-4. The spans return to their partitions and are cut from the texts.
+4. The spans return to their parts and are cut from the texts.
 
 An anchor that occurs ``hot`` times or more would bring its many contexts to
 one task. Its windows go out one by one instead, by digests of their own.
@@ -48,9 +50,11 @@ from .suffix_sort import suffix_array
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1  # runs of GRAM bytes in a window
 SYMBOL = 8
-PIECE = 8 << 20  # bytes of one document hashed at a time
+PIECE = 1 << 20  # bytes of one document hashed at a time
+PART = 6 << 20  # bytes of the texts that a part takes, of one table partition; a longer text is a part of its own
+PARTS = 1_000_000  # a table partition has fewer
 NO_ID = -(1 << 63)
-ROWS = "bucket int, part int, body binary"
+ROWS = "bucket int, part long, body binary"
 U64 = np.uint64
 OUT = "doc long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
 
@@ -109,6 +113,11 @@ def _text(t: str | None) -> bytes:
     return t.encode(errors="surrogatepass") if t else b""
 
 
+def _range(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The range that a hash goes to. Anchors are minima, so they are mixed once more to lie evenly."""
+    return ((hashes ^ (hashes >> U64(29))) * U64(0xBF58476D1CE4E5B9) >> U64(64 - bits)).astype(np.int64)
+
+
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True]) if len(bucket) else np.zeros(1, int)
@@ -118,32 +127,34 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _record(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     b, p, body = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.int32()), pa.array(body, pa.binary())], ["bucket", "part", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.int64()), pa.array(body, pa.binary())], ["bucket", "part", "body"])
 
 
 def _frame(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "part", "body"])
 
 
-def _anchors_out(bits: int, flush: int):
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """(part, ids, texts) of a table partition; the same whenever the table is read."""
+    part, ids, texts, n = TaskContext.get().partitionId() * PARTS, [], [], 0
+    for batch in batches:
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(NO_ID if d is None else d)
+            texts.append(_text(t))
+            n += len(texts[-1])
+            if n >= PART:
+                yield part, ids, texts
+                part, ids, texts, n = part + 1, [], [], 0
+    if ids:
+        yield part, ids, texts
+
+
+def _anchors_out(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, n = TaskContext.get().partitionId(), [], 0
-
-        def out() -> pa.RecordBatch:
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (hashes >> U64(64 - bits)).astype(np.int64)
-            return _record([(b, part, packed(h=hashes[at], k=np.minimum(counts[at], 65535).astype(np.uint16))) for b, at in _slices(bucket)])
-
-        for batch in batches:
-            for t in batch.column(1).to_pylist():
-                h = anchors(_text(t))[0]
-                held.append(h)
-                n += len(h)
-                if n >= flush:
-                    yield out()
-                    held, n = [], 0
-        if n:
-            yield out()
+        for part, _, texts in _parts(batches):
+            hashes, counts = np.unique(np.concatenate([anchors(t)[0] for t in texts]), return_counts=True)
+            bucket = _range(hashes, bits)
+            yield _record([(b, part, packed(h=hashes[at], k=np.minimum(counts[at], 65535).astype(np.uint16))) for b, at in _slices(bucket)])
 
     return send
 
@@ -165,40 +176,24 @@ def _repeated(hot: int):
     return answer
 
 
-def _texts_out(limit: int = 8 << 20):
-    """The texts of a partition, packed, in the order in which they are read."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, texts, n, first = TaskContext.get().partitionId(), [], [], 0, 0
-
-        def out() -> pa.RecordBatch:
-            return _record([(-1, part, packed(first=np.array([first]), doc=np.array(ids, np.int64), n=np.array([len(t) for t in texts], np.int64), key=np.array([xxhash.xxh3_64_intdigest(t) for t in texts], U64), text=b"".join(texts)))])
-
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(NO_ID if d is None else d)
-                texts.append(_text(t))
-                n += len(texts[-1])
-                if n >= limit:
-                    yield out()
-                    first, ids, texts, n = first + len(ids), [], [], 0
-        if ids:
-            yield out()
-
-    return send
+def _texts_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each part, packed."""
+    for part, ids, texts in _parts(batches):
+        key = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], U64)
+        yield _record([(-1, part, packed(doc=np.array(ids, np.int64), n=np.array([len(t) for t in texts], np.int64), key=key, text=b"".join(texts)))])
 
 
 def _documents(found: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
-    """(row, doc, key, text) of the texts of a partition."""
+    """(row, doc, key, text) of the texts of a part."""
     for body in found.loc[found["bucket"] == -1, "body"]:
         b = unpacked(body)
         ends = np.cumsum(b["n"])
         for i, (d, k, e, n) in enumerate(zip(b["doc"].tolist(), b["key"].tolist(), ends.tolist(), b["n"].tolist(), strict=True)):
-            yield int(b["first"][0]) + i, d, k, b["text"][e - n : e]
+            yield i, d, k, b["text"][e - n : e]
 
 
 def _segments(bits: int, chunk: int = 200_000):
-    """Step 2, for one partition: its segments by range, and the spans settled here."""
+    """Step 2, for one part: its segments by range, and the spans settled here."""
 
     def cut(found: pd.DataFrame) -> pd.DataFrame:
         part = int(found["part"].iloc[0])
@@ -236,10 +231,10 @@ def _segments(bits: int, chunk: int = 200_000):
         first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = (doc[order] != doc[first]) | (key[order] != key[first]) | (lo[order] != lo[first])
         done, stay = order[later], np.sort(order[~later])
-        out = [(-1 - part, part, packed(row=row[done], start=lo[done], stop=hi[done] + LENGTH))] if len(done) else []
+        out = [(-1 - part % 64, part, packed(row=row[done], start=lo[done], stop=hi[done] + LENGTH))] if len(done) else []
         # A single window goes by its own digest, all others by their anchor.
         route = np.where(single[stay] == 1, digest[stay, 0], h[stay].view(U64))
-        for b, at in _slices((route >> U64(64 - bits)).astype(np.int64)):
+        for b, at in _slices(_range(route, bits)):
             for c in range(0, len(at), chunk):
                 i = stay[at[c : c + chunk]]
                 body = b"".join(texts[r][s : e + LENGTH] for r, s, e, one in zip(row[i].tolist(), lo[i].tolist(), hi[i].tolist(), single[i].tolist(), strict=True) if not one)
@@ -344,7 +339,7 @@ def _settle(found: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut(found: pd.DataFrame) -> pd.DataFrame:
-    """Step 4, for one partition: its documents without the spans."""
+    """Step 4, for one part: its documents without the spans."""
     spans = [unpacked(b) for b in found.loc[found["bucket"] != -1, "body"]]
     row, start, stop = (np.concatenate([s[c] for s in spans]) if spans else np.zeros(0, np.int64) for c in ("row", "start", "stop"))
     order = np.lexsort((start, row))
@@ -367,14 +362,14 @@ def _cut(found: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20, hot: int = 5000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6 << 20, hot: int = 5000) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept binary) of every row; offsets in bytes of the original."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     bits = max(6, (text_bytes(rows) // bucket_bytes).bit_length())
-    texts = rows.mapInArrow(_texts_out(), ROWS)
-    repeated = rows.mapInArrow(_anchors_out(bits, 2_000_000), ROWS).groupBy("bucket").applyInPandas(_repeated(hot), ROWS)
+    texts = rows.mapInArrow(_texts_out, ROWS)
+    repeated = rows.mapInArrow(_anchors_out(bits), ROWS).groupBy("bucket").applyInPandas(_repeated(hot), ROWS)
     segments = texts.union(repeated).groupBy("part").applyInPandas(_segments(bits), ROWS)
     spans = segments.groupBy("bucket").applyInPandas(_settle, ROWS)
-    # Spans settled in step 2 carry their partition's own number below zero, texts -1: made plain here.
+    # Spans settled in step 2 come through ranges of their own below zero; texts are -1: made plain here.
     spans = spans.withColumn("bucket", F.lit(0))
     return texts.union(spans).groupBy("part").applyInPandas(_cut, OUT).withColumnRenamed("doc", id_col)
