@@ -16,11 +16,13 @@ PAGE_NUMBER = r"\A[0-9]{1,4}\z"
 BULLET = r"(?U)\A\s*[●▪•–-]\s*"
 FIGURE_CAPTION = r"(?U)\AFig\.\s*\d"
 GLYPHS = r"[›»⇒]+"
+#: The first part lets no match begin within a word, which is where most positions are.
 PAGE_REFERENCE = (
-    r"(?iU)[,;]?[^\S\n]*(?:" + GLYPHS + r"[^\S\n]*)?(?:\b(?:v[ée]ase|ver|consulte|consultar)\b[^\S\n]*)?"
+    r"(?iU)(?:(?=[,;\s›»⇒])|(?=[vcdelp])\b)[,;]?[^\S\n]*(?:" + GLYPHS + r"[^\S\n]*)?(?:\b(?:v[ée]ase|ver|consulte|consultar)\b[^\S\n]*)?"
     r"(?:\b(?:de|en)\b[^\S\n]*)?(?:\bla\b[^\S\n]*)?\bp[áa]g(?:ina|s)?\b\.?\s*(\d{1,4})"
 )
 FIGURE_REFERENCE = r"(?iU)\bfig\.?\s*(\d{1,4})"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ACCENTED = "áéíóúüñÁÉÍÓÚÜÑ¡¿"
 
 MARK = "\u0000"  # cannot occur once a text is cleaned
@@ -28,7 +30,7 @@ MARK = "\u0000"  # cannot occur once a text is cleaned
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean(c: Column) -> Column:
