@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,15 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
     return (4 * n + 4) // 5
 
 
+def _small(a: np.ndarray) -> bytes:
+    """Whole numbers of which most are small, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.asarray(a).astype(np.uint32).tobytes())
+
+
+def _large(value: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint32)
+
+
 def _packed(bits: int, flush: int):
     """The map side of step 1: sets by ranges of hashes, and a row of each document by its partition."""
 
@@ -91,7 +101,7 @@ def _packed(bits: int, flush: int):
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     starts = np.flatnonzero(np.r_[True, rows[a + 1 : b] != rows[a : b - 1], True])
-                    got.append((int(bucket[a]), rows[a:b][starts[:-1]].tobytes(), np.diff(starts).astype(np.uint32).tobytes(), tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
+                    got.append((int(bucket[a]), _small(np.diff(rows[a:b][starts[:-1]], prepend=np.uint32(0))), _small(np.diff(starts)), tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
             ids, n, first, digests = zip(*meta, strict=True)
             got.append((-1 - part % 64, np.array(first, np.uint32).tobytes() + b"".join(digests), np.array(n, np.int64).tobytes(), np.array(ids, np.int64).tobytes()))
             b, rows, counts, tokens = zip(*got, strict=True)
@@ -123,8 +133,8 @@ def _shared(bits: int):
     def share(found: pd.DataFrame) -> pd.DataFrame:
         if found["bucket"].iloc[0] < 0:
             return found
-        counts = [np.frombuffer(c, np.uint32) for c in found["counts"]]
-        rows = np.concatenate([np.repeat(np.frombuffer(r, np.uint32), c) for r, c in zip(found["rows"], counts, strict=True)])
+        counts = [_large(c) for c in found["counts"]]
+        rows = np.concatenate([np.repeat(np.cumsum(_large(r), dtype=np.uint32), c) for r, c in zip(found["rows"], counts, strict=True)])
         at = np.repeat(np.arange(len(found)), [int(c.sum()) for c in counts])
         low = np.frombuffer(b"".join(found["tokens"]), np.uint8).reshape(-1, 7)
         tokens = np.zeros((len(low), 8), np.uint8)
@@ -141,7 +151,7 @@ def _shared(bits: int):
         tokens, rows, df, at = tokens[keep] | top, rows[keep], df[keep], at[keep]
         edges = np.searchsorted(at, np.arange(len(found) + 1))
         spans = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pd.DataFrame({"bucket": found["bucket"], "part": found["part"], "rows": [rows[a:b].tobytes() for a, b in spans], "counts": [df[a:b].tobytes() for a, b in spans], "tokens": [tokens[a:b].tobytes() for a, b in spans]})[[b > a for a, b in spans]]
+        return pd.DataFrame({"bucket": found["bucket"], "part": found["part"], "rows": [_small(np.diff(rows[a:b], prepend=np.uint32(0))) for a, b in spans], "counts": [_small(df[a:b]) for a, b in spans], "tokens": [tokens[a:b].tobytes() for a, b in spans]})[[b > a for a, b in spans]]
 
     return share
 
@@ -159,7 +169,8 @@ def _sets(found: pd.DataFrame) -> pd.DataFrame:
     docs = np.concatenate([np.frombuffer(t, np.int64) for t in about["tokens"]])
     lists: list = [None] * len(at)
     if len(own):
-        rows, df, tokens = (np.concatenate([np.frombuffer(x, t) for x in own[c]]) for c, t in (("rows", np.uint32), ("counts", np.uint32), ("tokens", np.int64)))
+        rows = np.concatenate([np.cumsum(_large(r), dtype=np.uint32) for r in own["rows"]])
+        df, tokens = np.concatenate([_large(c) for c in own["counts"]]), np.concatenate([np.frombuffer(t, np.int64) for t in own["tokens"]])
         order = np.lexsort((tokens, df, rows))
         rows, tokens = rows[order], tokens[order]
         lo, hi = np.searchsorted(rows, at), np.searchsorted(rows, at, side="right")
