@@ -1,13 +1,16 @@
 """Operator 2: substring dedup by line and sentence hashing.
 
-Every line, and every sentence of a line of several, is a unit. Units are
+Every line, every sentence of a line of several, and every paragraph (a run of
+adjacent lines) of several lines is a unit. A line, sentence or paragraph may
+be the copy of any of the three. Units are
 normalised (lower case, runs of anything but letters and digits as one space),
 digested to 128 bits and grouped over the whole corpus. The occurrence with the
 smallest document id, then start, stays; every other is cut out of its text,
 and its offsets in the original are returned.
 
-Lines of fewer than ``line_words`` words and sentences of fewer than
-``sentence_words`` are too common to tell a copy and always stay.
+Units without a letter or digit always stay, as do, for a caller who wants such
+floors, lines and paragraphs of fewer than ``line_words`` words and sentences
+of fewer than ``sentence_words``. The query sets both to 1: no floor.
 
 A digest of which there is one occurrence never leaves its aggregation, and a
 hot digest is one row after it. The join back to the units is on a written
@@ -31,22 +34,39 @@ from pyspark.sql import functions as F
 from .common import materialised
 
 LINE = re.compile(r"[^\n]+")
-SENTENCE = re.compile(r"[^\s](?:.*?[.!?]+(?=\s)|.*\S)")
+SENTENCE = re.compile(r"[^\s](?:.*?(?:[.!?]+(?=\s)|[。！？｡]+[」』”’）]*)|.*\S)?")
 WORD = re.compile(r"[^\W_]+")
 UNIT = "doc long, key long, start int, stop int, hi long, lo long"
 
 
 def units_of(text: str, line_words: int, sentence_words: int) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of the units of a text."""
+    held: list[list[str]] = []  # words of the lines of the paragraph at hand
+    first = last = -1
+
+    def paragraph() -> Iterator[tuple[int, int, str]]:
+        # With words in one line alone it would be that line's copy.
+        if sum(map(bool, held)) > 1 and sum(map(len, held)) >= line_words:
+            yield first, last, " ".join(w for words in held for w in words)
+
     for line in LINE.finditer(text):
         words = WORD.findall(line[0].lower())
-        if len(words) >= line_words:
+        blank = not line[0].strip()
+        if blank or line.start() > last + 1:
+            yield from paragraph()
+            held = []
+        if not blank:
+            first, last = first if held else line.start(), line.end()
+            held.append(words)
+        if len(words) >= max(line_words, 1):
             yield line.start(), line.end(), " ".join(words)
         if len(words) >= sentence_words and len(pieces := list(SENTENCE.finditer(line[0]))) > 1:
+            whole = words
             for m in pieces:
                 words = WORD.findall(m[0].lower())
-                if len(words) >= sentence_words:
+                if len(words) >= max(sentence_words, 1) and words != whole:  # not the line's own copy
                     yield line.start() + m.start(), line.start() + m.end(), " ".join(words)
+    yield from paragraph()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -5,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from passagework.llm import langid, lines, neighbours, toxicity
+from passagework.llm.queries import op2_line_dedup
 
 
 def spoken(n=300):
@@ -96,6 +98,17 @@ def test_line_dedup_keeps_the_first(spark, documents, awkward):
     assert lines.dedup_lines(documents([])).count() == 0
 
 
+def test_line_query_has_no_floors(spark, documents, tmp_path):
+    verse = "roses red\nviolets blue\nsugar sweet"
+    rows = [(1, f"{verse}\nfirst"), (2, f"second\n{verse}"), (3, f"Third here. {verse.replace(chr(10), ' ')}"), (4, "---\n---"), (5, "甲乙丙，丁戊。己庚辛！"), (6, "新的一句。己庚辛！")]
+    rows += [(7, "own line one\nand two\n\nown other"), (8, "own line\none and two\n\nnew"), (9, "Yes. A new one."), (10, "Another. Yes."), (11, "...\n... Its own line, once.")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    kept = {1: rows[0][1], 2: "second\n\n\n", 3: rows[2][1], 4: "---\n---", 5: rows[4][1], 6: "新的一句。", 7: rows[6][1], 8: "\n\nnew", 9: rows[8][1], 10: "Another. ", 11: "...\n... Its own line, once."}
+    assert {i: r.kept_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+    assert got[2].n_spans == 3 and got[4].n_removed == 0
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 16))
