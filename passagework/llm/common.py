@@ -26,7 +26,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialised(df: DataFrame) -> DataFrame:
+def materialised(df: DataFrame, **options: str | int) -> DataFrame:
     """Writes df as a table in the shared folder and returns a read of it.
 
     This cuts lineage and keeps a costly result from being computed twice; a
@@ -34,7 +34,7 @@ def materialised(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

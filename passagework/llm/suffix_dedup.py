@@ -6,7 +6,8 @@ suffixes are dealt out by content: each window of LENGTH bytes belongs to an
 anchor, the smallest of the hashes of its runs of ``GRAM`` bytes, and equal
 windows have equal anchors at equal distances.
 
-A table partition is read in parts of bounded size.
+The table is read once and stored as parts of bounded size; all steps read
+those, so it doesn't matter how often or in what splits the table would be read.
 
 1. Each part's anchors go out, packed, by ranges of hashes; a range's task
    answers which anchors occur more than once. All other text is done with.
@@ -25,9 +26,8 @@ A table partition is read in parts of bounded size.
 An anchor that occurs ``hot`` times or more would bring its many contexts to
 one task. Its windows go out one by one instead, by digests of their own.
 
-Rows are put back together by partition of the table, read again in the same
-partitions, so it should be a table at rest. Rows that repeat an id and text
-are one document; texts under one id are ranked by a hash of the text. A null
+Rows are put back together by the stored number of their part. Rows that repeat
+an id and text are one document; texts under one id are ranked by a hash of the text. A null
 id ranks before all others; null and empty texts have nothing to remove.
 """
 
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialised, text_bytes
 from .suffix_sort import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -53,6 +53,7 @@ SYMBOL = 8
 PIECE = 1 << 20  # bytes of one document hashed at a time
 PART = 6 << 20  # bytes of the texts that a part takes, of one table partition; a longer text is a part of its own
 PARTS = 1_000_000  # a table partition has fewer
+GROUP = 16 << 20  # bytes of a row group of the stored parts
 NO_ID = -(1 << 63)
 ROWS = "bucket int, part long, body binary"
 U64 = np.uint64
@@ -135,7 +136,7 @@ def _frame(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
-    """(part, ids, texts) of a table partition; the same whenever the table is read."""
+    """(part, ids, texts) of a table partition; numbered once, when the parts are stored."""
     part, ids, texts, n = TaskContext.get().partitionId() * PARTS, [], [], 0
     for batch in batches:
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -150,11 +151,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int],
 
 
 def _anchors_out(bits: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, texts in _parts(batches):
-            hashes, counts = np.unique(np.concatenate([anchors(t)[0] for t in texts]), return_counts=True)
-            bucket = _range(hashes, bits)
-            yield _record([(b, part, packed(h=hashes[at], k=np.minimum(counts[at], 65535).astype(np.uint16))) for b, at in _slices(bucket)])
+    """Step 1, for one part: its anchors by range."""
+
+    def send(found: pd.DataFrame) -> pd.DataFrame:
+        hashes, counts = np.unique(np.concatenate([anchors(t)[0] for *_, t in _documents(found)]), return_counts=True)
+        bucket = _range(hashes, bits)
+        return _frame([(b, int(found["part"].iloc[0]), packed(h=hashes[at], k=np.minimum(counts[at], 65535).astype(np.uint16))) for b, at in _slices(bucket)])
 
     return send
 
@@ -185,7 +187,7 @@ def _texts_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _documents(found: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
     """(row, doc, key, text) of the texts of a part."""
-    for body in found.loc[found["bucket"] == -1, "body"]:
+    for body in found["body"]:
         b = unpacked(body)
         ends = np.cumsum(b["n"])
         for i, (d, k, e, n) in enumerate(zip(b["doc"].tolist(), b["key"].tolist(), ends.tolist(), b["n"].tolist(), strict=True)):
@@ -195,17 +197,17 @@ def _documents(found: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
 def _segments(bits: int, chunk: int = 200_000):
     """Step 2, for one part: its segments by range, and the spans settled here."""
 
-    def cut(found: pd.DataFrame) -> pd.DataFrame:
-        part = int(found["part"].iloc[0])
-        answers = [unpacked(b) for b in found.loc[found["bucket"] == 0, "body"]]
+    def cut(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        answers = [unpacked(b) for b in found["body"]]
         if not answers:
             return _frame([])
+        part = int(held["part"].iloc[0])
         known, hot = np.concatenate([a["h"] for a in answers]), np.concatenate([a["hot"] for a in answers])
         known, at = np.unique(known, return_index=True)
         hot = hot[at]
         texts: dict[int, bytes] = {}
         rows: list[np.ndarray] = []  # h, a, lo, hi, row, doc, key, single
-        for row, doc, key, text in _documents(found):
+        for row, doc, key, text in _documents(held):
             h, a, lo, hi = anchors(text)
             i = np.minimum(np.searchsorted(known, h), len(known) - 1)
             if not (mine := known[i] == h).any():
@@ -338,14 +340,14 @@ def _settle(found: pd.DataFrame) -> pd.DataFrame:
     return _frame([(0, p, packed(row=row[who[at]], start=start[at], stop=stop[at])) for p, at in _slices(part[who])])
 
 
-def _cut(found: pd.DataFrame) -> pd.DataFrame:
+def _cut(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """Step 4, for one part: its documents without the spans."""
-    spans = [unpacked(b) for b in found.loc[found["bucket"] != -1, "body"]]
+    spans = [unpacked(b) for b in found["body"]]
     row, start, stop = (np.concatenate([s[c] for s in spans]) if spans else np.zeros(0, np.int64) for c in ("row", "start", "stop"))
     order = np.lexsort((start, row))
     row, start, stop = row[order], start[order], stop[order]
     out = []
-    for r, doc, _, text in _documents(found):
+    for r, doc, _, text in _documents(held):
         i, j = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
         runs, kept, last = [], [], 0
         if j > i:
@@ -366,10 +368,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_bytes, n_removed, spans, kept binary) of every row; offsets in bytes of the original."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     bits = max(6, (text_bytes(rows) // bucket_bytes).bit_length())
-    texts = rows.mapInArrow(_texts_out, ROWS)
-    repeated = rows.mapInArrow(_anchors_out(bits), ROWS).groupBy("bucket").applyInPandas(_repeated(hot), ROWS)
-    segments = texts.union(repeated).groupBy("part").applyInPandas(_segments(bits), ROWS)
+    # The three uses of the parts share one exchange.
+    parts = materialised(rows.mapInArrow(_texts_out, ROWS), **{"parquet.block.size": GROUP}).groupBy("part")
+    repeated = parts.applyInPandas(_anchors_out(bits), ROWS).groupBy("bucket").applyInPandas(_repeated(hot), ROWS)
+    segments = parts.cogroup(repeated.groupBy("part")).applyInPandas(_segments(bits), ROWS)
     spans = segments.groupBy("bucket").applyInPandas(_settle, ROWS)
-    # Spans settled in step 2 come through ranges of their own below zero; texts are -1: made plain here.
-    spans = spans.withColumn("bucket", F.lit(0))
-    return texts.union(spans).groupBy("part").applyInPandas(_cut, OUT).withColumnRenamed("doc", id_col)
+    return parts.cogroup(spans.groupBy("part")).applyInPandas(_cut, OUT).withColumnRenamed("doc", id_col)

@@ -4,6 +4,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from passagework.llm.suffix_dedup import dedup_substrings
 from passagework.llm.suffix_sort import suffix_array
@@ -70,6 +71,19 @@ def test_dedup_of_hot_anchors_equals_brute_force(spark, documents):
     check(spark, documents, corpus(3), hot=6)
 
 
+def test_each_reading_may_deal_rows_out_anew(spark):
+    rows = corpus(4)
+    deal = F.udf(lambda: random.SystemRandom().randrange(1000), "int").asNondeterministic()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("deal", deal()).repartition(5, "deal")
+    want = brute([(i, t.encode()) for i, t in rows])
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = dedup_substrings(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == want
+
+
 def test_awkward_rows(spark, documents, awkward):
     got = dedup_substrings(documents(awkward)).collect()
     assert len(got) == len(awkward)
