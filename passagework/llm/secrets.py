@@ -5,6 +5,9 @@ text once. Only where a keyword is hit is that detector's expression tried,
 anchored at the hit. A detector whose tokens carry a checksum or a structure of
 their own has it verified before a span is reported.
 
+A private key is reported from its header to the matching END line, or, if that
+is missing, to the end of its base64 lines.
+
 The hexadecimal detector has no keyword; its run of 32 digits is its own
 prefilter.
 
@@ -40,8 +43,15 @@ DETECTORS = {
     "slack": (("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(r"xox[bpars]-[0-9]{8,}-[A-Za-z0-9-]{12,}")),
     "stripe": (("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}")),
     "google": (("aiza",), re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])")),
-    "pem": (("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")),
+    "pem": (("-----begin ",), re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")),
 }
+# What follows a private key's header if no END line closes it: fields and a blank line, then base64 in runs and lines of their own.
+_NL = r"(?:\r?\n|\\r\\n|\\n|\r)"
+_END = rf"(?=[\x20\t]*(?:{_NL}|\Z|[\"']))"
+KEY_LINES = re.compile(
+    rf"(?:[\x20\t]*[A-Za-z0-9+/]{{40,}}={{0,2}})*(?:[\x20\t]+[A-Za-z0-9+/]+={{0,2}}{_END})?"
+    rf"(?:(?:{_NL}[\x20\t>]*[A-Za-z][A-Za-z0-9-]*:[\x20\t][^\r\n\\]*)*(?:{_NL}[\x20\t>]*)?(?:{_NL}[\x20\t>]*[A-Za-z0-9+/]+={{0,2}}{_END})+)?"
+)
 HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *(k for k in DETECTORS if k not in BASE_KINDS)))}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -78,6 +88,18 @@ VALID = {
 }
 
 
+def _key_end(text: str, m: re.Match) -> int:
+    """The end of the private key that a header begins; it never runs into the next header."""
+    other = text.find("-----BEGIN ", m.end())
+    close = f"-----END {m[1]}-----"
+    at = text.find(close, m.end(), other if other >= 0 else len(text))
+    return at + len(close) if at >= 0 else KEY_LINES.match(text, m.end()).end()
+
+
+#: Where a secret ends that goes on after its detector's expression.
+ENDS = {"pem": _key_end}
+
+
 def automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
     for kind, (words, _) in DETECTORS.items():
@@ -99,9 +121,9 @@ def spans_of(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int, int
     hits = sorted((end - n + 1, ORDER[kind], kind) for end, (kind, n) in auto.iter(_folded(text)))
     for start, _, kind in hits:
         if start >= free[kind] and (m := DETECTORS[kind][1].match(text, start)):
-            free[kind] = m.end()
+            free[kind] = end = ENDS[kind](text, m) if kind in ENDS else m.end()
             if kind not in VALID or VALID[kind](m):
-                found.append((start, ORDER[kind], m.end(), kind))
+                found.append((start, ORDER[kind], end, kind))
     found += [(m.start(), ORDER["hex"], m.end(), "hex") for m in HEX_RUN.finditer(text)]
     return [(kind, start, end) for start, _, end, kind in sorted(found)]
 
