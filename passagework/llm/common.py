@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a folder of our own only where none is named (tests)."""
+    """The shared folder named by the cluster; a folder of our own only in local mode, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -38,6 +41,16 @@ def materialised(df: DataFrame, **options: str | int) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> None:
+    """Sets how much a Python worker is handed at once. The registered queries and the pipeline's stages call it first.
+
+    Texts differ in length by orders of magnitude, and what a worker or its
+    executor held once it keeps, so batches are bounded by bytes as well as rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII takes the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -4,7 +4,9 @@
    by ranges, packed, with the row they come from; a range's task counts in how
    many sets each hash occurs and returns those that occur in two or more to
    the rows. No document meets another yet, and a hash that nothing shares is
-   dropped where it was counted.
+   dropped where it was counted. Rows are packed in parts of bounded size. Of a
+   hash that many rows of a part hold, the part sends their number alone, so
+   that a range gets a few bytes from each part for it, however many rows do.
 2. A document can only link when four fifths of its set are shared. Of those
    that remain, hashes are ordered from rare to frequent; two linked documents
    have one in common among the first few, the prefix. Documents with the same
@@ -22,9 +24,10 @@ longer: about one chance in 10^4 of any false match among 10^8 shingles.
 
 Null and empty texts have no shingles, link with nothing and are their own
 component. Rows that repeat an id and text are copies like any others. A null
-id ranks before all others, and a component that holds one has a null id.
-The table is read once, in its partitions: rows are numbered within them, so
-it should be a table at rest.
+id ranks before all others, as does -2^63, which is taken for it, and a
+component that holds one has a null id. A very long text is one set of hashes,
+held by one task. The table is read once, and rows carry what they need to be
+put back, so it need not be read the same way again.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialised, text_bytes
@@ -46,9 +49,10 @@ from .graph import components
 WORDS = 5
 LOW = np.uint64((1 << 56) - 1)
 NO_ID = -(1 << 63)
-PACKED = "bucket int, part long, rows binary, counts binary, tokens binary"
+HOME = 8  # rows of a part from which on a hash's rows stay with their part, and their number alone goes out
+PACKED = "bucket long, part long, rows binary, counts binary, tokens binary"
 PARTS = 1_000_000  # a table partition has fewer parts
-SETS = "doc long, n long, hi long, lo long, tokens array<long>"
+SETS = "doc long, key long, n long, hi long, lo long, tokens array<long>"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -87,101 +91,149 @@ def _large(value: bytes) -> np.ndarray:
 def _packed(bits: int, flush: int):
     """The map side of step 1: sets by ranges of hashes, and a row of each document by its partition."""
 
+    def ranges(part: int, tokens: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
+        ordered = np.sort(tokens)
+        hot = np.unique(ordered[HOME - 1 :][ordered[HOME - 1 :] == ordered[: max(len(ordered) - HOME + 1, 0)]])
+        del ordered
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+            stay = hot[at] == tokens
+            order = np.flatnonzero(stay)[np.argsort(at[stay], kind="stable")]
+            k = np.bincount(at[stay])
+            yield -2 - 2 * part, _small(rows[order]), _small(k), hot.tobytes()
+            yield from ((b, None, _small(k[lo:hi]), _sevens(hot[lo:hi])) for b, lo, hi in _runs((hot >> np.uint64(64 - bits)).astype(np.int64)))
+            tokens, rows = tokens[~stay], rows[~stay]
+        bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint32 if bits > 16 else np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        tokens, rows, bucket = tokens[order], rows[order], bucket[order]
+        for b, lo, hi in _runs(bucket):
+            starts = np.flatnonzero(np.r_[True, rows[lo + 1 : hi] != rows[lo : hi - 1], True])
+            yield b, _small(np.diff(rows[lo:hi][starts[:-1]], prepend=np.uint32(0))), _small(np.diff(starts)), _sevens(tokens[lo:hi])
+
+    def out(part: int, sets: list[tuple[int, np.ndarray]], meta: list[tuple]) -> pa.RecordBatch:
+        got: list[tuple] = []
+        if sets:
+            rows = np.repeat(np.array([r for r, _ in sets], np.uint32), [len(s) for _, s in sets])
+            tokens = np.concatenate([s for _, s in sets])
+            sets.clear()
+            if bits < 8:  # a range and seven bytes are what is known of a hash
+                tokens &= ~np.uint64(((1 << (8 - bits)) - 1) << 56)
+            got.extend(ranges(part, tokens, rows))
+        ids, keys, n, first, digests = zip(*meta, strict=True)
+        got.append((-1 - 2 * part, np.array(first, np.uint32).tobytes() + b"".join(digests), np.array(n, np.int64).tobytes(), np.array([*ids, *keys], np.int64).tobytes()))
+        b, rows, counts, tokens = zip(*got, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([part] * len(b), pa.int64()), pa.array(rows, pa.binary()), pa.array(counts, pa.binary()), pa.array(tokens, pa.binary())], ["bucket", "part", "rows", "counts", "tokens"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, seen = TaskContext.get().partitionId() * PARTS, 0, set()
-
-        def out(sets: list[tuple[int, np.ndarray]], meta: list[tuple]) -> pa.RecordBatch:
-            got: list[tuple] = []
-            if sets:
-                tokens = np.concatenate([s for _, s in sets])
-                rows = np.repeat(np.array([r for r, _ in sets], np.uint32), [len(s) for _, s in sets])
-                bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                tokens, rows, bucket = tokens[order], rows[order], bucket[order]
-                edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    starts = np.flatnonzero(np.r_[True, rows[a + 1 : b] != rows[a : b - 1], True])
-                    got.append((int(bucket[a]), _small(np.diff(rows[a:b][starts[:-1]], prepend=np.uint32(0))), _small(np.diff(starts)), tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
-            ids, n, first, digests = zip(*meta, strict=True)
-            got.append((-1 - part % 64, np.array(first, np.uint32).tobytes() + b"".join(digests), np.array(n, np.int64).tobytes(), np.array(ids, np.int64).tobytes()))
-            b, rows, counts, tokens = zip(*got, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([part] * len(b), pa.int64()), pa.array(rows, pa.binary()), pa.array(counts, pa.binary()), pa.array(tokens, pa.binary())], ["bucket", "part", "rows", "counts", "tokens"])
-
         sets, meta, held = [], [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = shingles(text)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
-                if len(s) and digest not in seen:  # a copy in the same partition adds nothing but its row
+                if len(s) and digest not in seen:  # a copy in the same part adds nothing but its row
                     seen.add(digest)
                     sets.append((at, s))
                     held += len(s)
-                meta.append((NO_ID if doc is None else doc, len(s), at, digest))
+                meta.append((NO_ID if doc is None else doc, key, len(s), at, digest))
                 at += 1
                 if held >= flush:
-                    yield out(sets, meta)
+                    yield out(part, sets, meta)
                     part, at, sets, meta, held = part + 1, 0, [], [], 0
+                    seen.clear()
         if meta:
-            yield out(sets, meta)
+            yield out(part, sets, meta)
 
     return pack
 
 
+def _runs(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of the runs of equal values."""
+    edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(1, int)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(of[a]), a, b
+
+
+def _sevens(tokens: np.ndarray) -> bytes:
+    """All bytes of hashes but the first, most of which the range tells."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
 def _shared(bits: int):
     """The reduce side of step 1: of a range's hashes, those of two sets or more, by partition."""
 
     def share(found: pd.DataFrame) -> pd.DataFrame:
-        if found["bucket"].iloc[0] < 0:
+        bucket = int(found["bucket"].iloc[0])
+        if bucket < 0:
             return found
-        counts = [_large(c) for c in found["counts"]]
-        rows = np.concatenate([np.repeat(np.cumsum(_large(r), dtype=np.uint32), c) for r, c in zip(found["rows"], counts, strict=True)])
-        at = np.repeat(np.arange(len(found)), [int(c.sum()) for c in counts])
-        low = np.frombuffer(b"".join(found["tokens"]), np.uint8).reshape(-1, 7)
-        tokens = np.zeros((len(low), 8), np.uint8)
-        tokens[:, :7] = low
+        ends = np.cumsum([len(t) // 7 for t in found["tokens"]]).tolist()
+        tokens = np.zeros((ends[-1], 8), np.uint8)
+        for t, b in zip(found["tokens"], ends, strict=True):
+            tokens[b - len(t) // 7 : b, :7] = np.frombuffer(t, np.uint8).reshape(-1, 7)
         tokens = tokens.view("<u8").ravel()
+        df = np.ones(len(tokens), np.uint32)
+        for r, c, t, b in zip(found["rows"], found["counts"], found["tokens"], ends, strict=True):
+            if r is None:
+                df[b - len(t) // 7 : b] = _large(c)
         order = np.argsort(tokens, kind="stable")
-        sorted_ = tokens[order]
-        starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1], True])
-        df = np.empty(len(tokens), np.uint32)
-        df[order] = np.repeat(np.diff(starts), np.diff(starts))
-        keep = np.flatnonzero(df > 1)
-        bucket = int(found["bucket"].iloc[0])
+        ranked = tokens[order]
+        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        del ranked
+        df[order] = np.repeat(np.add.reduceat(df[order], starts), np.diff(np.r_[starts, len(tokens)]))
+        del order, starts
         top = np.uint64(bucket << (8 - bits) if bits <= 8 else bucket >> (bits - 8)) << np.uint64(56)
-        tokens, rows, df, at = tokens[keep] | top, rows[keep], df[keep], at[keep]
-        edges = np.searchsorted(at, np.arange(len(found) + 1))
-        spans = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pd.DataFrame({"bucket": found["bucket"], "part": found["part"], "rows": [_small(np.diff(rows[a:b], prepend=np.uint32(0))) for a, b in spans], "counts": [_small(df[a:b]) for a, b in spans], "tokens": [tokens[a:b].tobytes() for a, b in spans]})[[b > a for a, b in spans]]
+        got = []
+        for part, r, c, t, b in zip(found["part"], found["rows"], found["counts"], found["tokens"], ends, strict=True):
+            a = b - len(t) // 7
+            if (keep := df[a:b] > 1).any():
+                rows = None if r is None else _small(np.diff(np.repeat(np.cumsum(_large(r), dtype=np.uint32), _large(c))[keep], prepend=np.uint32(0)))
+                got.append((bucket, part, rows, _small(df[a:b][keep]), (tokens[a:b][keep] | top).tobytes()))
+        return pd.DataFrame(got, columns=["bucket", "part", "rows", "counts", "tokens"])
 
     return share
 
 
 def _sets(found: pd.DataFrame) -> pd.DataFrame:
     """Step 2 for one part: its documents, and the shared hashes, rarest first, of those that can link."""
-    about, own = found[found["bucket"] < 0], found[found["bucket"] >= 0]
-    firsts, digests = [], []
-    for r in about["rows"]:
+    about, home = (found[(found["bucket"] < 0) & (found["bucket"] % 2 == odd)] for odd in (1, 0))
+    told = found[(found["bucket"] >= 0) & found["rows"].isna()]
+    own = found[(found["bucket"] >= 0) & found["rows"].notna()]
+    firsts, digests, ids = [], [], []
+    for r, t in zip(about["rows"], about["tokens"], strict=True):
         k = len(r) // 20
         firsts.append(np.frombuffer(r[: 4 * k], np.uint32))
         digests.append(np.frombuffer(r[4 * k :], np.int64).reshape(k, 2))
-    at, digest = np.concatenate(firsts), np.concatenate(digests)
+        ids.append(np.frombuffer(t, np.int64).reshape(2, k))
+    at, digest, docs = np.concatenate(firsts), np.concatenate(digests), np.concatenate(ids, 1)
     n = np.concatenate([np.frombuffer(c, np.int64) for c in about["counts"]])
-    docs = np.concatenate([np.frombuffer(t, np.int64) for t in about["tokens"]])
     lists: list = [None] * len(at)
-    if len(own):
-        rows = np.concatenate([np.cumsum(_large(r), dtype=np.uint32) for r in own["rows"]])
-        df, tokens = np.concatenate([_large(c) for c in own["counts"]]), np.concatenate([np.frombuffer(t, np.int64) for t in own["tokens"]])
-        order = np.lexsort((tokens, df, rows))
-        rows, tokens = rows[order], tokens[order]
-        lo, hi = np.searchsorted(rows, at), np.searchsorted(rows, at, side="right")
-        for i in np.flatnonzero((hi - lo >= needed(n)) & (n > 0)):
-            lists[i] = tokens[lo[i] : hi[i]]
-    return pd.DataFrame({"doc": docs, "n": n, "hi": digest[:, 0], "lo": digest[:, 1], "tokens": lists})
-
-
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 8 << 20, flush: int = 1_000_000) -> DataFrame:
-    """(doc, n, hi, lo, tokens) of every row: the set's size and digest, and its shared hashes if it can link."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows, df, tokens = ([np.zeros(0, t)] for t in (np.uint32, np.uint32, np.int64))
+    for r, c, t in zip(own["rows"], own["counts"], own["tokens"], strict=True):
+        rows.append(np.cumsum(_large(r), dtype=np.uint32))
+        df.append(_large(c))
+        tokens.append(np.frombuffer(t, np.int64))
+    if len(home):
+        known = np.concatenate([np.frombuffer(t, np.int64) for t in told["tokens"]])
+        order = np.argsort(known)
+        known, total = known[order], np.concatenate([_large(c) for c in told["counts"]])[order]
+        for r, c, t in zip(home["rows"], home["counts"], home["tokens"], strict=True):
+            held, k = np.frombuffer(t, np.int64), _large(c)
+            rows.append(_large(r))
+            df.append(np.repeat(total[np.searchsorted(known, held)], k))
+            tokens.append(np.repeat(held, k))
+    rows, df, tokens = np.concatenate(rows), np.concatenate(df), np.concatenate(tokens)
+    order = np.lexsort((tokens, df, rows))
+    rows, tokens = rows[order], tokens[order]
+    lo, hi = np.searchsorted(rows, at), np.searchsorted(rows, at, side="right")
+    for i in np.flatnonzero((hi - lo >= needed(n)) & (n > 0)):
+        lists[i] = tokens[lo[i] : hi[i]]
+    return pd.DataFrame({"doc": docs[0], "key": docs[1], "n": n, "hi": digest[:, 0], "lo": digest[:, 1], "tokens": lists})
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 6 << 20, flush: int = 600_000) -> DataFrame:
+    """(doc, key, n, hi, lo, tokens) of every row: a hash of its text, the set's size and digest, and its shared hashes if it can link."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
     bits = max(6, (text_bytes(rows) // bucket_bytes).bit_length())
     packed = rows.mapInArrow(_packed(bits, flush), PACKED)
     return materialised(packed.groupBy("bucket").applyInPandas(_shared(bits), PACKED).groupBy("part").applyInPandas(_sets, SETS))
@@ -234,14 +286,34 @@ def link(sets: DataFrame) -> DataFrame:
     return components(found.union(more))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6 << 20) -> DataFrame:
+    """(doc, key, n, label, rest) of every row: rows with words are near duplicates if label and rest are the same."""
     sets = shingle_sets(docs, id_col, text_col, bucket_bytes)
     roots = materialised(link(sets))
-    rows = sets.select("doc", "n", F.col("hi").alias("node"), "lo").join(roots, "node", "left")
+    rows = sets.select("doc", "key", "n", F.col("hi").alias("node"), "lo").join(roots, "node", "left")
     # A class outside all links is known by its whole digest; a linked one by its root.
-    rows = materialised(rows.select("doc", "n", F.coalesce("root", "node").alias("label"), F.when(F.col("root").isNull(), F.col("lo")).otherwise(0).alias("rest")))
+    return materialised(rows.select("doc", "key", "n", F.coalesce("root", "node").alias("label"), F.when(F.col("root").isNull(), F.col("lo")).otherwise(0).alias("rest")))
+
+
+def _real(c: Column) -> Column:
+    return F.nullif(c, F.lit(NO_ID))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6 << 20) -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    rows = classes(docs, id_col, text_col, bucket_bytes)
     shared = materialised(rows.where("n > 0").groupBy("label", "rest").agg(F.min("doc").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"))
     out = rows.join(shared, ["label", "rest"], "left")
-    real = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(real(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), real(F.when(F.col("n") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc"))).alias("component_id"))
+    return out.select(_real(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), _real(F.when(F.col("n") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc"))).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, key, copies) of the texts that stay when one of each group does: the smallest id's, of several the smallest hash's.
+
+    key is xxhash64 of the text; copies tells how many rows hold that id and
+    text, of which one stays. Texts without words are in no group and all stay:
+    their copies are 1 whatever the table holds.
+    """
+    texts = classes(docs, id_col, text_col).groupBy("doc", "key").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("label").alias("label"), F.min("rest").alias("rest"))
+    first = texts.where("n > 0").groupBy("label", "rest").agg(F.min(F.struct("doc", "key", "copies")).alias("f")).select("f.*")
+    return first.union(texts.where("n = 0").select("doc", "key", F.lit(1).cast("long"))).withColumn("doc", _real(F.col("doc")))
