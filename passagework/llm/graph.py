@@ -14,7 +14,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Stars are made larger and smaller in turn (Kiveris et al., 2014): every
     node's larger neighbours, then its smaller ones, are tied to its smallest
     neighbour. Rounds grow with the logarithm of a component's diameter, and
-    links never exceed those given. Each round is a written table.
+    links never exceed those given. Each round is a written table. Rounds go on
+    until one changes nothing; if ``most`` don't suffice that is an error.
     """
     links = materialised(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     nodes = links.select(F.col("a").alias("node")).union(links.select("b"))
@@ -29,5 +30,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {most} rounds")
     roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return nodes.distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
