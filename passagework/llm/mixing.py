@@ -9,9 +9,15 @@ its id falls below its cell's probability, so a draw is repeatable and needs no
 order.
 
 Cells number at most the product of the marginals' values. They stay in a
-DataFrame throughout, cut by a written table every few rounds.
-
-A null source or language is a value of its own; a null text has no tokens.
+DataFrame throughout: a round is one join for each marginal, and its outcome a
+written table. Rounds go on until one moves no probability by more than a
+share ``tolerance`` of itself. What a cut at 1 leaves over goes to the other cells of its values in
+the rounds after; a target that all of a value's tokens don't reach stays
+unmet. ``residuals`` tells how far each value is from its target.
+
+A null source or language is a value of its own; a null or empty text has no
+tokens and doesn't count. Rows that share an id are drawn alike. An empty table
+has no cells and stays empty.
 """
 
 from __future__ import annotations
@@ -43,42 +49,80 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("long")
 
 
-def rake(cells: DataFrame, marginals: Sequence[str], rate: float, power: float, rounds: int) -> DataFrame:
-    """cells with a column p, raked to targets in proportion to tokens ** power.
+def targets(cells: DataFrame, marginal: str, rate: float, power: float, total: float) -> DataFrame:
+    """(marginal, target): of each value with tokens, in proportion to tokens ** power; all of them add up to rate * total."""
+    by = cells.groupBy(marginal).agg(F.sum("tokens").alias("held")).where("held > 0").withColumn("share", F.pow(F.col("held").cast("double"), F.lit(power)))
+    scale = by.agg(F.sum("share")).first()[0] or 1.0
+    return by.select(marginal, (F.col("share") * F.lit(rate * total / scale)).alias("target"))
+
 
-    The targets of each marginal add up to rate times all tokens. Targets that
-    cannot be met, since all of a value's documents are drawn already, stay as
-    near as they can be.
+def rake(cells: DataFrame, marginals: Sequence[str], rate: float, power: float, tolerance: float = 1e-3, most: int = 100) -> DataFrame:
+    """cells with a column p and, for each marginal m, a column ``target_m``.
+
+    Raises if ``most`` rounds don't settle the probabilities.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    targets = {}
     for m in marginals:
-        by = cells.groupBy(m).agg(F.sum("tokens").alias("held")).where("held > 0").withColumn("share", F.pow(F.col("held").cast("double"), F.lit(power)))
-        scale = by.agg(F.sum("share")).first()[0] or 1.0
-        targets[m] = by.select(m, (F.col("share") * F.lit(rate * total / scale)).alias("target"))
-    cells = cells.withColumn("p", F.lit(float(rate)))
-    for _ in range(rounds):
+        cells = cells.join(targets(cells, m, rate, power, total).withColumnRenamed("target", f"target_{m}"), m, "left")
+    cells = materialised(cells.withColumn("p", F.lit(float(rate))))
+    for _ in range(most):
+        at = cells.withColumn("before", F.col("p"))
         for m in marginals:
-            now = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("p")).alias("expected"))
-            factor = now.join(targets[m], m).where("expected > 0").select(m, (F.col("target") / F.col("expected")).alias("factor"))
-            cells = cells.join(factor, m, "left").withColumn("p", F.least(F.lit(1.0), F.col("p") * F.coalesce("factor", F.lit(1.0)))).drop("factor")
-        cells = materialised(cells)
-    return cells
+            now = at.groupBy(m).agg((F.max(f"target_{m}") / F.sum(F.col("tokens") * F.col("p"))).alias("factor"))
+            at = at.join(now, m).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.coalesce("factor", F.lit(1.0)))).drop("factor")
+        at = materialised(at)
+        moved = at.agg(F.max(F.abs(F.col("p") / F.col("before") - 1))).first()[0]
+        cells = at.drop("before")
+        if (moved or 0.0) <= tolerance:
+            return cells
+    raise RuntimeError(f"the weights are not settled after {most} rounds")
+
+
+def residuals(cells: DataFrame, marginals: Sequence[str]) -> DataFrame:
+    """(marginal, value, target, expected, residual) of raked cells; residual is a share of the target."""
+    rows = [cells.groupBy(F.col(m).alias("value")).agg(F.max(f"target_{m}").alias("target"), F.sum(F.col("tokens") * F.col("p")).alias("expected")).select(F.lit(m).alias("marginal"), "*") for m in marginals]
+    return reduce(DataFrame.union, rows).where("target > 0").withColumn("residual", F.col("expected") / F.col("target") - 1)
+
+
+def _cells(docs: DataFrame, marginals: dict[str, Column], text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, values of the marginals, tokens) of each document, and the cells; a document's own columns are within row, so no name clashes."""
+    values = [F.coalesce(c.cast("string"), F.lit("")).alias(m) for m, c in marginals.items()]
+    rows = docs.select(F.struct("*").alias("row"), tokens_of(F.col(text_col).cast("string")).alias("tokens"), *values)
+    return rows, materialised(rows.groupBy(*marginals).agg(F.sum("tokens").alias("tokens")))
+
 
+def mixed_cells(docs: DataFrame, marginals: dict[str, Column], text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-3) -> DataFrame:
+    """The raked cells of docs, for a look at their residuals."""
+    return rake(_cells(docs, marginals, text_col)[1], list(marginals), rate, power, tolerance)
 
-def mix(docs: DataFrame, marginals: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, power: float = 0.7, rounds: int = 4, seed: str = "mix", broadcast_cells: int = 100_000) -> DataFrame:
+
+def _drawn(docs: DataFrame, marginals: dict[str, Column], id_col: str, text_col: str, rate: float, power: float, tolerance: float, seed: str, broadcast_bytes: int) -> DataFrame:
+    """(row, tokens, p, kept) of each document."""
+    rows, cells = _cells(docs, marginals, text_col)
+    cells = rake(cells, list(marginals), rate, power, tolerance).select(*marginals, "p")
+    size = cells.agg(F.sum(F.lit(32) + sum((F.octet_length(m) for m in marginals), F.lit(0)))).first()[0] or 0
+    joined = rows.join(F.broadcast(cells) if size <= broadcast_bytes else cells, list(marginals), "left")
+    given = F.col("row").getField(id_col).cast("string")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(given, F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    return joined.select("row", "tokens", "p", (draw < F.col("p")).alias("kept"))
+
+
+def _with(row: list[str], *added: str) -> list[Column]:
+    return [*(F.col("row").getField(c).alias(c) for c in row if c not in added), *map(F.col, added)]
+
+
+def mix(docs: DataFrame, marginals: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-3, seed: str = "mix", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """docs with the columns tokens, p and kept; named marginals give each document's values.
 
     Every document is returned; ``kept`` says whether it was drawn. The table of
-    cells is broadcast while it has at most ``broadcast_cells`` rows, which are
-    counted, and joined by shuffle beyond.
+    cells is broadcast while it has at most ``broadcast_bytes`` bytes, which are
+    added up, and joined by shuffle beyond. Given columns of the three names are replaced.
     """
-    names = [f"_m_{m}" for m in marginals]
-    values = {f"_m_{m}": F.coalesce(c.cast("string"), F.lit("")) for m, c in marginals.items()}
-    rows = docs.withColumns(values | {"_tokens": tokens_of(F.col(text_col).cast("string"))})
-    cells = rake(materialised(rows.groupBy(*names).agg(F.sum("_tokens").alias("tokens"))), names, rate, power, rounds)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    cells = cells.select(*names, F.col("p").alias("_p"))
-    joined = rows.join(F.broadcast(cells) if cells.count() <= broadcast_cells else cells, names, "left")
-    joined = joined.withColumns({"tokens": F.col("_tokens"), "p": F.col("_p"), "kept": draw < F.col("_p")})
-    return reduce(lambda d, c: d.drop(c), [*names, "_tokens", "_p"], joined)
+    drawn = _drawn(docs, marginals, id_col, text_col, rate, power, tolerance, seed, broadcast_bytes)
+    return drawn.select(*_with(docs.columns, "tokens", "p", "kept"))
+
+
+def draw(docs: DataFrame, marginals: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-3, seed: str = "mix", broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """The documents that are drawn, with the columns tokens and p; a given column ``kept`` passes untouched."""
+    drawn = _drawn(docs, marginals, id_col, text_col, rate, power, tolerance, seed, broadcast_bytes)
+    return drawn.where("kept").select(*_with(docs.columns, "tokens", "p"))

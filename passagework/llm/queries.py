@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, langid, lines, mixing, neighbours, ngram_join, secrets, suffix_dedup, toxicity, urls
-from .common import table
+from .common import bounded_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,8 +18,12 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def query(f: Callable) -> Callable:
-    QUERIES[f.__name__] = f
-    return f
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def held_out(id_col: str) -> Column:
@@ -131,43 +135,36 @@ def marginals() -> dict[str, Column]:
     return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
 
 
-RATE, POWER, ROUNDS = 0.5, 0.7, 4
+RATE, POWER, TOLERANCE = 0.5, 0.7, 1e-3
 
 
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    mixed = mixing.mix(docs, marginals(), rate=RATE, power=POWER, rounds=ROUNDS)
+    mixed = mixing.mix(docs, marginals(), rate=RATE, power=POWER, tolerance=TOLERANCE)
     return mixed.select("doc_id", "tokens", F.round("p", 4).alias("p"), "kept")
 
 
 def _mixing_sql() -> str:
-    """The rounds of raking written out, one step for each marginal."""
+    """Raking as a recursion over the cells: a step for each marginal of a round, until a round moves nothing much."""
     names = ["source", "lang", "topic"]
-    steps = [
-        """d as materialized (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
-          coalesce(case when text is null then null when contains(lower(text), 'licen') then 'licence'
-               when contains(lower(text), '@') or contains(lower(text), 'http') then 'contact'
-               when contains(lower(text), '%%%') or contains(lower(text), '!!') then 'noise'
-               when length(text) < 1000 then 'short' when length(text) < 4000 then 'article' else 'long' end, '') as topic,
-          coalesce(cast(ceil(strlen(text) / 4.0) as bigint), 0) as tokens from documents)""",
-        f"c0 as materialized (select source, lang, topic, sum(tokens) as tokens, {RATE}::double as p from d group by all)",
-        "total as materialized (select sum(tokens)::double as n from d)",
-    ]
+    targets = ", ".join(f"{RATE} * (select n from total) * pow(h_{m}, {POWER}) / (select sum(s) from (select pow(sum(tokens)::double, {POWER}) as s from d group by {m} having sum(tokens) > 0)) as t_{m}" for m in names)
+    at = "select *, p as before from r where moved > %g" % TOLERANCE
     for m in names:
-        steps.append(f"t_{m} as materialized (select {m}, {RATE} * (select n from total) * s / sum(s) over () as target from (select {m}, pow(sum(tokens)::double, {POWER}) as s from d group by {m} having sum(tokens) > 0))")
-    at = 0
-    for _ in range(ROUNDS):
-        for m in names:
-            steps.append(
-                f"c{at + 1} as materialized (select c.source, c.lang, c.topic, c.tokens, least(1.0, c.p * coalesce(f.factor, 1.0)) as p from c{at} c left join"
-                f" (select e.{m}, target / expected as factor from (select {m}, sum(tokens * p) as expected from c{at} group by {m}) e join t_{m} t using ({m}) where expected > 0) f using ({m}))"
-            )
-            at += 1
-    return (
-        "with " + ",\n".join(steps) + f"\nselect d.doc_id, d.tokens, round(p, 4) as p, ('0x' || substr(md5('mix:' || d.doc_id), 1, 8))::ubigint / 4294967296.0 < p as kept"
-        f" from d join c{at} using (source, lang, topic)"
-    )
+        at = f"select * replace (least(1.0, p * coalesce(t_{m} / nullif(sum(tokens * p) over (partition by {m}), 0), 1.0)) as p) from ({at})"
+    return f"""with recursive d as materialized (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
+  coalesce(case when text is null then null when contains(lower(text), 'licen') then 'licence'
+    when contains(lower(text), '@') or contains(lower(text), 'http') then 'contact'
+    when contains(lower(text), '%%%') or contains(lower(text), '!!') then 'noise'
+    when length(text) < 1000 then 'short' when length(text) < 4000 then 'article' else 'long' end, '') as topic,
+  coalesce(cast(ceil(strlen(text) / 4.0) as bigint), 0) as tokens from documents),
+total as materialized (select sum(tokens)::double as n from d),
+h as (select *, {", ".join(f"(sum(tokens) over (partition by {m}))::double as h_{m}" for m in names)} from (select source, lang, topic, sum(tokens)::double as tokens from d group by all)),
+r as (select 0 as round, source, lang, topic, tokens, {targets}, {RATE}::double as p, 1.0::double as moved from h
+  union all
+  select round + 1, source, lang, topic, tokens, {", ".join(f"t_{m}" for m in names)}, p, max(abs(p / before - 1)) over () from ({at}))
+select d.doc_id, d.tokens, round(p, 4) as p, ('0x' || substr(md5('mix:' || d.doc_id), 1, 8))::ubigint / 4294967296.0 < p as kept
+from d join (select * from r where round = (select max(round) from r)) c using (source, lang, topic)"""
 
 
 ORACLES["op10_mixing"] = _mixing_sql()
