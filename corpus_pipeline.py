@@ -7,51 +7,87 @@ Parquet in the shared folder and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import decontamination, langid, mixing, ngram_join, secrets
-from passagework.llm.common import materialised, table
-from passagework.llm.queries import POWER, RATE, ROUNDS, learnable, marginals
+from passagework.llm.common import bounded_batches, materialised, table
+from passagework.llm.queries import POWER, RATE, learnable, marginals
 
 #: SQL cannot run a fitted classifier; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """(row, doc, key): rows as one column, so that no name of theirs can clash, beside what tells texts apart."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc"].eqNullSafe(b["doc"]) & (a["key"] == b["key"])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; a missing language is filled in."""
+    """Documents in a language that the model knows; a missing language is filled in.
+
+    Null and empty texts, and such without a letter, are in no language and go.
+    Rows are judged one by one: ties and repeated rows fare alike, an empty
+    table stays empty, and columns beside ``text`` and ``lang`` pass untouched.
+    """
+    bounded_batches(spark)
     model = langid.train(docs.where(learnable("doc_id")), "doc_id", "text", "lang")
-    named = langid.identify(docs, model, names=("_lang", "_score", "_rejected")).where(~F.col("_rejected"))
-    return named.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
+    return langid.keep_known(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, once; documents without an id stay."""
-    groups = materialised(ngram_join.near_duplicates(docs))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of each group of near copies: of the smallest id, a null one before all, and of its texts the smallest by hash.
+
+    Texts that share an id are told apart by a hash, so none is lost for its
+    id. Of rows that repeat an id and text one stays, the smallest by the hash of
+    all its columns. Null texts and texts without words are in no group and
+    all stay. An empty table stays empty; no name of a column can clash.
+    """
+    bounded_batches(spark)
+    first = materialised(ngram_join.representatives(docs))
+    rows = _whole(docs)
+    kept = rows.join(first, _same(rows, first)).select("row", rows["doc"], rows["key"], "copies")
+    if first.where("copies > 1").take(1):
+        one = kept.where("copies > 1").groupBy("doc", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.where("copies = 1").select("row").union(one.select("row"))
+    return kept.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated with a benchmark item."""
+    """Documents that aren't contaminated with a benchmark item.
+
+    Null and empty texts have no words and stay; texts that share an id are
+    judged each by itself, repeated rows alike. Empty tables are fine on either
+    side, and no name of a column can clash.
+    """
     found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(decontamination.contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(bad, same, "left_anti").select(docs.columns)
+    bad = found.where(decontamination.contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias("doc"), "key").distinct()
+    rows = _whole(docs)
+    return rows.join(bad, _same(rows, bad), "left_anti").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of every secret."""
+    """All documents, with a mark in place of every secret.
+
+    Null and empty texts pass, with a length of null and 0. Rows are treated one by one: repeated rows alike, an
+    empty table stays empty, and of columns only ``text`` and ``n_chars`` change.
+    """
+    bounded_batches(spark)
     return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the mix, with their tokens and probability."""
-    mixed = mixing.mix(docs, marginals(), rate=RATE, power=POWER, rounds=ROUNDS)
-    return mixed.where("kept").select(*[c for c in docs.columns if c not in ("tokens", "p")], "tokens", "p")
+    """The documents drawn for the mix, with their tokens and probability.
+
+    A null source or language is a value of its own; null and empty texts have
+    no tokens and change no weights. Rows that share an id are drawn alike. An empty table
+    stays empty; given columns ``tokens`` and ``p`` are replaced, all others stay.
+    """
+    return mixing.draw(docs, marginals(), rate=RATE, power=POWER)
 
 
 STAGES = [
