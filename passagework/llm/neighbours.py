@@ -6,12 +6,19 @@ neighbours lie. Every vector is filed under its most probable part. A query is
 routed to its ``probes`` most probable parts and ranked there by exact inner
 products in double precision. How many probes a wanted recall takes is measured
 on sample vectors held out of the fit, so data without structure are searched
-in most parts, and clustered data in few.
+in most parts, and clustered data in few; the answer says in which share.
+
+Vectors are filed so that parts are balanced as well: each part's score has a
+bias that is raised or lowered until the sample falls evenly over the parts.
+The number of parts grows with that of vectors, up to a sixteenth of the
+sample, which is a documented bound: raise ``sample`` with the index.
 
 Equal vectors are one entry of the index. An answer holds k others, so the
-entry need only name its k + 1 smallest ids; nothing is lost by that. Parts
-are searched in blocks of bounded size against bounded blocks of queries; no
-part or query set meets whole in one task.
+entry need only name its k + 1 smallest ids; nothing is lost by that. A
+query is copied to the parts it probes. Parts of more than ``block`` vectors are
+searched in blocks, and only where more than ``query_block`` queries probe one
+part do its vectors go out more than once; no part or query set meets whole in
+one task.
 
 Vectors that are null, zero, or hold a null or a number that isn't finite take
 no part, nor do those whose length isn't the most frequent one, nor rows
@@ -115,6 +122,7 @@ class Router:
         rng = np.random.default_rng(seed)
         self.scale = float(np.sqrt(np.mean(x**2))) or 1.0
         d, p = x.shape[1], target.shape[1]
+        self.bias = np.zeros(p)
         self.w = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, p)), np.zeros(p)]
         m, v, step = [0 * w for w in self.w], [0 * w for w in self.w], 0
         for _ in range(epochs):
@@ -137,7 +145,17 @@ class Router:
         return z / z.sum(1, keepdims=True)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x / self.scale @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
+        return np.maximum(x / self.scale @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3] + self.bias
+
+    def balance(self, x: np.ndarray, rounds: int = 60) -> None:
+        """Sets the bias of each part so that x falls as evenly over the parts as may be."""
+        raw, parts, best = self.scores(x), len(self.bias), np.inf
+        bias = np.zeros(parts)
+        for i in range(rounds):
+            load = np.bincount((raw + bias).argmax(1), minlength=parts) * parts / len(x)
+            if load.max() < best:
+                best, self.bias = load.max(), bias.copy()
+            bias -= np.log(np.maximum(load, 0.1)) / (1 + i / 10)
 
     def ranked(self, x: np.ndarray) -> np.ndarray:
         return np.argsort(-self.scores(x), axis=1, kind="stable")
@@ -161,6 +179,7 @@ def fit(sample: np.ndarray, parts: int, k: int, recall: float) -> tuple[Router,
     np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), of[near].ravel()), 1)
     target[np.arange(len(x)), of] += 1
     router = Router(x, target / target.sum(1, keepdims=True))
+    router.balance(x)
     if not len(q):
         return router, parts
     filed = router.ranked(x)[:, 0]
@@ -170,11 +189,11 @@ def fit(sample: np.ndarray, parts: int, k: int, recall: float) -> tuple[Router,
     return router, 1 + int(np.argmax(np.array(reached) >= recall)) if max(reached) >= recall else parts
 
 
-def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = 4000, recall: float = 0.94, block: int = 20_000, query_block: int = 4_000) -> DataFrame:
-    """(query, rank, id, score) for the rows whose id is divisible by ``every``: their k nearest of all other rows."""
+def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = 6000, recall: float = 0.94, block: int = 20_000, query_block: int = 20_000) -> DataFrame:
+    """(query, rank, id, score, probed) for the rows whose id is divisible by ``every``: their k nearest of all other rows. probed: the share of parts searched."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sizes = rows.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out = "query long, rank int, id long, score double"
+    out = "query long, rank int, id long, score double, probed double"
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], out)
     dim = sizes[0]
@@ -187,7 +206,7 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     x = np.array([np.frombuffer(r.vector) for r in sorted(drawn)]).reshape(-1, dim)
     if len(x) < 20:
         x = np.array([np.frombuffer(r.vector) for r in index.orderBy("entry").limit(20).collect()]).reshape(-1, dim)
-    parts = int(min(max(n // 1500, 4), 256, max(len(x) // 8, 1)))
+    parts = int(min(max(n // 1500, 4), max(len(x) // 16, 1)))
     router, probes = fit(x, parts, k, recall)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +216,16 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(places), pa.list_(pa.int32()))], [*b.schema.names, "places"])
 
     filed = materialised(index.mapInArrow(file, ENTRY + ", places array<int>"))
-    counts = {r.part: r.n for r in filed.groupBy(F.element_at("places", 1).alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each part
-    blocks = F.array(*[F.lit(-(-counts.get(p, 0) // block)) for p in range(parts)])
-    query_blocks = -(-asked // query_block)
-    salt = lambda c: F.pmod(F.xxhash64("entry", F.lit(3)), c).cast("int")
+    part = F.posexplode("places").alias("place", "part")
+    load = filed.select("asked", part).groupBy("part").agg(F.count_if(F.col("place") == 0).alias("n"), F.count_if("asked").alias("q")).collect()  # a row for each part
+    cuts = {r.part: (-(-r.n // block), -(-r.q // query_block)) for r in load}
+    blocks, batches = (F.array(*[F.lit(cuts.get(p, (0, 0))[i]) for p in range(parts)]) for i in (0, 1))
+    salt = lambda c, seed: F.pmod(F.xxhash64("entry", F.lit(seed)), c).cast("int")
+    several = lambda c: F.explode(F.when(c > 0, F.sequence(F.lit(0), c - 1)))
     at = F.element_at("places", 1)
-    base = filed.select("entry", "vector", "ids", at.alias("part"), salt(F.get(blocks, at)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("batch"))
-    probe = filed.where("asked").select("entry", "vector", salt(F.lit(query_blocks)).alias("batch"), F.explode("places").alias("part"))
-    probe = probe.where(F.get(blocks, F.col("part")) > 0).select("*", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("part")) - 1)).alias("block"))
+    base = filed.select("entry", "vector", "ids", at.alias("part"), salt(F.get(blocks, at), 3).alias("block"), several(F.get(batches, at)).alias("batch"))
+    probe = filed.where("asked").select("entry", "vector", F.explode("places").alias("part"))
+    probe = probe.select("entry", "vector", "part", several(F.get(blocks, F.col("part"))).alias("block"), salt(F.get(batches, F.col("part")), 4).alias("batch"))
 
     def rank(base: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
         if base.empty or probe.empty:
@@ -234,4 +255,4 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     queries = rows.where(F.col("id") % every == 0).mapInArrow(name, "query long, entry string").distinct()
     others = F.slice(F.filter("found", lambda s: s["id"] != F.col("query")), 1, k)
     found = queries.join(answers, "entry").select("query", F.posexplode(others).alias("pos", "s"))
-    return found.select("query", (F.col("pos") + 1).alias("rank"), F.col("s.id").alias("id"), (-F.col("s.away")).alias("score"))
+    return found.select("query", (F.col("pos") + 1).alias("rank"), F.col("s.id").alias("id"), (-F.col("s.away")).alias("score"), F.lit(probes / parts).alias("probed"))
