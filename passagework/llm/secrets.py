@@ -12,7 +12,8 @@ The hexadecimal detector has no keyword; its run of 32 digits is its own
 prefilter.
 
 Rows are independent: one narrow stage without a shuffle, whatever the skew.
-A null or empty text gives no spans; repeated rows each give their own row.
+A null or empty text gives no spans; repeated rows each give their own row. The
+time for a text grows in proportion to its length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -96,6 +97,10 @@ def _key_end(text: str, m: re.Match) -> int:
     return at + len(close) if at >= 0 else KEY_LINES.match(text, m.end()).end()
 
 
+#: A failed attempt fails for all hits in the same run of these, since what follows the run decides: none is scanned twice.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]*")}
+
+
 #: Where a secret ends that goes on after its detector's expression.
 ENDS = {"pem": _key_end}
 
@@ -120,10 +125,14 @@ def spans_of(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int, int
     found, free = [], dict.fromkeys(DETECTORS, 0)
     hits = sorted((end - n + 1, ORDER[kind], kind) for end, (kind, n) in auto.iter(_folded(text)))
     for start, _, kind in hits:
-        if start >= free[kind] and (m := DETECTORS[kind][1].match(text, start)):
+        if start < free[kind]:
+            continue
+        if m := DETECTORS[kind][1].match(text, start):
             free[kind] = end = ENDS[kind](text, m) if kind in ENDS else m.end()
             if kind not in VALID or VALID[kind](m):
                 found.append((start, ORDER[kind], end, kind))
+        elif kind in RUNS:
+            free[kind] = RUNS[kind].match(text, start).end()
     found += [(m.start(), ORDER["hex"], m.end(), "hex") for m in HEX_RUN.finditer(text)]
     return [(kind, start, end) for start, _, end, kind in sorted(found)]
 
