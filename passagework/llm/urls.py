@@ -4,13 +4,17 @@ Each URL expands into host-suffix and path-prefix expressions. Their SHA-256
 digests meet the rules' in an equi-join on the first four bytes; the full
 digests then confirm a match and the longest rule decides.
 
-Host and path repeat, so distinct pairs are expanded and the verdict joins back
-on the pair. The list of rules is broadcast only while it is below
-``broadcast_rules`` rules, which is counted; beyond that the join on short
+Only expressions of a shape that some rule has (so many labels of host, so many
+characters of path) are made, so a long host or path costs no more than the
+rules' shapes, which are a few, do. Host and path repeat, so distinct pairs are expanded and the
+verdict joins back on the pair. The list of rules is broadcast only while it is below
+``broadcast_bytes``, which is measured; beyond that the join on short
 digests is an ordinary shuffled one.
 
-A null URL, or one without ``://``, has an empty host and path and fits no
-rule. Repeated rows each keep their row.
+A null URL, or one without ``://``, has an empty host and path, fits no rule and
+takes no part in the joins. Repeated rows each keep their row. URLs of any
+length take time in proportion to it. An empty table of rules leaves everything
+to the default; an empty table of pages gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +40,11 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:
+def _labels(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."))) + 1
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(id, host, path, rule, verdict) of every row of pages.
 
     rules: (host, path, verdict); a rule covers its host with all subdomains
@@ -45,18 +53,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """
     listed = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).dropna().distinct()
     listed = listed.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("short", F.substring("r_digest", 1, SHORT))
-    count, lengths = listed.agg(F.count("*"), F.array_sort(F.collect_set(F.char_length("r_path")))).first()  # a set of path lengths: as many as the longest path has characters, at most
+    shape = F.struct(_labels(F.col("r_host")).alias("labels"), F.char_length("r_path").alias("length"))
+    size, shapes = listed.agg(F.sum(F.octet_length("r_host") + F.octet_length("r_path") + 128), F.array_sort(F.collect_set(shape))).first()  # few: as many as rules differ in shape
     rows = pages.select(F.col(id_col).cast("long").alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    out = [F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")]
+    nothing = rows.withColumn("best", F.lit(None).cast("struct<rule:string,verdict:string>")).select(*out)
+    if not shapes:
+        return nothing
 
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(F.lit(lengths or [0]), lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     pairs = rows.select("host", "path").where("host <> ''").distinct()
-    expressions = pairs.select("host", "path", F.explode(suffixes).alias("e_host"), prefixes.alias("e_paths")).select("host", "path", "e_host", F.explode("e_paths").alias("e_path"))
-    expressions = expressions.withColumn("digest", _digest(F.col("e_host"), F.col("e_path"))).withColumn("short", F.substring("digest", 1, SHORT))
+    known = F.array(*[F.struct(F.lit(s["labels"]).alias("labels"), F.lit(s["length"]).alias("length")) for s in shapes])
+    fitting = F.filter(known, lambda s: (s["labels"] <= _labels(F.col("host"))) & (s["length"] <= F.char_length("path")))
+    expressions = pairs.select("host", "path", F.explode(fitting).alias("s"))
+    suffix, prefix = F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("s.labels")), F.substring(F.col("path"), F.lit(1), F.col("s.length"))
+    expressions = expressions.withColumn("digest", _digest(suffix, prefix)).select("host", "path", "digest", F.substring("digest", 1, SHORT).alias("short"))
 
-    found = expressions.join(F.broadcast(listed) if count <= broadcast_rules else listed, "short").where("digest = r_digest")
+    found = expressions.join(F.broadcast(listed) if size <= broadcast_bytes else listed, "short").where("digest = r_digest")
     rule = F.concat("r_host", "r_path")
     verdicts = found.groupBy("host", "path").agg(F.min(F.struct((-F.char_length(rule)).alias("length"), (F.col("r_verdict") != "block").alias("mild"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    out = rows.join(verdicts, ["host", "path"], "left")
-    return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return rows.where("host <> ''").join(verdicts, ["host", "path"], "left").select(*out).union(nothing.where("host = ''"))
