@@ -10,13 +10,17 @@ Items of fewer than ``WINDOW`` words are one window each. Winnowing promises
 nothing about those, so the hashes of all runs of that length are joined, for
 each of the at most ``WINDOW`` - 1 lengths that occur.
 
-The benchmark's side of a join is broadcast while its rows, which are counted,
-are at most ``broadcast_rows``; beyond that both sides are shuffled and Spark
-splits a hot fingerprint's documents over tasks.
+Each fingerprint knows its place, so a hit costs a look at the windows about
+that place and no second search. While the benchmark's fingerprints and windows,
+which are measured, take at most ``broadcast_bytes``, they are broadcast, and
+texts are read, cut, met and verified in one go, without being shuffled. Beyond
+that only places and fingerprints are shuffled, and the texts of documents that
+hit; Spark splits a hot fingerprint's documents over tasks.
 
 Null and empty texts have no words and are never contaminated. Items without an
-id or words are left out. Rows that repeat an id and text fare alike; texts
-under one id are told apart by a hash of the text.
+id or words are left out; an empty benchmark hits nothing. Rows that repeat an id and text fare alike; texts
+under one id are told apart by a hash of the text. The time for a text is linear
+in its length, hits included.
 """
 
 from __future__ import annotations
@@ -46,12 +50,32 @@ def grams(words: Column, n: int) -> Column:
     return F.transform(_upto(F.size(words) - (n - 1)), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)]))
 
 
+def placed(words: Column) -> Column:
+    """Hashes of GRAM words whose last four bits give way to those of their place."""
+    return F.transform(_upto(F.size(words) - (GRAM - 1)), lambda i: F.shiftleft(F.xxhash64(*[F.get(words, i + j) for j in range(GRAM)]), 4).bitwiseOR(i.bitwiseAND(15).cast("long")))
+
+
 def winnowed(hashes: Column) -> Column:
-    """The distinct minima of all windows of SPREAD hashes."""
-    return F.array_distinct(F.transform(_upto(F.size(hashes) - (SPREAD - 1)), lambda i: F.array_min(F.slice(hashes, i + 1, SPREAD))))
+    """The places of the minima of all windows of SPREAD placed hashes; of equal ones in a window either may stand."""
+    least = F.transform(_upto(F.size(hashes) - (SPREAD - 1)), lambda i: F.array_min(F.slice(hashes, i + 1, SPREAD)))
+    return F.array_distinct(F.transform(least, lambda m, i: i + (m.bitwiseAND(F.lit(15).cast("long")).cast("int") - i).bitwiseAND(15)))
+
+
+def prints_of(words: Column, hashes: Column, lengths: list[int]) -> Column:
+    """(length, place, print) of the fingerprints of a text, and of all its runs of the short lengths."""
+    entry = lambda n, i, h: F.struct(F.lit(n).alias("length"), i.alias("place"), h.alias("print"))
+    found = [F.transform(winnowed(hashes), lambda i: entry(WINDOW, i, F.shiftright(F.get(hashes, i), 4)))]
+    found += [F.transform(grams(words, n), lambda h, i, n=n: entry(n, i, h)) for n in lengths]
+    return F.flatten(F.array(*found)) if len(found) > 1 else found[0]
+
+
+def starts_of(length: Column, place: Column, words: Column) -> Column:
+    """The starts of the windows of a text that hold the fingerprint at a place."""
+    back = F.when(length == WINDOW, WINDOW - GRAM).otherwise(0)
+    return F.sequence(F.greatest(place - back, F.lit(0)), F.least(place, F.size(words) - length))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(id, key, n_words, n_hit, items array<string>) of every row; key is a hash of the text."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -59,27 +83,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     size = F.least(F.size("words"), F.lit(WINDOW))
     windows = items.select("item", size.alias("length"), F.explode(F.transform(_upto(F.size("words") - size + 1), lambda i: F.array_join(F.slice("words", i + 1, size), " "))).alias("window")).distinct()
-    n, short = windows.agg(F.count("*"), F.array_sort(F.collect_set(F.when(F.col("length") < WINDOW, F.col("length"))))).first()  # WINDOW - 1 lengths at most
-    small = (lambda d: F.broadcast(d)) if n <= broadcast_rows else (lambda d: d)
-
-    cut = rows.select("doc", "key", words_of(F.col("text")).alias("words"))
-    prints = items.where(F.size("words") >= WINDOW).select(F.explode(winnowed(grams(F.col("words"), GRAM))).alias("print")).distinct()
-    long_enough = cut.where(F.size("words") >= WINDOW).withColumn("hashes", grams(F.col("words"), GRAM))
-    met = long_enough.select("doc", "key", F.explode(winnowed(F.col("hashes"))).alias("print")).join(small(prints), "print").select("doc", "key", "print", F.lit(WINDOW).alias("length"))
-    for length in short:
-        runs = windows.where(F.col("length") == length).select(F.xxhash64(*[F.get(F.split("window", " "), F.lit(j)) for j in range(length)]).alias("print")).distinct()
-        met = met.union(cut.select("doc", "key", F.explode(F.array_distinct(grams(F.col("words"), length))).alias("print")).join(small(runs), "print").select("doc", "key", "print", F.lit(length).alias("length")))
-    seeds = met.groupBy("doc", "key", "length").agg(F.collect_set("print").alias("prints"))  # no more than a text has
-
-    again = rows.alias("r").join(seeds.alias("s"), F.col("r.doc").eqNullSafe(F.col("s.doc")) & (F.col("r.key") == F.col("s.key"))).select("r.doc", "r.key", "length", "prints", words_of(F.col("text")).alias("words"))
-    spots = F.lit(None).cast("array<int>")
-    for length in [WINDOW, *short]:
-        gram = GRAM if length == WINDOW else length
-        at = F.filter(F.transform(grams(F.col("words"), gram), lambda h, i: F.when(F.array_contains("prints", h), i)), lambda i: i.isNotNull())
-        last = F.size("words") - length
-        reach = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - (length - gram), F.lit(0)), F.least(i, last)))))  # noqa: B023
-        spots = F.when(F.col("length") == length, reach).otherwise(spots)
-    extended = again.select("doc", "key", "length", "words", F.explode(spots).alias("start"))
+    held, short = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item") + 64), F.array_sort(F.collect_set(F.when(F.col("length") < WINDOW, F.col("length"))))).first()  # WINDOW - 1 lengths at most
+    is_small = (held or 0) <= broadcast_bytes
+    small = F.broadcast if is_small else (lambda d: d)
+
+    hashed = lambda d: d.withColumn("hashes", placed(F.col("words")))
+    of_item = lambda n: F.size("words") >= n if n == WINDOW else F.size("words") == n
+    prints = hashed(items.where(of_item(WINDOW))).select(F.lit(WINDOW).alias("length"), F.explode(F.transform(winnowed(F.col("hashes")), lambda i: F.shiftright(F.get("hashes", i), 4))).alias("print"))
+    for n in short:
+        prints = prints.union(items.where(of_item(n)).select(F.lit(n), F.explode(grams(F.col("words"), n))))
+    prints = prints.distinct()
+
+    cut = hashed(rows.select("doc", "key", words_of(F.col("text")).alias("words")))
+    each = cut.select("doc", "key", *(["words"] if is_small else []), F.explode(prints_of(F.col("words"), F.col("hashes"), short)).alias("f")).select("*", "f.*")
+    met = each.join(small(prints), ["length", "print"])
+    if not is_small:
+        # A row for each place that met; gathered, they are no more than a text has words.
+        places = met.groupBy("doc", "key").agg(F.collect_set(F.struct("length", "place")).alias("places"))
+        r, p = rows.alias("r"), places.alias("p")
+        again = r.join(p, F.col("r.doc").eqNullSafe(F.col("p.doc")) & (F.col("r.key") == F.col("p.key"))).select("r.doc", "r.key", words_of(F.col("text")).alias("words"), "places")
+        met = again.select("doc", "key", "words", F.explode("places").alias("f")).select("*", "f.*")
+    extended = met.select("doc", "key", "length", "words", F.explode(starts_of(F.col("length"), F.col("place"), F.col("words"))).alias("start"))
     extended = extended.select("doc", "key", "length", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ").alias("window"))
     hits = extended.join(small(windows), ["length", "window"]).groupBy("doc", "key").agg(F.collect_set(F.struct("start", "length")).alias("starts"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
