@@ -45,12 +45,12 @@ def _digest(text: Column) -> Column:
 @query
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neighbours.search_nearest(table(spark, sf_dir, "embeddings"))
-    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score", "probed")
 
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents"), line_words=1, sentence_words=1)
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return out.select("doc_id", "n_chars", "n_removed", F.size("spans").cast("long").alias("n_spans"), _digest(F.col("kept")).alias("kept_sha256"), spans.alias("spans"))
 
