@@ -147,15 +147,15 @@ class Router:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x / self.scale @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3] + self.bias
 
-    def balance(self, x: np.ndarray, rounds: int = 60) -> None:
+    def balance(self, x: np.ndarray, rounds: int = 200) -> None:
         """Sets the bias of each part so that x falls as evenly over the parts as may be."""
         raw, parts, best = self.scores(x), len(self.bias), np.inf
-        bias = np.zeros(parts)
+        bias, spread = np.zeros(parts), float(raw.std(0).mean())
         for i in range(rounds):
             load = np.bincount((raw + bias).argmax(1), minlength=parts) * parts / len(x)
             if load.max() < best:
                 best, self.bias = load.max(), bias.copy()
-            bias -= np.log(np.maximum(load, 0.1)) / (1 + i / 10)
+            bias -= spread * np.log(np.maximum(load, 0.1)) / (4 + i / 10)
 
     def ranked(self, x: np.ndarray) -> np.ndarray:
         return np.argsort(-self.scores(x), axis=1, kind="stable")
