@@ -5,7 +5,7 @@ import pytest
 
 from passagework.llm.decontamination import find_contamination
 from passagework.llm.graph import components
-from passagework.llm.ngram_join import near_duplicates
+from passagework.llm.ngram_join import near_duplicates, representatives, shingle_sets
 from test_suffix import corpus
 
 
@@ -67,11 +67,39 @@ def test_near_duplicates_of_awkward_rows(spark, documents, awkward):
     assert near_duplicates(documents([])).count() == 0
 
 
+def test_a_hash_of_many_rows_is_counted_alike_in_any_parts(spark, documents):
+    # A passage that all documents share, which are otherwise different: more rows in a part than go out one by one.
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(4 + i % 5)) + " " + shared) for i in range(120)]
+    sets = sets_of(rows)
+    for flush in (600_000, 200):
+        got = {r.doc: r for r in shingle_sets(documents(rows).repartition(2), "doc_id", "text", flush=flush).collect()}
+        assert {i: r.n for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+        able = {i for i, s in sets.items() if 26 >= (4 * len(s) + 4) // 5}
+        assert {i for i, r in got.items() if r.tokens is not None} == able and {len(got[i].tokens) for i in able} == {26}
+        assert len({tuple(got[i].tokens) for i in able}) == 1
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(documents(rows).repartition(2)).collect()}
+    assert found == brute(rows)
+
+
+def test_representatives_keep_texts_that_share_an_id(spark, documents):
+    a, z, q = (" ".join(f"{c}{i}" for i in range(20)) for c in "azq")
+    rows = [(1, a), (5, a), (5, z), (7, q), (7, q + " more"), (7, q), (8, None), (8, None), (9, ""), (None, a + " end"), (None, None)]
+    docs = documents(rows)
+    kept = representatives(docs).collect()
+    text = {r.key: r.text for r in docs.selectExpr("xxhash64(text) as key", "text").collect()}
+    got = sorted(((r.doc or -1), text[r.key] or "", r.copies) for r in kept)
+    assert [g for g in got if g[1]] == sorted([(-1, a + " end", 1), (5, z, 1), min([(7, q, 2), (7, q + " more", 1)], key=lambda x: [k for k, v in text.items() if v == x[1]])])
+    assert [g for g in got if not g[1]] == [(-1, "", 1), (8, "", 1), (9, "", 1)]
+
+
 def test_graph_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 105), (105, 103), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 103: 100, 105: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"), most=2)
 
 
 def words(t):
@@ -112,7 +140,7 @@ def test_contamination_equals_brute_force(spark, documents, awkward, short):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in find_contamination(documents(rows), bench).collect()}
     assert got == hits(rows, [x for x in items if x[1]])
-    shuffled = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in find_contamination(documents(rows), bench, broadcast_rows=0).collect()}
+    shuffled = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in find_contamination(documents(rows), bench, broadcast_bytes=0).collect()}
     assert shuffled == got
 
 
@@ -120,3 +148,18 @@ def test_contamination_of_empty_tables(spark, documents, awkward):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in find_contamination(documents(awkward), none).collect()} == {0}
     assert find_contamination(documents([]), none).count() == 0
+
+
+def test_long_shared_text_takes_linear_time(spark, documents):
+    import time
+
+    def took(n):
+        text = " ".join(f"w{i}" for i in range(n))
+        bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+        began = time.time()
+        (row,) = find_contamination(documents([(1, text)]), bench).collect()
+        assert (row.n_words, row.n_hit) == (n, n)
+        return time.time() - began
+
+    took(50)
+    assert took(20_000) < 6 * max(took(5_000), 1.0)

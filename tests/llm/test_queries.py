@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from passagework.llm import secrets
 from passagework.llm.queries import ORACLES, QUERIES
 
 COLUMNS = {
@@ -81,3 +82,54 @@ def test_pipeline_decisions(spark, tables):
     mixed = kept["mix_sources"]
     assert 0 < len(mixed) < len(safe) and all(mixed[i].text == safe[i].text for i in mixed)
     assert {r.doc_id for r in corpus_pipeline.run(spark, tables).collect()} == set(mixed)
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, _key string, kept string, _lang string, tokens string, key string, component_id string, copies string, row string"
+
+
+def awkward_table(spark, awkward, times=1):
+    rows = [*awkward, *((20 + i, f"{'these are the words of a text that is long enough for shingles and more ' * 2}{i % 3}") for i in range(9)), (5, "another text under an id that is there already, quite unlike the other one")]
+    mine = [(i, t, ["en", None][k % 2], [None, "s"][k % 2], len(t or ""), *"abcdefgh") for k, (i, t) in enumerate(rows)] * times
+    return spark.createDataFrame(mine, NAMES)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_each_stage_takes_awkward_rows_and_names(spark, tables, awkward, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = awkward_table(spark, awkward)
+    out = run(spark, docs, tables)
+    rows = out.collect()
+    if stage == "mix_sources":
+        assert out.columns == [*(c for c in docs.columns if c != "tokens"), "tokens", "p"]
+        assert {r.kept for r in rows} <= {"b"}
+    else:
+        assert out.schema.simpleString() == docs.schema.simpleString() and {r._key for r in rows} <= {"a"}
+    texts = [(r.doc_id, r.text) for r in rows]
+    if stage == "near_duplicates":
+        assert texts.count((4, "word")) == 1 and sum(i == 5 for i, _ in texts) == 2
+        assert [i for i, _ in texts if i is not None and i >= 20] == [20] and len(texts) == len(awkward) - 1 + 1 + 1
+        assert sorted((r.doc_id or -1, r.text or "") for r in run(spark, awkward_table(spark, awkward, 3).where("text <> ''"), tables).collect()) == sorted((i or -1, t) for i, t in texts if t)
+    elif stage in ("decontaminate", "redact_secrets"):
+        assert len(texts) == docs.count()
+    assert run(spark, docs.where("1 = 0"), tables).count() == 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, tables):
+    """Near duplicates and decontamination against sets of words, redaction against the scan's spans."""
+    from test_joins import brute, hits
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    roots = brute(rows)
+    assert {r.doc_id for r in stages["near_duplicates"](spark, docs, tables).collect()} == {i for i, (_, root) in roots.items() if i == root}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    clean = {i for i, (n, hit, _) in hits(rows, items).items() if not (hit and 20 * hit >= n)}
+    assert {r.doc_id for r in stages["decontaminate"](spark, docs, tables).collect()} == clean
+    auto = secrets.automaton()
+    for r in stages["redact_secrets"](spark, docs, tables).collect():
+        text = dict(rows)[r.doc_id]
+        covered = set()
+        for _, s, e in secrets.spans_of(text or "", auto):
+            covered |= set(range(s, e))
+        assert (r.text or "").replace("[SECRET]", "") == "".join(c for k, c in enumerate(text or "") if k not in covered)

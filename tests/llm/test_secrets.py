@@ -91,3 +91,18 @@ def test_query_digests(spark, documents, tmp_path):
     got = {r.doc_id: r for r in op3_secret_scan(spark, str(tmp_path)).collect()}
     assert got[1].base_sha256 == hashlib.sha256(b"access:0:16").hexdigest() and got[1].n_access == 1
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    auto = secrets.automaton()
+
+    def took(text):
+        began = time.perf_counter()
+        secrets.spans_of(text, auto)
+        return time.perf_counter() - began
+
+    for piece in ("eyJ", "password ", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "eyJaaaaaaaa.", "AKIA", "secret=\"", "A "):
+        took(piece * 1000)
+        assert min(took(piece * 200_000) for _ in range(2)) < 6 * max(min(took(piece * 50_000) for _ in range(2)), 0.02), piece

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 from passagework.llm import mixing, urls
@@ -19,8 +20,8 @@ def test_url_rules(spark):
         9: ("http://É.com/en/http://z", "É.com", "/en/http://z", "com/en/", "block"),
     }
     pages = spark.createDataFrame([(i, v[0], "x", "y") for i, v in given.items()] + [(1, given[1][0], "x", "y")], "page_id long, url string, host string, rule string")
-    for limit in (100, 0):
-        got = urls.filter_urls(pages, rules, broadcast_rules=limit).collect()
+    for limit in (10_000, 0):
+        got = urls.filter_urls(pages, rules, broadcast_bytes=limit).collect()
         assert len(got) == len(given) + 1
         for r in got:
             assert (r.host, r.path, r.rule, r.verdict) == given[r.page_id][1:]
@@ -32,7 +33,7 @@ def test_raking_meets_its_targets(spark):
     rows = [(i, "x" * (40 + i % 50), ["big", "big", "big", "small", None][i % 5], ["en", "de"][i % 2]) for i in range(2000)]
     rows += [(5000, None, "big", None), (None, "text", None, "en"), (5, "x" * 45, "big", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("p", F.lit("clash"))
-    out = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang")}, rate=0.4, power=0.5, rounds=8).collect()
+    out = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang")}, rate=0.4, power=0.5).collect()
     assert len(out) == len(rows) and all(r.text is None or r.tokens == math.ceil(len(r.text) / 4) for r in out)
     total = sum(r.tokens for r in out)
     for column in ("source", "lang"):
@@ -46,6 +47,60 @@ def test_raking_meets_its_targets(spark):
                 assert abs(expected[value] - 0.4 * total * math.sqrt(n) / scale) < 0.06 * 0.4 * total
     drawn = sum(r.tokens for r in out if r.kept)
     assert abs(drawn - 0.4 * total) < 0.05 * total
-    again = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang")}, rate=0.4, power=0.5, rounds=8, broadcast_cells=0).where("kept").count()
+    again = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang")}, rate=0.4, power=0.5, broadcast_bytes=0).where("kept").count()
     assert again == sum(bool(r.kept) for r in out)
     assert mixing.mix(docs.where("1 = 0"), {"source": F.col("source")}).count() == 0
+    cells = mixing.mixed_cells(docs, {"source": F.col("source"), "lang": F.col("lang")}, rate=0.4, power=0.5)
+    assert max(abs(r.residual) for r in mixing.residuals(cells, ["source", "lang"]).collect() if r.expected > 1000) < 0.05
+
+
+def rake_by_force(cells, marginals, rate, power, tolerance):
+    """cells: {values: tokens}."""
+    p, total = dict.fromkeys(cells, rate), sum(cells.values())
+    goal = []
+    for m in range(marginals):
+        held = Counter()
+        for v, n in cells.items():
+            held[v[m]] += n
+        scale = sum(n**power for n in held.values() if n)
+        goal.append({v: rate * total * n**power / scale for v, n in held.items() if n})
+    while True:
+        before = dict(p)
+        for m in range(marginals):
+            expected = Counter()
+            for v, n in cells.items():
+                expected[v[m]] += n * p[v]
+            p = {v: min(1.0, x * (goal[m].get(v[m], 0) / expected[v[m]] if expected[v[m]] else 1.0)) for v, x in p.items()}
+        if max(abs(p[v] / before[v] - 1) for v in p) <= tolerance:
+            return p
+
+
+def test_raking_equals_brute_force_where_cuts_leave_some_over(spark):
+    cells = {("a", "x"): 1000, ("a", "y"): 10, ("b", "x"): 20, ("b", "y"): 300, ("c", "y"): 5}
+    frame = spark.createDataFrame([(*v, n) for v, n in cells.items()], "source string, lang string, tokens long")
+    got = {(r.source, r.lang): r.p for r in mixing.rake(frame, ["source", "lang"], 0.5, 0.3).collect()}
+    want = rake_by_force(cells, 2, 0.5, 0.3, 1e-3)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want) and max(want.values()) == 1.0
+
+
+def test_mixing_of_awkward_rows(spark, documents, awkward):
+    docs = documents(awkward).withColumn("kept", F.lit("mine"))
+    out = mixing.mix(docs, {"score": F.col("score")}).collect()
+    assert len(out) == len(awkward) and {type(r.kept) for r in out} == {bool}
+    drawn = mixing.draw(docs, {"score": F.col("score")})
+    assert drawn.columns == [*docs.columns, "tokens", "p"] and {r.kept for r in drawn.collect()} <= {"mine"}
+
+
+def test_long_and_awkward_urls(spark, documents, awkward):
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("a.com", "/en/7", "allow")], "host string, path string, verdict string")
+    pages = documents(awkward).selectExpr("doc_id as page_id", "text as url", "score as rule")
+    assert urls.filter_urls(pages, rules).count() == len(awkward)
+
+    def took(n):
+        long = spark.createDataFrame([(1, "http://" + "a." * n + "com/en/7"), (2, "http://com/en/" + "x" * n)], "page_id long, url string")
+        began = time.time()
+        assert {(r.page_id, r.rule) for r in urls.filter_urls(long, rules).collect()} == {(1, "a.com/en/7"), (2, "com/en/")}
+        return time.time() - began
+
+    took(50)
+    assert took(30_000) < 6 * max(took(7_500), 1.0)
