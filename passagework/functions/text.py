@@ -6,6 +6,8 @@ white space carry ``(?U)``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,12 +18,15 @@ PAGE_NUMBER = r"\A[0-9]{1,4}\z"
 BULLET = r"(?U)\A\s*[●▪•–-]\s*"
 FIGURE_CAPTION = r"(?U)\AFig\.\s*\d"
 GLYPHS = r"[›»⇒]+"
-#: The first part lets no match begin within a word, which is where most positions are.
-PAGE_REFERENCE = (
-    r"(?iU)(?:(?=[,;\s›»⇒])|(?=[vcdelp])\b)[,;]?[^\S\n]*(?:" + GLYPHS + r"[^\S\n]*)?(?:\b(?:v[ée]ase|ver|consulte|consultar)\b[^\S\n]*)?"
-    r"(?:\b(?:de|en)\b[^\S\n]*)?(?:\bla\b[^\S\n]*)?\bp[áa]g(?:ina|s)?\b\.?\s*(\d{1,4})"
+#: A reference from its noun on. The first part is what most positions fail at, at little cost.
+PAGE_NUMBERED = r"(?iU)(?=p)\bp[áa]g(?:ina|s)?\b\.?\s*(\d{1,4})"
+NUMBER_AT_START = r"(?U)\A\d{1,4}"
+#: What may lead up to the noun, with every word spelt backwards, as it is read from the noun to the left.
+LEAD_BACKWARDS = (
+    r"(?iU)\A(?:[^\S\n]*\bal\b)?(?:[^\S\n]*\b(?:ed|ne)\b)?(?:[^\S\n]*\b(?:esa[ée]v|rev|etlusnoc|ratlusnoc)\b)?"
+    r"(?:[^\S\n]*" + GLYPHS + r")?[^\S\n]*[,;]?"
 )
-FIGURE_REFERENCE = r"(?iU)\bfig\.?\s*(\d{1,4})"
+FIGURE_REFERENCE = r"(?iU)(?=f)\bfig\.?\s*(\d{1,4})"
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ACCENTED = "áéíóúüñÁÉÍÓÚÜÑ¡¿"
 
@@ -62,36 +67,45 @@ def rejoin_hyphens(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(marked, MARK + r"(?=\p{Lu})", "-"), MARK, "")
 
 
-def numbers(c: Column, pattern: str) -> Column:
-    """The distinct numbers a pattern captures, in order; digits of other scripts are left out."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-
-
-def page_references(c: Column) -> Column:
-    return numbers(c, PAGE_REFERENCE)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f mentions it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def without_page_references(c: Column) -> Column:
-    return F.regexp_replace(c, PAGE_REFERENCE, "")
+def _distinct_numbers(found: Column) -> Column:
+    """The distinct numbers, in order; digits of other scripts are left out."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.isNotNull())))
 
 
 def figure_references(c: Column) -> Column:
     """Figures named in a text from which page references are gone."""
-    return numbers(c, FIGURE_REFERENCE)
+    return _distinct_numbers(F.regexp_extract_all(c, F.lit(FIGURE_REFERENCE), F.lit(1)))
 
 
 def tidy(c: Column) -> Column:
     """Glyphs and hard spaces as one space, no blank lines."""
-    plain = F.translate(F.regexp_replace(c, r"(?U)[^\S\n]*" + GLYPHS + r"[^\S\n]*", " "), "\u00a0", " ")
-    lines = F.transform(F.split(plain, "\n"), lambda x: strip(F.regexp_replace(x, r"(?U)[^\S\n]{2,}", " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    plain = F.when(c.rlike(GLYPHS), F.regexp_replace(c, r"(?U)[^\S\n]*" + GLYPHS + r"[^\S\n]*", " ")).otherwise(c)
+    narrow = F.regexp_replace(F.translate(plain, "\u00a0", " "), r"(?U)[^\S\n]{2,}", " ")
+    return F.array_join(F.filter(F.transform(F.split(narrow, "\n"), strip), lambda x: x != ""), "\n")
 
 
 def strip_references(c: Column) -> Column:
-    """struct(text, refs, figures): a text without its page references, the pages and figures it named."""
-    bare = without_page_references(c)
-    return F.struct(tidy(bare).alias("text"), page_references(c).alias("refs"), figure_references(bare).alias("figures"))
+    """struct(text, refs, figures): a text without its page references, the pages and figures it named.
+
+    A reference is found by its noun and number, which few places of a text
+    begin with. The words that lead up to it are then taken off the end of the
+    text before, read backwards; its number heads the text after.
+    """
+    marked = F.split(F.regexp_replace(c, PAGE_NUMBERED, MARK + "$1"), MARK)
+    bare = lambda p, i, n: F.when(i < n - 1, F.reverse(F.regexp_replace(F.reverse(p), LEAD_BACKWARDS, ""))).otherwise(p)
+    behind = lambda p, i: F.when(i > 0, F.regexp_replace(p, NUMBER_AT_START, "")).otherwise(p)
+
+    def struct(parts: Column) -> Column:
+        refs = _distinct_numbers(F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.regexp_extract(p, "(" + NUMBER_AT_START + ")", 1)))
+        text = F.array_join(F.transform(parts, lambda p, i: behind(bare(p, i, F.size(parts)), i)), "")
+        return let(text, lambda t: F.struct(tidy(t).alias("text"), refs.alias("refs"), figure_references(t).alias("figures")))
+
+    return let(marked, struct)
 
 
 def accents(c: Column) -> Column:

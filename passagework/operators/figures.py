@@ -19,15 +19,16 @@ def placements(images: DataFrame) -> DataFrame:
     for c in box:
         finite &= F.coalesce(F.col(c).between(-1e300, 1e300), F.lit(False))
     rows = images.where((F.col("width") * F.col("height") >= MIN_AREA) & finite & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
-    rounded = F.array(*[F.round(c, 2) for c in box])
-    first = rows.withColumn("bbox", rounded).groupBy("manual_id", "page", "bbox").agg(F.min_by(F.struct("width", "height"), "seq").alias("px"), F.min("seq").alias("seq"))
+    # Scalar keys and values, so that the aggregation hashes and doesn't sort.
+    keys = [F.round(c, 2).alias(c) for c in box]
+    first = rows.groupBy("manual_id", "page", *keys).agg(F.min("seq").alias("seq"), F.min_by("width", "seq").alias("width"), F.min_by("height", "seq").alias("height"))
     n = F.row_number().over(Window.partitionBy("manual_id", "page").orderBy("seq"))
-    found = first.select("manual_id", "page", n.alias("n"), "bbox", "px.width", "px.height")
+    found = first.select("manual_id", "page", n.alias("n"), F.array(*box).alias("bbox"), "width", "height")
     return found.select(F.format_string("%s:%04d:%d", "manual_id", "page", "n").alias("figure_id"), "*", F.format_string("p%04d_%d.jpg", "page", "n").alias("file"))
 
 
 def on_pages(figures: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Figures printed on wanted (manual_id, page)."""
+    """Figures, or images, printed on wanted (manual_id, page)."""
     return figures.join(wanted.select("manual_id", "page").distinct(), ["manual_id", "page"], "left_semi")
 
 
@@ -36,6 +37,11 @@ def by_page(figures: DataFrame) -> DataFrame:
     return figures.groupBy("manual_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", "figure_id", "file", "width", "height"))).alias("figures"))
 
 
+def pages_of(hits: DataFrame) -> DataFrame:
+    """(manual_id, page) of all hits' pages."""
+    return hits.select("manual_id", F.explode("pages").alias("page")).distinct()
+
+
 def with_figures(hits: DataFrame, figures: DataFrame, key: list[str]) -> DataFrame:
     """hits with the array of figures on their pages, in the order of the pages, then of the figures; none is an empty array."""
     each = hits.select(*key, "manual_id", F.posexplode("pages").alias("p", "page"))

@@ -1,8 +1,9 @@
 """From pages to paragraphs.
 
 Pages are rows (manual_id, ord, page, text): ord numbers the records of a
-manual, since page numbers may repeat. Lines are rows (manual_id, ord, page, i,
-n, line): the i-th of n lines of a record.
+manual, since page numbers may repeat. ``page_rows`` cuts each into its lines
+once; a record's lines stay together in one row, and only the few at its edges
+are exploded, to be counted over a manual and matched.
 """
 
 from __future__ import annotations
@@ -10,46 +11,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BULLET, FIGURE_CAPTION, is_dotted, is_page_number, is_title, lines_of, rejoin_hyphens, strip
+from ..functions.text import BULLET, FIGURE_CAPTION, MARK, is_dotted, is_page_number, is_title, let, lines_of, rejoin_hyphens, strip
 
 EDGE_LINES, MIN_REPEATS, NAV_RATIO = 2, 5, 0.3
 PAGE = ["manual_id", "ord"]
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    rows = pages.select(*PAGE, "page", lines_of(F.col("text")).alias("lines"))
+def page_rows(pages: DataFrame) -> DataFrame:
+    """(manual_id, ord, page, lines): the lines of each record that aren't empty."""
+    return pages.select(*PAGE, "page", lines_of(F.col("text")).alias("lines"))
+
+
+def page_lines(rows: DataFrame) -> DataFrame:
+    """(manual_id, ord, page, n, i, line): the i-th of n lines of each record."""
     return rows.select(*PAGE, "page", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
 
 
-def nav_pages(lines: DataFrame, ratio: float = NAV_RATIO) -> DataFrame:
-    """(manual_id, ord) of tables of contents and indexes: enough lines have leaders."""
-    share = F.avg(is_dotted(F.col("line")).cast("int"))
-    return lines.groupBy(*PAGE).agg(share.alias("share")).where(F.col("share") >= ratio).select(*PAGE)
+def is_nav(lines: Column, ratio: float = NAV_RATIO) -> Column:
+    """Whether a record is a table of contents or an index: enough of its lines have leaders."""
+    return (F.size(lines) > 0) & (F.size(F.filter(lines, is_dotted)) >= ratio * F.size(lines))
+
+
+def nav_pages(rows: DataFrame, ratio: float = NAV_RATIO) -> DataFrame:
+    """(manual_id, ord) of tables of contents and indexes."""
+    return rows.where(is_nav(F.col("lines"), ratio)).select(*PAGE)
 
 
-def at_edge() -> Column:
-    return (F.col("i") < EDGE_LINES) | (F.col("i") >= F.col("n") - EDGE_LINES)
+def edges_of(lines: Column) -> Column:
+    """The lines at the edges of a record, as array<struct<i, line>>."""
+    n = F.size(lines)
+    places = F.filter(F.array_distinct(F.array(*[F.lit(i) for i in range(EDGE_LINES)], *[n - i for i in range(EDGE_LINES, 0, -1)])), lambda i: (i >= 0) & (i < n))
+    return F.transform(places, lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("line")))
 
 
-def chrome(lines: DataFrame, repeats: int = MIN_REPEATS) -> DataFrame:
+def chrome(rows: DataFrame, repeats: int = MIN_REPEATS) -> DataFrame:
     """(manual_id, line) of running heads and feet: at the edges of enough records, nav pages included."""
-    edges = lines.where(at_edge()).select(*PAGE, "line").distinct()
-    return edges.groupBy("manual_id", "line").count().where(F.col("count") >= repeats).select("manual_id", "line")
+    heads = F.array_distinct(F.transform(edges_of(F.col("lines")), lambda e: e["line"]))
+    counted = rows.select("manual_id", F.explode(heads).alias("line")).groupBy("manual_id", "line").count()
+    return counted.where(F.col("count") >= repeats).select("manual_id", "line")
 
 
-def strip_chrome(lines: DataFrame, chrome: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Body lines, and (manual_id, ord, page, head, printed) of each record.
+def strip_chrome(rows: DataFrame, chrome: DataFrame) -> DataFrame:
+    """(manual_id, ord, page, body, nav, head, printed) of each record that has lines.
 
     Edge numbers go and the first is the printed number; edge chrome goes and
     the first with a letter is the section's head. A number is never a head.
+    Only edge lines meet the chrome; what they tell of a record, which is
+    short, then joins its lines.
     """
-    seen = lines.join(chrome.withColumn("chrome", F.lit(True)), ["manual_id", "line"], "left")
-    number = at_edge() & is_page_number(F.col("line"))
-    running = at_edge() & ~is_page_number(F.col("line")) & F.coalesce("chrome", F.lit(False))
-    marked = seen.withColumns({"number": number, "running": running})
-    first = lambda cond: F.min(F.when(cond, F.struct("i", "line")))["line"]
-    heads = marked.groupBy(*PAGE, "page").agg(first(F.col("running") & is_title(F.col("line"))).alias("head"), first(F.col("number")).alias("printed"))
-    return marked.where(~F.col("number") & ~F.col("running")).select(*PAGE, "page", "i", "n", "line"), heads
+    cut = rows.where(F.size("lines") > 0).withColumn("edges", edges_of(F.col("lines")))
+    number = lambda e: is_page_number(e["line"])
+    lines = cut.select(*PAGE, F.explode(F.filter("edges", lambda e: ~number(e))).alias("e")).select(*PAGE, "e.*")
+    running = lines.join(chrome, ["manual_id", "line"], "left_semi")
+    told = running.groupBy(*PAGE).agg(F.collect_set("i").alias("running"), F.min(F.when(is_title(F.col("line")), F.struct("i", "line")))["line"].alias("head"))
+    numbers = F.filter("edges", number)
+    whole = cut.select(*PAGE, "page", "lines", is_nav(F.col("lines")).alias("nav"), F.get(numbers, F.lit(0))["line"].alias("printed"), F.transform(numbers, lambda e: e["i"]).alias("gone"))
+    joined = whole.join(told, PAGE, "left")
+    gone = F.concat("gone", F.coalesce("running", F.array().cast("array<int>")))
+    body = F.filter("lines", lambda _, i: ~F.array_contains(gone, i))
+    return joined.select(*PAGE, "page", body.alias("body"), "nav", "head", "printed")
 
 
 def carry_forward(rows: DataFrame, key: str, order: str, value: str, out: str, block: int = 1000) -> DataFrame:
@@ -68,26 +88,30 @@ def carry_forward(rows: DataFrame, key: str, order: str, value: str, out: str, b
     return cut.join(carried, [key, "_block"]).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(within), "_before")).drop("_block", "_before")
 
 
-def sections(heads: DataFrame, nav: DataFrame) -> DataFrame:
-    """heads of the records that aren't navigation, with the section that holds on each."""
-    return carry_forward(heads.join(nav, PAGE, "left_anti"), "manual_id", "ord", "head", "section")
+def sections(stripped: DataFrame) -> DataFrame:
+    """The records that aren't navigation, with the section that holds on each."""
+    return carry_forward(stripped.where("not nav").drop("nav"), "manual_id", "ord", "head", "section")
 
 
-def paragraphs(body: DataFrame) -> DataFrame:
-    """(manual_id, ord, page, para, text): the lines of each record joined into paragraphs.
+def paragraphs_of(body: Column) -> Column:
+    """The paragraphs of a record's lines.
 
-    A paragraph begins at a bullet, at a figure's caption and after a line that
-    ends a sentence. Lines of one record are gathered: a page's worth.
+    One begins at a bullet, at a figure's caption and after a line that ends a
+    sentence.
     """
-    whole = body.groupBy(*PAGE, "page").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("found"))
-    joined = rejoin_hyphens(F.array_join(F.transform("found", lambda x: x["line"]), "\n"))
-    lines = whole.select(*PAGE, "page", F.posexplode(F.split(joined, "\n")).alias("i", "line"))
-    order = Window.partitionBy(*PAGE).orderBy("i")
-    bullet = F.col("line").rlike(BULLET)
-    previous = F.coalesce(F.lag("line").over(order), F.lit(""))
-    fresh = bullet | F.col("line").rlike(FIGURE_CAPTION) | previous.rlike(r"[.:!?]\z")
-    marked = lines.withColumns({"fresh": fresh.cast("int"), "shown": F.when(bullet, F.regexp_replace("line", BULLET, "- ")).otherwise(F.col("line"))})
-    marked = marked.withColumn("para", F.sum("fresh").over(order))
-    found = marked.groupBy(*PAGE, "page", "para").agg(F.array_sort(F.collect_list(F.struct("i", "shown"))).alias("found"))
-    text = strip(F.array_join(F.transform("found", lambda x: x["shown"]), " "))
-    return found.select(*PAGE, "page", "para", text.alias("text")).where("text <> ''")
+    lines = F.split(rejoin_hyphens(F.array_join(body, "\n")), "\n")
+
+    def joined(whole: Column) -> Column:
+        previous = lambda i: F.coalesce(F.get(whole, i - 1), F.lit(""))
+        fresh = lambda x, i: x.rlike(BULLET) | x.rlike(FIGURE_CAPTION) | previous(i).rlike(r"[.:!?]\z")
+        shown = lambda x: F.regexp_replace(x, BULLET, "- ")
+        parts = F.transform(whole, lambda x, i: F.concat(F.when(fresh(x, i), F.lit(MARK)).when(i > 0, F.lit(" ")).otherwise(F.lit("")), shown(x)))
+        return F.split(F.array_join(parts, ""), MARK)
+
+    return F.transform(let(lines, joined), strip)
+
+
+def paragraphs(stripped: DataFrame, *carried: str) -> DataFrame:
+    """(manual_id, ord, page, carried.., para, text) of records with a body; para numbers the paragraphs of a record."""
+    rows = stripped.select(*PAGE, "page", *carried, F.posexplode(paragraphs_of(F.col("body"))).alias("para", "text"))
+    return rows.where("text <> ''")

@@ -49,16 +49,16 @@ def split_long(text: Column, target: int = TARGET) -> Column:
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else pieces(t, target))
 
-    return cut(text)
+    long = F.char_length(text) > target
+    short = F.when(text.isNull(), F.array().cast("array<string>")).when(~long, F.array(text))
+    return short.otherwise(cut(F.when(long, text)))  # a task's Python is handed the long ones alone
 
 
 def units(pages: DataFrame, target: int = TARGET) -> DataFrame:
     """(manual_id, ord, para, piece, page, printed, section, text): what is packed."""
-    lines = P.page_lines(pages)
-    body, heads = P.strip_chrome(lines, P.chrome(lines))
-    held = P.sections(heads, P.nav_pages(lines)).select(*P.PAGE, "printed", "section")
-    text = P.paragraphs(body).join(held, P.PAGE)
-    return text.select("manual_id", "ord", "para", "page", "printed", "section", F.posexplode(split_long(F.col("text"), target)).alias("piece", "text"))
+    rows = P.page_rows(pages)
+    text = P.paragraphs(P.sections(P.strip_chrome(rows, P.chrome(rows))), "printed", "section")
+    return text.select(*P.PAGE, "para", "page", "printed", "section", F.posexplode(split_long(F.col("text"), target)).alias("piece", "text"))
 
 
 class Packer:
@@ -99,6 +99,10 @@ class Batcher:
         self.most, self.chars = most, chars
         self.batch = self.n = self.held = self.at = 0
 
+    @property
+    def first(self) -> int:
+        return self.at
+
     def add(self, size: int, _: object) -> list[tuple[int, int]]:
         if self.n and (self.n >= self.most or self.held + size > self.chars):
             self.batch, self.n, self.held = self.batch + 1, 0, 0
@@ -110,44 +114,55 @@ class Batcher:
 
 
 def _folded(rows: DataFrame, by: list[str], order: list[str], size: str, section: str | None, new: Callable[[], Packer | Batcher], name: str) -> DataFrame:
-    """(by.., name, at): rows dealt out by manual, in order, through a fold that starts anew with each.
+    """(by.., name, at, order..): rows dealt out by manual, in order, through a fold that starts anew with each.
 
     Rows stream through a task; a manual of any size is held as no more than
     its passage at hand, and many small ones share a batch.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kept = [c for c in order if c != "at"]
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key: tuple | None = None
-        state = new()
-        columns = [*by, name, "at"]
+        state, places, n = new(), {}, 0
+        columns = [*by, name, "at", *kept]
+
+        def told(key: tuple, found: list[tuple[int, int]]) -> list[tuple]:
+            return [(*key, group, at, *places[at]) for group, at in found]
+
         for frame in frames:
             out: list[tuple] = []
             held = frame[section].where(frame[section].notna(), None).tolist() if section else [None] * len(frame)
-            for k, s, h in zip(zip(*(frame[c].tolist() for c in by), strict=True), frame[size].tolist(), held, strict=True):
+            for k, o, s, h in zip(zip(*(frame[c].tolist() for c in by), strict=True), zip(*(frame[c].tolist() for c in kept), strict=True) if kept else [()] * len(frame), frame[size].tolist(), held, strict=True):
                 if k != key:
-                    out += [(*key, *x) for x in state.finish()] if key else []
-                    key, state = k, new()
-                out += [(*k, *x) for x in state.add(s, h)]
+                    out += told(key, state.finish()) if key else []
+                    key, state, places, n = k, new(), {}, 0
+                places[n] = o
+                n += 1
+                found = state.add(s, h)
+                out += told(k, found)
+                for _, at in found:
+                    if at < state.first:
+                        places.pop(at, None)
             yield pd.DataFrame(out, columns=columns)
         if key:
-            yield pd.DataFrame([(*key, *x) for x in state.finish()], columns=columns)
+            yield pd.DataFrame(told(key, state.finish()), columns=columns)
 
     dealt = rows.select(*by, *order, size, *([section] if section else [])).repartition(*by).sortWithinPartitions(*by, *order)
-    return dealt.mapInPandas(fold, ", ".join([*(f"{c} {kinds[c]}" for c in by), f"{name} int, at int"]))
+    return dealt.mapInPandas(fold, ", ".join([*(f"{c} {kinds[c]}" for c in by), f"{name} int, at int", *(f"{c} {kinds[c]}" for c in kept)]))
 
 
 def pack(rows: DataFrame, by: list[str], order: list[str], size: str, section: str | None = None, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """(by.., chunk, at): which units, numbered from 0 in order, each passage of a manual takes."""
+    """(by.., chunk, at, order..): which units, numbered from 0 in order, each passage of a manual takes."""
     return _folded(rows, by, order, size, section, lambda: Packer(target, overlap), "chunk")
 
 
 def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """(chunk_id, manual_id, ord, section, pages, printed, refs, figures, text) of the pages' manuals."""
     order = ["ord", "para", "piece"]
-    found = units(pages, target).withColumn("size", F.char_length("text"))
-    numbered = found.withColumn("at", F.row_number().over(Window.partitionBy("manual_id").orderBy(*order)) - 1)
-    taken = numbered.join(pack(numbered, ["manual_id"], order, "size", "section", target, overlap), ["manual_id", "at"])
+    found = units(pages, target)
+    sized = found.select("manual_id", *order, "section", F.char_length("text").alias("size"))
+    taken = found.join(pack(sized, ["manual_id"], order, "size", "section", target, overlap), ["manual_id", *order])
     whole = taken.groupBy("manual_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "page", "printed", "section", "text"))).alias("u"))
     text = strip_references(F.array_join(F.transform("u", lambda x: x["text"]), "\n"))
     whole = whole.withColumn("cleaned", text)
@@ -165,5 +180,5 @@ def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
 
 
 def batches(rows: DataFrame, by: list[str], order: list[str], size: str, most: int = 50, chars: int = 80_000) -> DataFrame:
-    """(by.., batch, at): which texts, numbered from 0, each request takes; an oversized text goes alone."""
+    """(by.., batch, at, order..): which texts, numbered from 0, each request takes; an oversized text goes alone."""
     return _folded(rows, by, order, size, None, lambda: Batcher(most, chars), "batch")

@@ -25,7 +25,7 @@ def extract_stats(pages: DataFrame) -> DataFrame:
 
 
 def chunk_stats(pages: DataFrame, units: DataFrame, chunks: DataFrame) -> DataFrame:
-    nav = P.nav_pages(P.page_lines(pages)).groupBy("manual_id").agg(F.count("*").alias("nav"))
+    nav = P.nav_pages(P.page_rows(pages)).groupBy("manual_id").agg(F.count("*").alias("nav"))
     size = F.char_length("text")
     of_chunks = chunks.groupBy("manual_id").agg(F.count("*").alias("chunks"), F.sum(size).alias("chars"), F.median(size).alias("median"))
     of_units = units.groupBy("manual_id").agg(F.count_if(F.coalesce("section", F.lit("")) == "").alias("unsectioned"))

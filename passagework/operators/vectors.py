@@ -6,10 +6,14 @@ An index is rows (manual_id, ord, vector) and, for each manual, one row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import digest
 from ..functions.vectors import dot, norm, unit
 
 TOP_K = 5
@@ -43,9 +47,29 @@ def norms(rows: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def digests(chunks: DataFrame) -> DataFrame:
-    """(manual_id, digest) over the texts of each manual in order."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
-    return chunks.groupBy("manual_id").agg(digest(texts).alias("digest"))
+    """(manual_id, digest) over the texts of each manual in order, each closed by a NUL; a null counts as none.
+
+    The digest is of one sequence, so a manual is read in order by one task. It
+    streams through, text by text; nothing of it is gathered.
+    """
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        manual, state = None, None
+        for frame in frames:
+            out = []
+            for m, text in zip(frame["manual_id"].tolist(), frame["text"].tolist(), strict=True):
+                if state is None or m != manual:
+                    out += [(manual, state.hexdigest())] if state else []
+                    manual, state = m, hashlib.sha256()
+                if text is not None:
+                    state.update(text.encode() + b"\0")
+            yield pd.DataFrame(out, columns=["manual_id", "digest"])
+        if state:
+            yield pd.DataFrame([(manual, state.hexdigest())], columns=["manual_id", "digest"])
+
+    kind = chunks.schema["manual_id"].dataType.simpleString()
+    dealt = chunks.select("manual_id", "ord", "text").repartition("manual_id").sortWithinPartitions("manual_id", "ord")
+    return dealt.select("manual_id", "text").mapInPandas(stream, f"manual_id {kind}, digest string")
 
 
 def index_meta(chunks: DataFrame, index: DataFrame, model: str) -> DataFrame:
@@ -53,14 +77,27 @@ def index_meta(chunks: DataFrame, index: DataFrame, model: str) -> DataFrame:
     return digests(chunks).join(sizes, "manual_id").withColumn("model", F.lit(model))
 
 
-def freshness(wanted: DataFrame, chunks: DataFrame, meta: DataFrame, model: str) -> DataFrame:
+#: What an index says of itself; one that lacks any of these isn't used.
+REQUIRED = ("digest", "model", "n", "dims")
+
+
+def lacks(meta: DataFrame, required: Sequence[str] = REQUIRED) -> Column:
+    """Whether a row of an index's description lacks a required field, or holds none for it."""
+    present = set(meta.columns)
+    missing = F.lit(not set(required) <= present)
+    return reduce(lambda a, c: a | F.col(c).isNull(), [c for c in required if c in present], missing)
+
+
+def freshness(wanted: DataFrame, chunks: DataFrame, meta: DataFrame, model: str, required: Sequence[str] = REQUIRED) -> DataFrame:
     """(manual_id, status, advice): the first reason why an index can't be used, or ``fresh``."""
     now = digests(chunks).withColumnRenamed("digest", "now")
-    seen = wanted.select("manual_id").distinct().join(now, "manual_id", "left").join(meta.withColumn("indexed", F.lit(True)), "manual_id", "left")
+    told = meta.withColumn("lacking", lacks(meta, required))
+    told = told.select("manual_id", "lacking", *(F.col(c) if c in meta.columns else F.lit(None).cast("string").alias(c) for c in ("model", "digest")))
+    seen = wanted.select("manual_id").distinct().join(now, "manual_id", "left").join(told, "manual_id", "left")
     status = (
         F.when(F.col("now").isNull(), "no chunks")
-        .when(F.col("indexed").isNull(), "not indexed")
-        .when(F.col("model").isNull() | F.col("digest").isNull(), "incomplete")
+        .when(F.col("lacking").isNull(), "not indexed")
+        .when(F.col("lacking"), "incomplete")
         .when(F.col("model") != model, "other model")
         .when(F.col("digest") != F.col("now"), "other chunks")
         .otherwise("fresh")

@@ -8,6 +8,8 @@ one expression, the same on both sides.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named by the cluster; a temporary one only in local mode, where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="spark-ingest-")).rstrip("/")
+
+
+def dealt_out(df: DataFrame, least: int = 1_000_000) -> DataFrame:
+    """df over all cores before heavy work on each row. A table of fewer rows than ``least`` may be one row group, which one task reads."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() < least else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt_out(table(spark, sf_dir, "documents"))
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = lambda n: (2000 + F.col("p_size") % 20 + n).cast("string")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
@@ -67,7 +86,7 @@ MARKED = r"""concat(case when doc_id % 4 = 0 then (doc_id % 900) || chr(10) else
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the pages of the manual that is their source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir).select("source", "doc_id", "text")
     return docs.select(F.col("source").alias("manual_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("int").alias("page"), marked_text().alias("text"))
 
 
@@ -82,7 +101,7 @@ nav as materialized (select manual_id, ord from ln group by manual_id, ord havin
 
 def own_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a manual, twelve lines to a page."""
-    docs = table(spark, sf_dir, "documents").withColumn("source", F.concat(F.lit("d"), "doc_id"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("d"), "doc_id").alias("source"))
     lines = docs.select(F.col("source").alias("manual_id"), F.split(marked_text(), "\n").alias("l"))
     page = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 12).cast("int")), lambda p: F.array_join(F.slice("l", p * 12 + 1, 12), "\n"))
     return lines.select("manual_id", F.posexplode(page).alias("ord", "text")).select("manual_id", F.col("ord").cast("long").alias("ord"), (F.col("ord") + 1).alias("page"), "text")
@@ -90,7 +109,7 @@ def own_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, at, size): the lines of each document that aren't empty."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("l"))
+    rows = documents(spark, sf_dir).select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("l"))
     return rows.select("doc_id", F.posexplode("l").alias("at", "line")).select("doc_id", "at", F.char_length("line").alias("size"), "line")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -120,18 +120,23 @@ def picker_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PAGES} select manual_id, ord, n::bigint as n, i::bigint as i, line from ln")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages.page_lines(base.pages(spark, sf_dir))
+    rows = pages.page_lines(pages.page_rows(base.pages(spark, sf_dir)))
     return rows.select("manual_id", "ord", F.col("n").cast("long").alias("n"), F.col("i").cast("long").alias("i"), "line")
 
 
 @query(f"with {PAGES} select manual_id, ord from nav")
 def nav_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.nav_pages(pages.page_lines(base.pages(spark, sf_dir)))
+    return pages.nav_pages(pages.page_rows(base.pages(spark, sf_dir)))
 
 
 @query(f"with {PAGES} select manual_id, line from chrome")
 def chrome_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.chrome(pages.page_lines(base.pages(spark, sf_dir)))
+    return pages.chrome(pages.page_rows(base.pages(spark, sf_dir)))
+
+
+def _stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages.page_rows(base.pages(spark, sf_dir))
+    return pages.strip_chrome(rows, pages.chrome(rows))
 
 
 _HEADS = "heads as materialized (select manual_id, ord, min_by(line, i) filter (running and regexp_matches(line, '[\\p{L}\\p{N}_]')) as head, min_by(line, i) filter (number) as printed, count(*) filter (not number and not running) as n_body from mark group by all)"
@@ -139,17 +144,12 @@ _HEADS = "heads as materialized (select manual_id, ord, min_by(line, i) filter (
 
 @query(f"with {PAGES}, {_HEADS} select * from heads")
 def strip_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = pages.page_lines(base.pages(spark, sf_dir))
-    body, heads = pages.strip_chrome(lines, pages.chrome(lines))
-    kept = body.groupBy("manual_id", "ord").agg(F.count("*").alias("n_body"))
-    return heads.join(kept, ["manual_id", "ord"], "left").select("manual_id", "ord", "head", "printed", F.coalesce("n_body", F.lit(0)).alias("n_body"))
+    return _stripped(spark, sf_dir).select("manual_id", "ord", "head", "printed", F.size("body").cast("long").alias("n_body"))
 
 
 @query(f"with {PAGES}, {_HEADS} select manual_id, ord, last_value(head ignore nulls) over (partition by manual_id order by ord) as section from heads anti join nav using (manual_id, ord)")
 def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = pages.page_lines(base.pages(spark, sf_dir))
-    _, heads = pages.strip_chrome(lines, pages.chrome(lines))
-    return pages.sections(heads, pages.nav_pages(lines)).select("manual_id", "ord", "section")
+    return pages.sections(_stripped(spark, sf_dir)).select("manual_id", "ord", "section")
 
 
 _JOIN = r"regexp_replace(regexp_replace({0}, '([\p{{L}}\p{{N}}_])-\n(\p{{Lu}})', '\1-\2', 'g'), '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
@@ -157,7 +157,7 @@ _JOIN = r"regexp_replace(regexp_replace({0}, '([\p{{L}}\p{{N}}_])-\n(\p{{Lu}})',
 
 @query(f"select doc_id, md5({_JOIN.format(MARKED)}) as joined from documents")
 def hyphen_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.rejoin_hyphens(base.marked_text()).cast("binary")).alias("joined"))
+    return base.documents(spark, sf_dir).select("doc_id", F.md5(T.rejoin_hyphens(base.marked_text()).cast("binary")).alias("joined"))
 
 
 @query(f"""with {PAGES}, j as (select ord, string_agg(line, chr(10) order by i) as t from mark where not number and not running group by ord),
@@ -166,9 +166,7 @@ f as (select *, regexp_matches(line, '^\\s*[●▪•–-]') as bullet, coalesce
 g as (select *, sum(case when bullet or regexp_matches(line, '^Fig\\.\\s*\\d') or regexp_matches(prev, '[.:!?]$') then 1 else 0 end) over (partition by ord order by i) as para from f)
 select ord, para::bigint as para, string_agg(case when bullet then regexp_replace(line, '^\\s*[●▪•–-]\\s*', '- ') else line end, ' ' order by i) as text from g group by ord, para""")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = pages.page_lines(base.pages(spark, sf_dir))
-    body, _ = pages.strip_chrome(lines, pages.chrome(lines))
-    return pages.paragraphs(body).select("ord", "para", "text")
+    return pages.paragraphs(_stripped(spark, sf_dir)).select("ord", F.col("para").cast("long").alias("para"), "text")
 
 
 # Passages
@@ -182,7 +180,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
       select *, case when strpos(substr(rest, 1, 1200), ' ') > 0 then 1200 - strpos(reverse(substr(rest, 1, 1200)), ' ') else -1 end as space from r)) where rest <> '')
 select doc_id, (i - 1)::bigint as i, md5(piece) as piece from r where i > 0""")
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.posexplode(passages.split_long(F.col("text"))).alias("i", "piece"))
+    rows = base.documents(spark, sf_dir).where("text <> ''").select("doc_id", F.posexplode(passages.split_long(F.col("text"))).alias("i", "piece"))
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.md5(F.col("piece").cast("binary")).alias("piece"))
 
 
@@ -222,7 +220,7 @@ g as (select doc_id, refs, list_sort(list_distinct(list_transform(regexp_extract
 select doc_id, array_to_string(refs, '|') as refs, array_to_string(figures, '|') as figures,
   md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\\S\\n]{{2,}}', ' ', 'g'))), lambda x: x <> ''), chr(10))) as text from g""")
 def strip_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.strip_references(base.marked_text()).alias("s"))
+    rows = base.documents(spark, sf_dir).select("doc_id", T.strip_references(base.marked_text()).alias("s"))
     return rows.select("doc_id", listed("s.refs").alias("refs"), listed("s.figures").alias("figures"), F.md5(F.col("s.text").cast("binary")).alias("text"))
 
 
@@ -292,7 +290,7 @@ select 'd' || doc_id as manual_id, case when len(l) = 0 then 'no chunks' when in
 def freshness_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("manual_id"), "lang", "source")
     chunks = _chunks(spark, sf_dir)
-    meta = vectors.digests(chunks).join(docs, "manual_id").where("lang <> 'de' or lang is null").select("manual_id", F.when(F.col("source") == "src3", "other").otherwise(F.col("digest")).alias("digest"), F.when(F.col("lang") == "fr", "old").when(F.col("lang") == "es", None).otherwise("new").alias("model"))
+    meta = vectors.digests(chunks).join(docs, "manual_id").where("lang <> 'de' or lang is null").select("manual_id", F.when(F.col("source") == "src3", "other").otherwise(F.col("digest")).alias("digest"), F.when(F.col("lang") == "fr", "old").when(F.col("lang") == "es", None).otherwise("new").alias("model"), F.lit(1).alias("n"), F.lit(1).alias("dims"))
     return vectors.freshness(docs, chunks, meta, "new").select("manual_id", "status")
 
 
@@ -333,7 +331,7 @@ x as (select manual_id, count(*) filter (head is null) as unsectioned from heads
 select c.manual_id as name, chunks as pages, coalesce(nav, 0) as nav, chunks, chars, median, unsectioned from c left join n using (manual_id) left join x using (manual_id)""")
 def stats_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.pages(spark, sf_dir)
-    _, heads = pages.strip_chrome(lines := pages.page_lines(rows), pages.chrome(lines))
+    heads = _stripped(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").select(F.col("source").alias("manual_id"), "text")
     return quality.chunk_stats(rows, heads.select("manual_id", F.col("head").alias("section")), texts)
 
@@ -352,7 +350,7 @@ def report_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return table(spark, sf_dir, "lineitem").select(
+    return base.dealt_out(table(spark, sf_dir, "lineitem")).select(
         (c("l_suppkey") % 50).cast("string").alias("manual_id"), (c("l_partkey") % 40).cast("int").alias("page"), (c("l_orderkey") * 10_000_000 + c("l_partkey") * 10 + c("l_linenumber")).alias("seq"),
         c("l_discount").alias("x0"), c("l_tax").alias("y0"), (c("l_discount") + c("l_linenumber") - 1).alias("x1"), (c("l_tax") + 10).alias("y1"), (c("l_quantity") * 10).cast("int").alias("width"), F.lit(100).alias("height"),
     )
@@ -380,7 +378,7 @@ select c_custkey, coalesce(figures, '') as figures from h left join m using (c_c
 def hits_with_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     hits = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 3).cast("string").alias("manual_id"), F.array((c % 45).cast("int"), ((c + 7) % 45).cast("int")).alias("pages"))
-    found = figures.with_figures(hits, figures.placements(_images(spark, sf_dir)), ["c_custkey"])
+    found = figures.with_figures(hits, figures.placements(figures.on_pages(_images(spark, sf_dir), figures.pages_of(hits))), ["c_custkey"])
     return found.select("c_custkey", F.array_join(F.transform("figures", lambda f: f["figure_id"]), "|").alias("figures"))
 
 
@@ -478,8 +476,7 @@ def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, length(text)::bigint as size from documents")
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files that a stream takes up once: run twice, each is there once."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ingest-")
-    where = f"{where.rstrip('/')}/ingest-{spark.sparkContext.applicationId}-{id(object())}"
+    where = f"{base.scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.mode("overwrite").parquet(f"{where}/in")
     measure = lambda batch: batch.select("doc_id", F.char_length("text").cast("long").alias("size"))
