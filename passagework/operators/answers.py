@@ -61,13 +61,34 @@ def sse_bodies(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.startswith(F.col(line), F.lit("data:"))).withColumn("body", strip(F.substring(line, 6, 1 << 30)))
 
 
-def answer(replies: DataFrame, model: str) -> DataFrame:
-    """(reply_id, answer, tokens, error) of whole replies (reply_id, body)."""
+def answer(replies: DataFrame, model: str, hits: DataFrame | None = None) -> DataFrame:
+    """(reply_id, answer, model, tokens, hits, error) of whole replies (reply_id, body): an answer with what it was built from, or why there is none.
+
+    hits: rows of ``shaped`` under the reply's id as question_id; without them the array is empty.
+    A blocked reply tells its reason, or failing that is told whole.
+    """
     s = replies.select("reply_id", "body", spoken(F.col("body")).alias("s"))
     none = F.coalesce(F.size(F.from_json("body", REPLY)["candidates"]), F.lit(0)) <= 0
+    reason = F.coalesce(F.get_json_object("body", "$.promptFeedback"), F.col("body"), F.lit(""))
     early = F.col("s.finish").isNotNull() & (F.col("s.finish") != "STOP")
-    error = F.when(none, F.lit(f"{model} returned no answer")).when(early, F.concat(F.lit(f"{model} stopped early ("), "s.finish", F.lit(")")))
-    return s.select("reply_id", F.when(error.isNull(), strip(F.col("s.text"))).alias("answer"), F.when(error.isNull(), F.col("s.tokens")).alias("tokens"), error.alias("error"))
+    error = F.when(none, F.concat(F.lit(f"no answer from {model}: "), reason)).when(early, F.concat(F.lit(f"{model} stopped early ("), "s.finish", F.lit("); the answer would be incomplete")))
+    told = s.select("reply_id", F.when(error.isNull(), strip(F.col("s.text"))).alias("answer"), F.lit(model).alias("model"), F.when(error.isNull(), F.col("s.tokens")).alias("tokens"), error.alias("error"))
+    if hits is None:
+        return told.select("reply_id", "answer", "model", "tokens", F.array().alias("hits"), "error")
+    fields = [c for c in hits.columns if c != "question_id"]
+    gathered = hits.groupBy(F.col("question_id").alias("reply_id")).agg(F.array_sort(F.collect_list(F.struct("rank", *(c for c in fields if c != "rank")))).alias("hits"))  # k to a question
+    empty = F.array().cast(gathered.schema["hits"].dataType)
+    return told.join(gathered, "reply_id", "left").select("reply_id", "answer", "model", "tokens", F.coalesce("hits", empty).alias("hits"), "error")
+
+
+#: Fixed value: what an interface trims off a question.
+TRIMMED = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def to_send(question: Column, busy: Column) -> Column:
+    """The question as it is sent, or null while it may not be: when it is blank, or another is under way."""
+    trimmed = F.btrim(question, F.lit(TRIMMED))
+    return F.when((trimmed != "") & ~F.coalesce(busy, F.lit(False)), trimmed)
 
 
 def events(pieces: DataFrame, hits: DataFrame, model: str) -> DataFrame:

@@ -90,14 +90,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("source").alias("manual_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("int").alias("page"), marked_text().alias("text"))
 
 
-PAGES = f"""pg as materialized (select source as manual_id, doc_id as ord, {MARKED} as text from documents),
-ln as materialized (select manual_id, ord, len(l) as n, unnest(range(len(l))) as i, unnest(l) as line from (
-  select manual_id, ord, list_filter(list_transform(string_split(regexp_replace(text, '[\\x{{E000}}-\\x{{F8FF}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') as l from pg)),
-edge as materialized (select *, i < 2 or i >= n - 2 as at_edge, regexp_full_match(line, '[0-9]{{1,4}}') as num from ln),
+_LINES = """ln as materialized (select manual_id, ord, len(l) as n, unnest(range(len(l))) as i, unnest(l) as line from (
+  select manual_id, ord, list_filter(list_transform(string_split(regexp_replace(text, '[\\x{E000}-\\x{F8FF}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') as l from pg)),
+edge as materialized (select *, i < 2 or i >= n - 2 as at_edge, regexp_full_match(line, '[0-9]{1,4}') as num from ln),
 chrome as materialized (select manual_id, line from (select distinct manual_id, ord, line from edge where at_edge) group by manual_id, line having count(*) >= 5),
 mark as materialized (select e.*, at_edge and num as number, at_edge and not num and c.line is not null as running from edge e left join chrome c using (manual_id, line)),
 nav as materialized (select manual_id, ord from ln group by manual_id, ord having avg(case when regexp_matches(line, '\\.\\s*\\.\\s*\\.\\s*\\.') then 1 else 0 end) >= 0.3)"""
 
+PAGES = f"pg as materialized (select source as manual_id, doc_id as ord, {MARKED} as text from documents),\n{_LINES}"
+
 
 def own_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a manual, twelve lines to a page."""
@@ -107,6 +108,11 @@ def own_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("manual_id", F.posexplode(page).alias("ord", "text")).select("manual_id", F.col("ord").cast("long").alias("ord"), (F.col("ord") + 1).alias("page"), "text")
 
 
+OWN_PAGES = f"""pg as materialized (select 'd' || doc_id as manual_id, p as ord, array_to_string(l[p * 12 + 1:p * 12 + 12], chr(10)) as text
+  from (select doc_id, l, unnest(range((len(l) - 1) // 12 + 1)) as p from (select doc_id, string_split({MARKED}, chr(10)) as l from (select doc_id, text, 'd' || doc_id as source from documents)))),
+{_LINES}"""
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, at, size): the lines of each document that aren't empty."""
     rows = documents(spark, sf_dir).select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("l"))

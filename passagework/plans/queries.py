@@ -13,7 +13,7 @@ from ..operators import answers, catalogue, figures, pages, passages, quality, v
 from ..sources import tables
 from ..streaming import jobs
 from . import base
-from .base import CATALOGUE, HITS, MARKED, NEWEST, PAGES, UNITS, table
+from .base import CATALOGUE, HITS, MARKED, NEWEST, OWN_PAGES, PAGES, UNITS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,11 +160,16 @@ def hyphen_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.documents(spark, sf_dir).select("doc_id", F.md5(T.rejoin_hyphens(base.marked_text()).cast("binary")).alias("joined"))
 
 
-@query(f"""with {PAGES}, j as (select ord, string_agg(line, chr(10) order by i) as t from mark where not number and not running group by ord),
-r as (select ord, string_split({_JOIN.format("t")}, chr(10)) as l from j), x as (select ord, unnest(range(len(l))) as i, unnest(l) as line from r),
-f as (select *, regexp_matches(line, '^\\s*[●▪•–-]') as bullet, coalesce(lag(line) over (partition by ord order by i), '') as prev from x),
-g as (select *, sum(case when bullet or regexp_matches(line, '^Fig\\.\\s*\\d') or regexp_matches(prev, '[.:!?]$') then 1 else 0 end) over (partition by ord order by i) as para from f)
-select ord, para::bigint as para, string_agg(case when bullet then regexp_replace(line, '^\\s*[●▪•–-]\\s*', '- ') else line end, ' ' order by i) as text from g group by ord, para""")
+def _paragraphs_sql(kept: str) -> str:
+    """para: (manual_id, ord, para, text) of the body lines of the records that kept, a table of (manual_id, ord), has."""
+    return f"""j as (select manual_id, ord, string_agg(line, chr(10) order by i) as t from mark {kept} where not number and not running group by all),
+r as (select manual_id, ord, string_split({_JOIN.format("t")}, chr(10)) as l from j), x as (select manual_id, ord, unnest(range(len(l))) as i, unnest(l) as line from r),
+f as (select *, regexp_matches(line, '^\\s*[●▪•–-]') as bullet, coalesce(lag(line) over (partition by manual_id, ord order by i), '') as prev from x),
+g as (select *, sum(case when bullet or regexp_matches(line, '^Fig\\.\\s*\\d') or regexp_matches(prev, '[.:!?]$') then 1 else 0 end) over (partition by manual_id, ord order by i) as para from f),
+para as materialized (select manual_id, ord, para::bigint as para, string_agg(case when bullet then regexp_replace(line, '^\\s*[●▪•–-]\\s*', '- ') else line end, ' ' order by i) as text from g group by all)"""
+
+
+@query(f"with {PAGES}, {_paragraphs_sql('')} select ord, para, text from para")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.paragraphs(_stripped(spark, sf_dir)).select("ord", F.col("para").cast("long").alias("para"), "text")
 
@@ -172,13 +177,18 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Passages
 
 
-@query("""with recursive r as (
-  select doc_id, 0 as i, text as rest, null::varchar as piece from documents where text <> ''
+def _pieces_sql(key: str, source: str) -> str:
+    """pieces: (key.., i, piece), i from 1, of the texts of source, a table of (key.., text)."""
+    return f"""cutting as (
+  select {key}, 0 as i, text as rest, null::varchar as piece from {source} where text <> ''
   union all
-  select doc_id, i + 1, trim(substr(rest, cut + 1), e' \\n'), trim(substr(rest, 1, cut), e' \\n') from (
+  select {key}, i + 1, trim(substr(rest, cut + 1), e' \\n'), trim(substr(rest, 1, cut), e' \\n') from (
     select *, case when length(rest) <= 1200 then length(rest) when space > 600 then space else 1200 end as cut from (
-      select *, case when strpos(substr(rest, 1, 1200), ' ') > 0 then 1200 - strpos(reverse(substr(rest, 1, 1200)), ' ') else -1 end as space from r)) where rest <> '')
-select doc_id, (i - 1)::bigint as i, md5(piece) as piece from r where i > 0""")
+      select *, case when strpos(substr(rest, 1, 1200), ' ') > 0 then 1200 - strpos(reverse(substr(rest, 1, 1200)), ' ') else -1 end as space from cutting)) where rest <> ''),
+pieces as (select {key}, i, piece from cutting where i > 0)"""
+
+
+@query(f"with recursive {_pieces_sql('doc_id', 'documents')} select doc_id, (i - 1)::bigint as i, md5(piece) as piece from pieces")
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.documents(spark, sf_dir).where("text <> ''").select("doc_id", F.posexplode(passages.split_long(F.col("text"))).alias("i", "piece"))
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.md5(F.col("piece").cast("binary")).alias("piece"))
@@ -214,20 +224,45 @@ _W = "[\\p{L}\\p{N}_]"
 _REF = "(?i)[,;]?[^\\S\\n]*(?:[›»⇒]+[^\\S\\n]*)?(?:(?:v[ée]ase|ver|consulte|consultar)\\b[^\\S\\n]*)?(?:\\b(?:de|en)\\b[^\\S\\n]*)?(?:\\bla\\b[^\\S\\n]*)?\\bp[áa]g(?:ina|s)?\\b\\.?\\s*(\\d{1,4})"
 
 
-@query(f"""with t as materialized (select doc_id, {MARKED} as text from documents),
-b as materialized (select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_REF}', 1), lambda x: cast(x as int)))) as refs, regexp_replace(text, '{_REF}', '', 'g') as text from t),
-g as (select doc_id, refs, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bfig\\.?\\s*(\\d{{1,4}})', 1), lambda x: cast(x as int)))) as figures, regexp_replace(text, '[^\\S\\n]*[›»⇒]+[^\\S\\n]*', ' ', 'g') as text from b)
-select doc_id, array_to_string(refs, '|') as refs, array_to_string(figures, '|') as figures,
-  md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\\S\\n]{{2,}}', ' ', 'g'))), lambda x: x <> ''), chr(10))) as text from g""")
+def _references_sql(source: str) -> str:
+    """plain: the columns of source with refs, figures and text as they are without references."""
+    numbers = "list_sort(list_distinct(list_transform(regexp_extract_all(text, '{0}', 1), lambda x: cast(x as int))))"
+    return f"""b as materialized (select * replace (regexp_replace(text, '{_REF}', '', 'g') as text), {numbers.format(_REF)} as refs from {source}),
+g2 as (select * replace (regexp_replace(text, '[^\\S\\n]*[›»⇒]+[^\\S\\n]*', ' ', 'g') as text), {numbers.format("(?i)\\bfig\\.?\\s*(\\d{1,4})")} as figures from b),
+plain as (select * replace (array_to_string(refs, '|') as refs, array_to_string(figures, '|') as figures,
+  array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\\S\\n]{{2,}}', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text) from g2)"""
+
+
+@query(f"with t as materialized (select doc_id, {MARKED} as text from documents), {_references_sql('t')} select doc_id, refs, figures, md5(text) as text from plain")
 def strip_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.documents(spark, sf_dir).select("doc_id", T.strip_references(base.marked_text()).alias("s"))
     return rows.select("doc_id", listed("s.refs").alias("refs"), listed("s.figures").alias("figures"), F.md5(F.col("s.text").cast("binary")).alias("text"))
 
 
-@query()
+# The whole way from pages to passages. A passage ends where its section does, or where the next unit would not fit.
+_PASSAGES = f"""with recursive {OWN_PAGES}, {_HEADS},
+sec as materialized (select manual_id, ord, printed, last_value(head ignore nulls) over (partition by manual_id order by ord) as section from heads anti join nav using (manual_id, ord)),
+{_paragraphs_sql("semi join sec using (manual_id, ord)")},
+{_pieces_sql("manual_id, ord, para", "para")},
+un as materialized (select manual_id, p.ord, p.ord + 1 as page, printed, section, piece as text, row_number() over (partition by manual_id order by p.ord, para, i) - 1 as place from pieces p join sec using (manual_id, ord)),
+m as materialized (select manual_id, count(*) as n, list(coalesce(section, chr(1)) order by place) as h, list(length(text) order by place) as s from un group by all),
+c as materialized (select manual_id, n, h, list_concat([0], list_transform(range(1, n + 1), lambda i: list_sum(s[1:i])::bigint)) as c from m),
+k as (
+  select manual_id, n, h, c, 0 as chunk, 0::bigint as first, coalesce(list_filter(range(1, n), lambda e: h[e + 1] <> h[e] or c[e + 2] - c[1] > 1200)[1], n) as stop from c
+  union all
+  select manual_id, n, h, c, chunk + 1, f, coalesce(list_filter(range(stop + 1, n), lambda e: h[e + 1] <> h[e] or c[e + 2] - c[f + 1] > 1200)[1], n)
+  from (select *, case when h[stop + 1] <> h[stop] then stop else coalesce(list_filter(range(first, stop), lambda j: c[stop + 1] - c[j + 1] <= 150)[1], stop) end as f from k where stop < n)),
+t as materialized (select k.manual_id, chunk, (list(section order by place))[1] as section, list_sort(list(distinct page)) as pages, list(printed order by place) filter (printed is not null) as printed, string_agg(text, chr(10) order by place) as text
+  from k join un on un.manual_id = k.manual_id and place >= first and place < stop group by k.manual_id, chunk),
+{_references_sql("t")}
+select manual_id || ':' || lpad(chunk::varchar, 5, '0') as chunk_id, manual_id, chunk::bigint as ord, section, array_to_string(pages, '|') as pages,
+  coalesce(array_to_string(list_filter(printed, lambda x, i: list_position(printed, x) = i), '|'), '') as printed, refs, figures, text from plain"""
+
+
+@query(_PASSAGES)
 def manual_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.passages(base.own_pages(spark, sf_dir))
-    return found.select("chunk_id", "manual_id", "ord", "section", listed("pages").alias("pages"), listed("printed").alias("printed"), listed("refs").alias("refs"), listed("figures").alias("figures"), "text")
+    return found.select("chunk_id", "manual_id", F.col("ord").cast("long").alias("ord"), "section", listed("pages").alias("pages"), listed("printed").alias("printed"), listed("refs").alias("refs"), listed("figures").alias("figures"), "text")
 
 
 @query(f"""with recursive {UNITS}, r as (
@@ -382,9 +417,80 @@ def hits_with_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", F.array_join(F.transform("figures", lambda f: f["figure_id"]), "|").alias("figures"))
 
 
+@query(f"""with {_FIGURES}, w as (select distinct cast(c_nationkey * 3 as varchar) as manual_id, c_custkey % 45 as page from customer) select figure_id from fig semi join w using (manual_id, page)""")
+def figures_on_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 3).cast("string").alias("manual_id"), (F.col("c_custkey") % 45).cast("int").alias("page"))
+    return figures.on_pages(figures.placements(_images(spark, sf_dir)), wanted).select("figure_id")
+
+
+@query("""with f as (select cast(l_suppkey % 50 as varchar) as name, l_partkey % 40 as page, l_orderkey + l_linenumber as bytes, l_linenumber = 7 and l_suppkey % 3 = 0 as lost, l_suppkey % 50 = 8 as bare from lineitem)
+select name, count(*) filter (not lost and not bare) as figures, count(distinct page) filter (not lost and not bare) as pages, coalesce(sum(bytes) filter (not lost and not bare), 0)::bigint as bytes, count(*) filter (lost) as skipped from f group by name having count(*) filter (lost or not bare) > 0""")
+def figure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base.dealt_out(table(spark, sf_dir, "lineitem")).withColumn("manual_id", (F.col("l_suppkey") % 50).cast("string"))
+    lost = (F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 3 == 0)
+    drawn = rows.where(~lost & (F.col("l_suppkey") % 50 != 8)).select("manual_id", (F.col("l_partkey") % 40).alias("page"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("bytes"))
+    return quality.figure_stats(drawn, rows.where(lost))
+
+
 # Answers
 
 
+@query("""select c_custkey, case when c_custkey % 3 = 0 then 'A' || (c_custkey % 7) || '-' || 'B' when c_custkey % 3 = 1 then (c_custkey % 45) || '-' || (c_custkey % 45 + 1) else '' end as label, coalesce(nullif(case when c_custkey % 2 = 0 then c_mktsegment when c_custkey % 5 = 0 then '' end, ''), 'sin seccion') as section from customer""")
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    printed = F.when(c % 3 == 0, F.array(F.concat(F.lit("A"), (c % 7).cast("string")), F.lit("B"))).otherwise(F.array().cast("array<string>"))
+    pages_ = F.when(c % 3 == 2, F.array().cast("array<int>")).otherwise(F.array((c % 45).cast("int"), (c % 45 + 1).cast("int")))
+    section = F.when(c % 2 == 0, F.col("c_mktsegment")).when(c % 5 == 0, "")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.page_label(printed, pages_).alias("label"), T.section_label(section).alias("section"))
+
+
+_SHAPED = "select conv_id as question_id, turn::bigint as rank, coalesce(case when role = 'user' then role end, 'sin seccion') as section, turn || '-' || (turn + 1) as pages, turn / 8.0::double as score, md5(text) as text, conv_id || ':' || turn as chunk_id, 0::bigint as n_figures from conversations"
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn").cast("int")
+    none = F.array().cast("array<struct<figure_id:string,url:string,page:int,width:int,height:int>>")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").cast("long").alias("rank"), F.when(F.col("role") == "user", F.col("role")).alias("section"), "text", F.array().cast("array<string>").alias("printed"), F.array(turn, turn + 1).alias("pages"), (F.col("turn") / 8.0).alias("score"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), none.alias("figures"))
+    return answers.shaped(rows)
+
+
+@query(_SHAPED)
+def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shaped(spark, sf_dir).withColumns({"text": F.md5(F.col("text").cast("binary")), "n_figures": F.size("figures").cast("long")}).drop("figures")
+
+
+@query("""with r as (select conv_id, max(turn) as last, count(*) as n from conversations group by conv_id)
+select conv_id as reply_id, case when conv_id % 4 = 0 then 'a' || last end as answer, 'm' as model, case when conv_id % 4 = 0 then last::bigint end as tokens, n as hits,
+  case conv_id % 4 when 1 then 'no answer from m: {"blockReason":"SAFETY"}' when 2 then 'm stopped early (MAX_TOKENS); the answer would be incomplete' when 3 then 'no answer from m: {}' end as error from r""")
+def whole_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("conv_id") % 4
+    replies = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").cast("string").alias("last"))
+    good = F.format_string('{"candidates":[{"content":{"parts":[{"text":" a%s"},{"text":" "}]},"finishReason":"%s"}],"usageMetadata":{"totalTokenCount":%s}}', "last", F.when(kind == 0, "STOP").otherwise("MAX_TOKENS"), "last")
+    body = F.when(kind == 1, '{"promptFeedback":{"blockReason":"SAFETY"}}').when(kind == 3, "{}").otherwise(good)
+    told = answers.answer(replies.select(F.col("conv_id").alias("reply_id"), body.alias("body")), "m", _shaped(spark, sf_dir))
+    return told.withColumn("hits", F.size("hits").cast("long"))
+
+
+@query("""select conv_id, turn, md5('{"contents":[{"role":"user","parts":[{"text":"q' || conv_id || '"}]}],"systemInstruction":{"parts":[{"text":"s' || turn || '"}]},"generationConfig":{"temperature":0,"maxOutputTokens":4096,"thinkingConfig":{"thinkingLevel":"low"}}}') as payload from conversations""")
+def request_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = answers.payload(F.concat(F.lit("q"), "conv_id"), F.concat(F.lit("s"), "turn"), "low")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(made.cast("binary")).alias("payload"))
+
+
+@query("""select conv_id, turn, case when role = 'user' and turn % 3 <> 0 then md5(trim(text, e' \\n\\t')) end as sent from conversations""")
+def composer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    question = F.when(F.col("role") == "user", F.concat(F.lit(" \n"), "text", F.lit("\t"))).otherwise(" \n\u3000")
+    sent = answers.to_send(question, F.col("turn") % 3 == 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(sent.cast("binary")).alias("sent"))
+
+
+@query("select s_suppkey, s_suppkey % 5 = 0 or s_suppkey % 7 = 0 as lacks, true as lacks_more from supplier")
+def index_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("s_suppkey")
+    meta = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(c % 5 != 0, "x").alias("digest"), F.lit("m").alias("model"), F.when(c % 7 != 0, c).alias("n"), F.lit(8).alias("dims"))
+    return meta.select("s_suppkey", vectors.lacks(meta).alias("lacks"), vectors.lacks(meta, (*vectors.REQUIRED, "built")).alias("lacks_more"))
+
+
 @query(f"""with {HITS}, p as materialized (select question_id, rank, unnest(range(len(l))) as i, unnest(l) as p from (select question_id, rank, string_split(text, chr(10)) as l from hits)),
 k as (select *, min(rank) over (partition by question_id, p) as first from p)
 select question_id, rank, md5(string_agg(p, chr(10) order by i)) as text from k where rank = first group by all""")

@@ -7,10 +7,14 @@ nothing else; Spark's committer makes that atomic.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalogue import with_ids
+from ..operators.vectors import index_meta, normalised
 
 CATALOGUE = "brand string, model array<string>, year array<string>, edition array<string>, url string"
 PAGES = "page int, text string"
@@ -57,6 +61,61 @@ def write_by_manual(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("manual_id").format(kind).save(path)
 
 
+def write_downloads(rows: DataFrame, path: str) -> DataFrame:
+    """Stores what ``remote.download`` fetches, once, and returns (downloaded, bytes, failed) with the failures' ids and reasons.
+
+    Each run is a folder of its own, which Spark's committer puts in place
+    whole: a broken run leaves no part of a file behind.
+    """
+    run = f"{path.rstrip('/')}/run={uuid.uuid4().hex}"
+    rows.write.parquet(run)
+    ok = F.col("error").isNull()
+    failures = F.array_sort(F.collect_list(F.when(~ok, F.struct("manual_id", "error"))))  # of one run
+    return rows.sparkSession.read.parquet(run).agg(F.count_if(ok).alias("downloaded"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"), F.count_if(~ok).alias("failed"), failures.alias("failures"))
+
+
+def read_downloads(spark: SparkSession, path: str) -> DataFrame:
+    """(manual_id, url, content) of all files that were fetched, in any run."""
+    return spark.read.schema("manual_id string, url string, content binary, error string").parquet(f"{path.rstrip('/')}/run=*").where("error is null").select("manual_id", "url", "content")
+
+
+def write_figures(drawn: DataFrame, placed: DataFrame, path: str) -> None:
+    """Stores figures: their JPEGs, then the index, whose presence says that a manual is done.
+
+    drawn: rows of ``extraction.render``, those with an error included. placed:
+    rows of ``figures.placements``. A manual without figures has no index.
+    """
+    write_by_manual(drawn, f"{path}/images")
+    stored = drawn.sparkSession.read.schema("page int, n int, width int, height int, jpeg binary, error string, manual_id string").parquet(f"{path}/images")
+    stored = stored.where("error is null")
+    about = placed.select("figure_id", "manual_id", "page", "n", "file", "bbox", F.array("width", "height").alias("source_px"))
+    index = about.join(stored.select("manual_id", "page", "n", "width", "height"), ["manual_id", "page", "n"])
+    write_by_manual(index.select("figure_id", "manual_id", "page", "n", "file", "bbox", "width", "height", "source_px"), f"{path}/index", "json")
+
+
+def figure_bytes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(figures, skipped) for ``quality.figure_stats``, of the images that are stored."""
+    rows = spark.read.schema("page int, n int, width int, height int, jpeg binary, error string, manual_id string").parquet(f"{path}/images")
+    return rows.where("error is null").select("manual_id", "page", F.octet_length("jpeg").alias("bytes")), rows.where("error is not null").select("manual_id")
+
+
+def build_index(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], model: str, path: str) -> None:
+    """Indexes the manuals of chunks: vectors of length one, then what the index says of itself.
+
+    ``embed`` adds a column ``vector`` to rows. The description is written last,
+    so a manual without one isn't indexed; others in the folder stay.
+    """
+    vectors = normalised(embed(chunks.select("manual_id", "ord", "text"))).select("manual_id", "ord", F.col("vector").cast("array<float>").alias("vector"))
+    write_by_manual(vectors, f"{path}/vectors")
+    built = read_index(chunks.sparkSession, f"{path}/vectors").join(chunks.select("manual_id").distinct(), "manual_id", "left_semi")
+    write_by_manual(index_meta(chunks, built, model), f"{path}/meta")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, descriptions) of what is indexed."""
+    return read_index(spark, f"{path}/vectors"), spark.read.schema("digest string, n long, dims int, model string, manual_id string").parquet(f"{path}/meta")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ord int, vector array<float>, manual_id string").parquet(path)
 
