@@ -81,9 +81,9 @@ def manual(spark):
 
 
 def test_pages_to_passages(spark):
-    lines = pages.page_lines(manual(spark))
-    assert {(r.manual_id, r.line) for r in pages.chrome(lines).collect()} == {("m", "Motor"), ("m", "Pie")}
-    assert [tuple(r) for r in pages.nav_pages(lines).collect()] == [("m", 6)]
+    rows = pages.page_rows(manual(spark))
+    assert {(r.manual_id, r.line) for r in pages.chrome(rows).collect()} == {("m", "Motor"), ("m", "Pie")}
+    assert [tuple(r) for r in pages.nav_pages(rows).collect()] == [("m", 6)]
     got = passages.passages(manual(spark), target=200, overlap=0).orderBy("chunk_id").collect()
     assert [r.chunk_id for r in got][:2] == ["m:00000", "m:00001"]
     first = got[0]
@@ -156,6 +156,8 @@ def test_events_end_once(spark):
     assert got[3][-1][0] == got[4][-1][0] == got[5][-1][0] == "error"
     whole = answers.answer(spark.createDataFrame([(1, piece(" hola ")), (2, piece("x", "SAFETY")), (3, "{}")], "reply_id int, body string"), "m")
     assert [(r.answer, r.error is None) for r in whole.orderBy("reply_id").collect()] == [("hola", True), (None, False), (None, False)]
+    blocked = answers.answer(spark.createDataFrame([(1, '{"promptFeedback":{"blockReason":"SAFETY"}}'), (2, None)], "reply_id int, body string"), "m")
+    assert [r.error for r in blocked.orderBy("reply_id").collect()] == ['no answer from m: {"blockReason":"SAFETY"}', "no answer from m: "]
 
 
 def test_quality_flags(spark):
@@ -165,3 +167,19 @@ def test_quality_flags(spark):
     drawn = spark.createDataFrame([("a", 9, 1, 1, 2), ("b", 100, 1, 30, 2), ("c", 1, 9, 1, 2)], "name string, figures long, skipped long, pages long, bytes long")
     assert {(r.flag, r.name) for r in quality.flags(drawn, "figure").collect()} == {("over 4 per page", "a"), ("over 10% skipped", "c")}
     assert {r.flag: r.fails for r in quality.report(drawn, "figure").collect()} == {"over 4 per page": False, "over 10% skipped": True}
+
+
+def test_digests_stream_in_order(spark):
+    import hashlib
+
+    rows = [(m, i, None if i == 5 else f"text {m} {i}") for m in ("a", "b", None) for i in range(40)]
+    random.Random(2).shuffle(rows)
+    got = {r.manual_id: r.digest for r in vectors.digests(spark.createDataFrame(rows, "manual_id string, ord int, text string").repartition(7)).collect()}
+    want = {m: hashlib.sha256("".join(f"text {m} {i}\0" for i in range(40) if i != 5).encode()).hexdigest() for m in ("a", "b", None)}
+    assert got == want
+
+
+def test_a_question_is_sent_once_it_says_something(spark):
+    rows = [(" qué \n", False), ("  ", False), ("x", True), ("\ufeff y", None), (None, False)]
+    got = spark.createDataFrame(rows, "q string, busy boolean").select(answers.to_send(F.col("q"), F.col("busy")).alias("s")).collect()
+    assert [r.s for r in got] == ["qué", None, None, "y", None]

@@ -1,8 +1,11 @@
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
-from passagework.sources import extraction, remote, tables
+from passagework.operators import figures, quality, vectors
+from passagework.sources import config, extraction, remote, tables
 from passagework.streaming import jobs
 
 
@@ -92,10 +95,13 @@ def test_retries_and_settings(tmp_path):
     with pytest.raises(remote.Refused):
         remote.retried(lambda: (_ for _ in ()).throw(remote.Refused(400)), sleep=waits.append)
     (tmp_path / ".env").write_text("# no\nexport A='1'\nB=\nC=\"x y\"\njunk\n")
-    get = remote.settings(tmp_path / ".env", {"A": "2"})
+    get = config.settings(tmp_path / ".env", {"A": "2"})
     assert (get("A"), get("B"), get("C")) == ("2", None, "x y")
     with pytest.raises(LookupError):
         get("B", True)
+    (tmp_path / "s").write_text("export D = \"d\"\n  #E=1\nF='x\" \nG=a=b \n=none\n")
+    more = config.settings(tmp_path / "s", {})
+    assert [more(k) for k in "DEFG"] == ["d", None, "'x\"", "a=b"]
     lines = list(remote.ndjson(iter([{"event": "hits"}])))
     assert json.loads(lines[0]) == {"event": "hits"}
 
@@ -105,3 +111,118 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         spark.range(n * 10, n * 10 + 10).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.ingest(spark, str(tmp_path / "in"), "id long", "parquet", str(tmp_path / "out"), str(tmp_path / "state"), lambda b: b).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_pacing_is_a_function_of_what_was_sent():
+    assert remote.pace((), 5.0, 9999) == ((), 0.0)
+    assert remote.pace(((0.0, 10), (30.0, 5)), 40.0, 5, rate=20) == (((0.0, 10), (30.0, 5)), 0.0)
+    assert remote.pace(((0.0, 10), (30.0, 5)), 40.0, 6, rate=20) == (((0.0, 10), (30.0, 5)), 20.5)
+    assert remote.pace(((0.0, 10), (30.0, 5)), 60.0, 16, rate=20) == (((30.0, 5),), 30.5)
+
+
+class Reply:
+    def __init__(self, headers, *parts):
+        self.headers, self.parts = headers, parts
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+    def read(self):
+        for p in self.parts:
+            if isinstance(p, Exception):
+                raise p
+        return b"".join(self.parts)
+
+
+def test_opening_is_retried_and_reading_only_when_fetched_whole():
+    replies = [OSError("refused"), Reply({}, OSError("broke")), Reply({"a": 1}, b"ok")]
+
+    def connect():
+        x = replies.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    waits = []
+    assert remote.fetched(connect, sleep=waits.append) == ({"a": 1}, b"ok") and waits == [2.0, 4.0]
+    replies[:] = [OSError("refused"), Reply({}, OSError("broke")), Reply({}, b"never")]
+    with remote.opened(connect, sleep=waits.append) as reply, pytest.raises(OSError, match="broke"):
+        reply.read()
+    assert len(replies) == 1
+    with pytest.raises(RuntimeError, match="400 from model:verb: why"):
+        remote.named("model:verb", lambda: (_ for _ in ()).throw(remote.Refused(400, "why")))
+
+
+def test_downloads_are_checked_and_stored_once(spark, tmp_path):
+    def connect(url):
+        if url == "gone":
+            raise remote.Refused(404, "no such file")
+        return Reply({"Content-Type": "text/html" if url == "html" else "application/PDF"}, b"<html>" if url in ("html", "fake") else b"%PDF-1 " + url.encode())
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks don't import tests
+    plan = spark.createDataFrame([(u.upper(), u) for u in ("a", "html", "fake", "gone", "b")], "manual_id string, url string")
+    report = tables.write_downloads(remote.download(plan, connect, pause=0.0), str(tmp_path / "raw")).first()
+    assert (report.downloaded, report.bytes, report.failed) == (2, 16, 3)
+    assert [(f.manual_id, f.error[:13]) for f in report.failures] == [("FAKE", "content does "), ("GONE", "HTTP 404: no "), ("HTML", "not a PDF (Co")]
+    have = tables.read_downloads(spark, str(tmp_path / "raw"))
+    assert {r.manual_id for r in have.collect()} == {"A", "B"}
+    left = tables.to_download(plan, have)
+    assert {r.manual_id for r in left.collect()} == {"HTML", "FAKE", "GONE"}
+
+
+def test_an_index_is_built_described_last_and_searched(spark, tmp_path):
+    path, call = str(tmp_path / "index"), lambda texts, task: remote.hashed(texts, task, 16)
+    chunks = spark.createDataFrame([(m, i, f"{m} text number {i}") for m in "ab" for i in range(3)], "manual_id string, ord int, text string")
+    tables.build_index(chunks, lambda rows: remote.embedded(rows, "passage", call, tasks=2), "model", path)
+    index, meta = tables.load_index(spark, path)
+    assert {(r.manual_id, r.n, r.dims, r.model) for r in meta.collect()} == {("a", 3, 16, "model"), ("b", 3, 16, "model")}
+    assert all(abs(sum(x * x for x in r.vector) - 1) < 1e-6 for r in index.collect())
+    best = vectors.search(index, chunks, meta, "model", "a", call(["a text number 1"], "")[0], 1).first()
+    assert (best.ord, best["rank"]) == (1, 1)
+    changed = chunks.where("manual_id = 'a'").selectExpr("manual_id", "ord", "concat(text, ' more') as text")
+    tables.build_index(changed, lambda rows: remote.embedded(rows, "passage", call), "model", path)
+    index, meta = tables.load_index(spark, path)
+    status = {r.manual_id: r.status for r in vectors.freshness(chunks, chunks, meta, "model").collect()}
+    assert status == {"a": "other chunks", "b": "fresh"} and index.count() == 6
+    with pytest.raises(ValueError):
+        remote.embedded(chunks, "other", call)
+
+
+def test_figures_are_stored_before_their_index(spark, tmp_path):
+    path = str(tmp_path / "figures")
+    images = spark.createDataFrame([(m, 1, n, 0.0, 0.0, float(n), 5.0, 200, 100) for m in "ab" for n in (1, 2)], "manual_id string, page int, seq long, x0 double, y0 double, x1 double, y1 double, width int, height int")
+    drawn = spark.createDataFrame([("a", 1, 1, 9, 8, b"jpeg", None), ("a", 1, 2, None, None, None, "boom"), ("b", 1, 1, 9, 8, b"jp", None)], extraction.FIGURES)
+    tables.write_figures(drawn, figures.placements(images), path)
+    index = tables.read_figures(spark, f"{path}/index").orderBy("figure_id").collect()
+    assert [(r.figure_id, r.file, r.width, list(r.source_px)) for r in index] == [("a:0001:1", "p0001_1.jpg", 9, [200, 100]), ("b:0001:1", "p0001_1.jpg", 9, [200, 100])]
+    stats = {r.name: (r.figures, r.skipped, r.pages, r.bytes) for r in quality.figure_stats(*tables.figure_bytes(spark, path)).collect()}
+    assert stats == {"a": (1, 1, 1, 4), "b": (1, 0, 1, 2)}
+
+
+def test_passages_are_read_in_file_order(spark, tmp_path):
+    rows = [{"chunk_id": f"{m}:{i:05d}", "manual_id": m, "ord": i, "section": None, "pages": [1], "printed": [], "refs": [], "figures": [], "text": f"t{i}"} for m in "ab" for i in range(12)]
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    assert [r.ord for r in tables.read_passages(spark, str(tmp_path), "b").collect()] == list(range(12))
+    assert tables.read_passages(spark, str(tmp_path)).count() == 24
+    with pytest.raises(LookupError, match="chunk it"):
+        tables.read_passages(spark, str(tmp_path), "c")
+    tables.write_by_manual(tables.read_passages(spark, str(tmp_path)), str(tmp_path / "out"), "json")
+    again = tables.read_passages(spark, str(tmp_path / "out"))
+    assert sorted((r.manual_id, r.ord, r.text) for r in again.collect()) == sorted((r["manual_id"], r["ord"], r["text"]) for r in rows)
+
+
+def test_project_root(tmp_path):
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / "manuals.json").write_text("[]")
+    (tmp_path / "checkout").mkdir()
+    assert config.project_root("manuals.json", here=deep) == tmp_path
+    assert config.project_root("manuals.json", checkout=tmp_path / "checkout", here=deep) == tmp_path
+    (tmp_path / "checkout" / "manuals.json").write_text("[]")
+    assert config.project_root("manuals.json", checkout=tmp_path / "checkout", here=deep) == tmp_path / "checkout"
+    assert config.project_root("manuals.json", named=str(deep), checkout=tmp_path) == deep.resolve()
+    with pytest.raises(FileNotFoundError):
+        config.project_root("no such file", here=deep)

@@ -32,6 +32,24 @@ def test_references(spark, given, text, refs, figures):
     assert (got.text, got.refs, got.figures) == (text, refs, figures)
 
 
+#: The same in one pattern, which tries every position of a text.
+WHOLE = re.compile(r"[,;]?[^\S\n]*(?:[›»⇒]+[^\S\n]*)?(?:\b(?:v[ée]ase|ver|consulte|consultar)\b[^\S\n]*)?(?:\b(?:de|en)\b[^\S\n]*)?(?:\bla\b[^\S\n]*)?\bp[áa]g(?:ina|s)?\b\.?\s*(\d{1,4})", re.I)
+
+
+def test_references_equal_one_pattern(spark):
+    rng = random.Random(6)
+    parts = ["ver", "Véase", "consultar", "la", "LA", "de", "en", "pág.", "página", "págs", "Pag", " ", " ", " ", "  ", "\n", ", ", ";", "›", "»» ", "12", "3", "45678", "x", "é", "fig. 3", "Fig 7", "\u00a0", "\t", "(", "٣"]
+    given = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    got = column(spark, given, T.strip_references(F.col("t")))
+    for text, (found,) in zip(given, got, strict=True):
+        refs = sorted({int(m[1]) for m in WHOLE.finditer(text) if m[1].isascii()})
+        bare = WHOLE.sub("", text)
+        figures = sorted({int(n) for n in re.findall(r"\bfig\.?\s*(\d{1,4})", bare, re.I) if n.isascii()})
+        plain = re.sub(r"[^\S\n]{2,}", " ", re.sub(r"[^\S\n]*[›»⇒]+[^\S\n]*", " ", bare).replace("\u00a0", " "))
+        lines = [x.strip() for x in plain.split("\n")]
+        assert (found.refs, found.figures, found.text) == (refs, figures, "\n".join(x for x in lines if x)), repr(text)
+
+
 def test_hyphens_join_in_one_pass(spark):
     rng = random.Random(4)
     given = ["".join(rng.choice(["a", "B", "é", "Ñ", "-\n", "-", "\n", " ", "1"]) for _ in range(rng.randint(0, 14))) for _ in range(400)]
