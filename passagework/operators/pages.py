@@ -51,46 +51,74 @@ def chrome(rows: DataFrame, repeats: int = MIN_REPEATS) -> DataFrame:
     return counted.where(F.col("count") >= repeats).select("manual_id", "line")
 
 
-def strip_chrome(rows: DataFrame, chrome: DataFrame) -> DataFrame:
-    """(manual_id, ord, page, body, nav, head, printed) of each record that has lines.
+def marks(rows: DataFrame, chrome: DataFrame) -> DataFrame:
+    """(manual_id, ord, page, nav, n_body, gone, head, printed) of each record that has lines: what its edges tell, without its text.
 
     Edge numbers go and the first is the printed number; edge chrome goes and
     the first with a letter is the section's head. A number is never a head.
-    Only edge lines meet the chrome; what they tell of a record, which is
-    short, then joins its lines.
     """
-    cut = rows.where(F.size("lines") > 0).withColumn("edges", edges_of(F.col("lines")))
     number = lambda e: is_page_number(e["line"])
-    lines = cut.select(*PAGE, F.explode(F.filter("edges", lambda e: ~number(e))).alias("e")).select(*PAGE, "e.*")
-    running = lines.join(chrome, ["manual_id", "line"], "left_semi")
-    told = running.groupBy(*PAGE).agg(F.collect_set("i").alias("running"), F.min(F.when(is_title(F.col("line")), F.struct("i", "line")))["line"].alias("head"))
-    numbers = F.filter("edges", number)
-    whole = cut.select(*PAGE, "page", "lines", is_nav(F.col("lines")).alias("nav"), F.get(numbers, F.lit(0))["line"].alias("printed"), F.transform(numbers, lambda e: e["i"]).alias("gone"))
-    joined = whole.join(told, PAGE, "left")
-    gone = F.concat("gone", F.coalesce("running", F.array().cast("array<int>")))
-    body = F.filter("lines", lambda _, i: ~F.array_contains(gone, i))
-    return joined.select(*PAGE, "page", body.alias("body"), "nav", "head", "printed")
+    slim = rows.where(F.size("lines") > 0).select(*PAGE, "page", F.size("lines").alias("n"), is_nav(F.col("lines")).alias("nav"), edges_of(F.col("lines")).alias("edges"))
+    each = slim.select(*PAGE, "page", "n", "nav", F.explode("edges").alias("e"), number(F.col("e")).alias("number")).select("*", "e.*")
+    seen = each.join(chrome.withColumn("known", F.lit(True)), ["manual_id", "line"], "left")
+    running = F.coalesce("known", F.lit(False)) & ~F.col("number")
+    first = lambda cond: F.min(F.when(cond, F.struct("i", "line")))["line"]
+    told = seen.groupBy(*PAGE, "page").agg(
+        F.first("n").alias("n"),
+        F.first("nav").alias("nav"),
+        F.collect_set(F.when(F.col("number") | running, F.col("i"))).alias("gone"),
+        first(running & is_title(F.col("line"))).alias("head"),
+        first(F.col("number")).alias("printed"),
+    )
+    return told.select(*PAGE, "page", "nav", (F.col("n") - F.size("gone")).alias("n_body"), "gone", "head", "printed")
 
 
-def carry_forward(rows: DataFrame, key: str, order: str, value: str, out: str, block: int = 1000) -> DataFrame:
-    """rows with the last non-null value up to each, in order, within a key.
+def with_body(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """marks with ``body``, the lines of each record that stay. The lines are moved this once."""
+    kept = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
+    return rows.select(*PAGE, "lines").join(marks, PAGE).withColumn("body", kept).drop("lines", "gone")
+
+
+def _in_blocks(rows: DataFrame, key: str, order: str, block: int) -> DataFrame:
+    return rows.withColumn("_block", F.floor(F.col(order) / block))
+
+
+def carry_forward(rows: DataFrame, key: str, order: str, value: str, out: str, block: int = 1000, before: bool = False) -> DataFrame:
+    """rows with the last non-null value up to each, or only before each, in order, within a key.
 
     A key may hold any share of the rows, so it is cut into blocks of its order
     column. What each block ends with is carried over the blocks, which are
     few, and then into them.
     """
-    cut = rows.withColumn("_block", F.floor(F.col(order) / block))
-    ends = cut.where(F.col(value).isNotNull()).groupBy(key, "_block").agg(F.max_by(value, order).alias("_end"))
-    blocks = cut.select(key, "_block").distinct().join(ends, [key, "_block"], "left")
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(key, "_block", F.last("_end", ignorenulls=True).over(before).alias("_before"))
-    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = _in_blocks(rows, key, order, block)
+    ends = cut.groupBy(key, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     return cut.join(carried, [key, "_block"]).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(within), "_before")).drop("_block", "_before")
 
 
-def sections(stripped: DataFrame) -> DataFrame:
+def running_total(rows: DataFrame, key: str, order: str, value: str, out: str, block: int = 1000) -> DataFrame:
+    """rows with the sum of a value over all rows before each, in order, within a key; in blocks, as ``carry_forward``."""
+    cut = _in_blocks(rows, key, order, block)
+    sums = cut.groupBy(key, "_block").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(key, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(carried, [key, "_block"]).withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_block", "_before")
+
+
+def sections(marks: DataFrame) -> DataFrame:
     """The records that aren't navigation, with the section that holds on each."""
-    return carry_forward(stripped.where("not nav").drop("nav"), "manual_id", "ord", "head", "section")
+    return carry_forward(marks.where("not nav").drop("nav"), "manual_id", "ord", "head", "section")
+
+
+def section_runs(sections: DataFrame) -> DataFrame:
+    """The records with a body, with ``run``: the ord at which the section that holds on each began. The same section later is another run."""
+    rows = sections.where("n_body > 0").withColumn("_held", F.struct("section"))
+    seen = carry_forward(rows, "manual_id", "ord", "_held", "_last", before=True)
+    begins = F.col("_last").isNull() | ~F.col("_last.section").eqNullSafe(F.col("section"))
+    return carry_forward(seen.withColumn("_begun", F.when(begins, F.col("ord"))), "manual_id", "ord", "_begun", "run").drop("_held", "_last", "_begun")
 
 
 def paragraphs_of(body: Column) -> Column:
@@ -111,7 +139,7 @@ def paragraphs_of(body: Column) -> Column:
     return F.transform(let(lines, joined), strip)
 
 
-def paragraphs(stripped: DataFrame, *carried: str) -> DataFrame:
+def paragraphs(records: DataFrame, *carried: str) -> DataFrame:
     """(manual_id, ord, page, carried.., para, text) of records with a body; para numbers the paragraphs of a record."""
-    rows = stripped.select(*PAGE, "page", *carried, F.posexplode(paragraphs_of(F.col("body"))).alias("para", "text"))
+    rows = records.select(*PAGE, "page", *carried, F.posexplode(paragraphs_of(F.col("body"))).alias("para", "text"))
     return rows.where("text <> ''")

@@ -1,8 +1,9 @@
 """From paragraphs to passages: long ones cut, short ones packed with overlap, references taken out.
 
-Packing is a fold over a manual's units in order. Only their lengths and
-sections enter it: a task is given numbers, never texts, and answers with the
-units of each passage.
+Packing is a fold over the units of a run of one section, in order: a passage
+never goes over from one section to the next. Only lengths enter it: a task is
+given numbers, never texts, and answers with the units of each passage. Runs of
+a manual are packed apart and their passages then numbered through.
 """
 
 from __future__ import annotations
@@ -55,10 +56,11 @@ def split_long(text: Column, target: int = TARGET) -> Column:
 
 
 def units(pages: DataFrame, target: int = TARGET) -> DataFrame:
-    """(manual_id, ord, para, piece, page, printed, section, text): what is packed."""
+    """(manual_id, run, ord, para, piece, page, printed, section, text): what is packed, by runs of one section."""
     rows = P.page_rows(pages)
-    text = P.paragraphs(P.sections(P.strip_chrome(rows, P.chrome(rows))), "printed", "section")
-    return text.select(*P.PAGE, "para", "page", "printed", "section", F.posexplode(split_long(F.col("text"), target)).alias("piece", "text"))
+    held = P.section_runs(P.sections(P.marks(rows, P.chrome(rows))))
+    text = P.paragraphs(P.with_body(rows, held), "printed", "section", "run")
+    return text.select("manual_id", "run", "ord", "para", "page", "printed", "section", F.posexplode(split_long(F.col("text"), target)).alias("piece", "text"))
 
 
 class Packer:
@@ -161,8 +163,12 @@ def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
     """(chunk_id, manual_id, ord, section, pages, printed, refs, figures, text) of the pages' manuals."""
     order = ["ord", "para", "piece"]
     found = units(pages, target)
-    sized = found.select("manual_id", *order, "section", F.char_length("text").alias("size"))
-    taken = found.join(pack(sized, ["manual_id"], order, "size", "section", target, overlap), ["manual_id", *order])
+    sized = found.select("manual_id", "run", *order, "section", F.char_length("text").alias("size"))
+    packed = pack(sized, ["manual_id", "run"], order, "size", "section", target, overlap)
+    counts = packed.groupBy("manual_id", "run").agg((F.max("chunk") + 1).alias("n"))
+    numbered = packed.join(P.running_total(counts, "manual_id", "run", "n", "before").drop("n"), ["manual_id", "run"])
+    numbered = numbered.withColumn("chunk", (F.col("before") + F.col("chunk")).cast("int")).drop("before", "run")
+    taken = found.join(numbered, ["manual_id", *order])
     whole = taken.groupBy("manual_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "page", "printed", "section", "text"))).alias("u"))
     text = strip_references(F.array_join(F.transform("u", lambda x: x["text"]), "\n"))
     whole = whole.withColumn("cleaned", text)

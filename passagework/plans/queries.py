@@ -134,9 +134,9 @@ def chrome_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.chrome(pages.page_rows(base.pages(spark, sf_dir)))
 
 
-def _stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = pages.page_rows(base.pages(spark, sf_dir))
-    return pages.strip_chrome(rows, pages.chrome(rows))
+    return rows, pages.marks(rows, pages.chrome(rows))
 
 
 _HEADS = "heads as materialized (select manual_id, ord, min_by(line, i) filter (running and regexp_matches(line, '[\\p{L}\\p{N}_]')) as head, min_by(line, i) filter (number) as printed, count(*) filter (not number and not running) as n_body from mark group by all)"
@@ -144,12 +144,13 @@ _HEADS = "heads as materialized (select manual_id, ord, min_by(line, i) filter (
 
 @query(f"with {PAGES}, {_HEADS} select * from heads")
 def strip_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stripped(spark, sf_dir).select("manual_id", "ord", "head", "printed", F.size("body").cast("long").alias("n_body"))
+    rows = pages.with_body(*_marks(spark, sf_dir))
+    return rows.select("manual_id", "ord", "head", "printed", F.size("body").cast("long").alias("n_body"))
 
 
 @query(f"with {PAGES}, {_HEADS} select manual_id, ord, last_value(head ignore nulls) over (partition by manual_id order by ord) as section from heads anti join nav using (manual_id, ord)")
 def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.sections(_stripped(spark, sf_dir)).select("manual_id", "ord", "section")
+    return pages.sections(_marks(spark, sf_dir)[1]).select("manual_id", "ord", "section")
 
 
 _JOIN = r"regexp_replace(regexp_replace({0}, '([\p{{L}}\p{{N}}_])-\n(\p{{Lu}})', '\1-\2', 'g'), '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
@@ -171,7 +172,7 @@ para as materialized (select manual_id, ord, para::bigint as para, string_agg(ca
 
 @query(f"with {PAGES}, {_paragraphs_sql('')} select ord, para, text from para")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.paragraphs(_stripped(spark, sf_dir)).select("ord", F.col("para").cast("long").alias("para"), "text")
+    return pages.paragraphs(pages.with_body(*_marks(spark, sf_dir))).select("ord", F.col("para").cast("long").alias("para"), "text")
 
 
 # Passages
@@ -366,7 +367,7 @@ x as (select manual_id, count(*) filter (head is null) as unsectioned from heads
 select c.manual_id as name, chunks as pages, coalesce(nav, 0) as nav, chunks, chars, median, unsectioned from c left join n using (manual_id) left join x using (manual_id)""")
 def stats_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.pages(spark, sf_dir)
-    heads = _stripped(spark, sf_dir)
+    heads = _marks(spark, sf_dir)[1]
     texts = table(spark, sf_dir, "documents").select(F.col("source").alias("manual_id"), "text")
     return quality.chunk_stats(rows, heads.select("manual_id", F.col("head").alias("section")), texts)
 

@@ -102,6 +102,39 @@ def test_carry_forward_over_blocks(spark):
     assert [r.held for r in got] == want
 
 
+def test_carry_before_and_totals_over_blocks(spark):
+    rows = [("k", i * 3, [None, "a", None, "b", None][i % 5], i) for i in range(25)]
+    frame = spark.createDataFrame(rows, "k string, o long, v string, n long")
+    got = pages.carry_forward(frame, "k", "o", "v", "held", block=7, before=True).orderBy("o").collect()
+    held, want = None, []
+    for _, _, v, _ in rows:
+        want.append(held)
+        held = v or held
+    assert [r.held for r in got] == want
+    assert [r.t for r in pages.running_total(frame, "k", "o", "n", "t", block=7).orderBy("o").collect()] == [sum(range(i)) for i in range(25)]
+
+
+def test_passages_of_changing_sections_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for m in "mn":
+        for i in range(60):
+            head = rng.choice(["Uno", "Uno", "Dos", ""])
+            body = [" ".join(rng.choice(["alfa", "beta", "gamma", "delta"]) + str(rng.randrange(900)) for _ in range(rng.randint(2, 25))) + rng.choice([".", ""]) for _ in range(rng.randint(0, 4))]
+            rows.append((m, i * 40, i, "\n".join([*([head] if head else []), *body])))
+    frame = spark.createDataFrame(rows, "manual_id string, ord long, page int, text string")
+    found = {}
+    for r in passages.units(frame, target=120).orderBy("manual_id", "ord", "para", "piece").collect():
+        found.setdefault(r.manual_id, []).append(r)
+    assert len({r.section for r in found["m"]}) > 1
+    got = {}
+    for r in passages.passages(frame, target=120, overlap=40).orderBy("manual_id", "ord").collect():
+        got.setdefault(r.manual_id, []).append((r.ord, r.section, r.text))
+    for m, units in found.items():
+        groups = brute_pack([(len(u.text), u.section) for u in units], 120, 40)
+        assert got[m] == [(k, units[g[0]].section, "\n".join(units[i].text for i in g)) for k, g in enumerate(groups)]
+
+
 def test_search_refuses_a_stale_index(spark):
     chunks = spark.createDataFrame([("m", 0, "uno"), ("m", 1, "dos"), ("m", 2, "tres"), ("m", 3, "x")], "manual_id string, ord int, text string")
     index = spark.createDataFrame([("m", 0, [1.0, 0.0]), ("m", 1, [0.6, 0.8]), ("m", 2, [0.0, 1.0]), ("m", 3, [-1.0, 0.0])], "manual_id string, ord int, vector array<float>")
