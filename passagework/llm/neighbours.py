@@ -216,8 +216,9 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(places), pa.list_(pa.int32()))], [*b.schema.names, "places"])
 
     filed = materialised(index.mapInArrow(file, ENTRY + ", places array<int>"))
-    part = F.posexplode("places").alias("place", "part")
-    load = filed.select("asked", part).groupBy("part").agg(F.count_if(F.col("place") == 0).alias("n"), F.count_if("asked").alias("q")).collect()  # a row for each part
+    held = filed.groupBy(F.element_at("places", 1).alias("part")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("q"))
+    wanted = filed.where("asked").select(F.explode("places").alias("part")).groupBy("part").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("q"))
+    load = held.union(wanted).groupBy("part").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).collect()  # a row for each part
     cuts = {r.part: (-(-r.n // block), -(-r.q // query_block)) for r in load}
     blocks, batches = (F.array(*[F.lit(cuts.get(p, (0, 0))[i]) for p in range(parts)]) for i in (0, 1))
     salt = lambda c, seed: F.pmod(F.xxhash64("entry", F.lit(seed)), c).cast("int")
