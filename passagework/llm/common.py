@@ -29,15 +29,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialised(df: DataFrame, **options: str | int) -> DataFrame:
+def materialised(df: DataFrame, few: bool = False, **options: str | int) -> DataFrame:
     """Writes df as a table in the shared folder and returns a read of it.
 
     This cuts lineage and keeps a costly result from being computed twice; a
-    lost executor costs a re-read, never a recomputation.
+    lost executor costs a re-read, never a recomputation. few: no more files
+    than four for each core, for tables of short rows, of which a job with many
+    partitions would else write a great number of tiny ones.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    rows = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df
+    rows.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,15 +17,15 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     links never exceed those given. Each round is a written table. Rounds go on
     until one changes nothing; if ``most`` don't suffice that is an error.
     """
-    links = materialised(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    links = materialised(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), few=True)
     nodes = links.select(F.col("a").alias("node")).union(links.select("b"))
     before = None
     for _ in range(most):
         both = links.union(links.select("b", "a"))
-        least = materialised(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        least = materialised(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), few=True)
         links = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = links.groupBy("a").agg(F.min("b").alias("m"))
-        links = materialised(links.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
+        links = materialised(links.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct(), few=True)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -64,13 +64,13 @@ def rake(cells: DataFrame, marginals: Sequence[str], rate: float, power: float,
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     for m in marginals:
         cells = cells.join(targets(cells, m, rate, power, total).withColumnRenamed("target", f"target_{m}"), m, "left")
-    cells = materialised(cells.withColumn("p", F.lit(float(rate))))
+    cells = materialised(cells.withColumn("p", F.lit(float(rate))), few=True)
     for _ in range(most):
         at = cells.withColumn("before", F.col("p"))
         for m in marginals:
             now = at.groupBy(m).agg((F.max(f"target_{m}") / F.sum(F.col("tokens") * F.col("p"))).alias("factor"))
             at = at.join(now, m).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.coalesce("factor", F.lit(1.0)))).drop("factor")
-        at = materialised(at)
+        at = materialised(at, few=True)
         moved = at.agg(F.max(F.abs(F.col("p") / F.col("before") - 1))).first()[0]
         cells = at.drop("before")
         if (moved or 0.0) <= tolerance:
@@ -88,7 +88,7 @@ def _cells(docs: DataFrame, marginals: dict[str, Column], text_col: str) -> tupl
     """(row, values of the marginals, tokens) of each document, and the cells; a document's own columns are within row, so no name clashes."""
     values = [F.coalesce(c.cast("string"), F.lit("")).alias(m) for m, c in marginals.items()]
     rows = docs.select(F.struct("*").alias("row"), tokens_of(F.col(text_col).cast("string")).alias("tokens"), *values)
-    return rows, materialised(rows.groupBy(*marginals).agg(F.sum("tokens").alias("tokens")))
+    return rows, materialised(rows.groupBy(*marginals).agg(F.sum("tokens").alias("tokens")), few=True)
 
 
 def mixed_cells(docs: DataFrame, marginals: dict[str, Column], text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-3) -> DataFrame:

@@ -255,21 +255,21 @@ def link(sets: DataFrame) -> DataFrame:
     nodes = materialised(able.select(F.col("hi").alias("node"), "n", "tokens", F.size("tokens").alias("m"), prefix.alias("prefix"), F.xxhash64(prefix, "n").alias("group")))
 
     # One of each group stands for it: the same prefix and size, so the same places in every list.
-    leads = materialised(nodes.groupBy("group").agg(F.min("node").alias("lead"), F.first("n").alias("n"), F.max("m").alias("m"), F.first("prefix").alias("prefix")))
-    members = materialised(nodes.select("node", "group").join(leads.select("group", "lead"), "group"))
+    leads = materialised(nodes.groupBy("group").agg(F.min("node").alias("lead"), F.first("n").alias("n"), F.max("m").alias("m"), F.first("prefix").alias("prefix")), few=True)
+    members = materialised(nodes.select("node", "group").join(leads.select("group", "lead"), "group"), few=True)
     lists = leads.select("group", F.col("lead").alias("node"), "n", "m", F.posexplode("prefix").alias("pos", "token"))
 
-    typical = materialised(lists.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node")).alias("best"), F.count("*").alias("k")).where("k > 1").select("token", F.col("best.node").alias("hub")))
+    typical = materialised(lists.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node")).alias("best"), F.count("*").alias("k")).where("k > 1").select("token", F.col("best.node").alias("hub")), few=True)
     # Of the hubs of its lists a group is held against the one it meets most often.
     star = lists.select("node", "token").join(typical, "token").where("node <> hub").groupBy("node", "hub").count()
     star = star.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
     own = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    found = materialised(_linked(materialised(star.union(own).distinct()), nodes))
-    roots = materialised(components(found))
+    found = materialised(_linked(materialised(star.union(own).distinct(), few=True), nodes), few=True)
+    roots = materialised(components(found), few=True)
 
     # Second round: pairs over different components. In each list one side is outside the hub's component.
     place = members.join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("root"))
-    place = materialised(place)
+    place = materialised(place, few=True)
     spread = place.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     listed = lists.join(spread, "group").select("token", "pos", "group", "n", "m", "low", "high")
     hub = typical.join(place.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub").select("token", "main")
@@ -282,17 +282,17 @@ def link(sets: DataFrame) -> DataFrame:
     mixed = spread.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h"))
     a, b = (place.select(F.col("group").alias(g), F.col("node").alias(c), F.col("root").alias(r)) for g, c, r in (("g", "a", "r_a"), ("h", "b", "r_b")))
     rest = pairs.union(mixed).join(a, "g").join(b, "h").where("r_a <> r_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = materialised(_linked(materialised(rest), nodes))
+    more = materialised(_linked(materialised(rest, few=True), nodes), few=True)
     return components(found.union(more))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6 << 20) -> DataFrame:
     """(doc, key, n, label, rest) of every row: rows with words are near duplicates if label and rest are the same."""
     sets = shingle_sets(docs, id_col, text_col, bucket_bytes)
-    roots = materialised(link(sets))
+    roots = materialised(link(sets), few=True)
     rows = sets.select("doc", "key", "n", F.col("hi").alias("node"), "lo").join(roots, "node", "left")
     # A class outside all links is known by its whole digest; a linked one by its root.
-    return materialised(rows.select("doc", "key", "n", F.coalesce("root", "node").alias("label"), F.when(F.col("root").isNull(), F.col("lo")).otherwise(0).alias("rest")))
+    return materialised(rows.select("doc", "key", "n", F.coalesce("root", "node").alias("label"), F.when(F.col("root").isNull(), F.col("lo")).otherwise(0).alias("rest")), few=True)
 
 
 def _real(c: Column) -> Column:
@@ -302,7 +302,7 @@ def _real(c: Column) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6 << 20) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     rows = classes(docs, id_col, text_col, bucket_bytes)
-    shared = materialised(rows.where("n > 0").groupBy("label", "rest").agg(F.min("doc").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    shared = materialised(rows.where("n > 0").groupBy("label", "rest").agg(F.min("doc").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"), few=True)
     out = rows.join(shared, ["label", "rest"], "left")
     return out.select(_real(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), _real(F.when(F.col("n") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc"))).alias("component_id"))
 
