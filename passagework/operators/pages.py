@@ -29,7 +29,7 @@ def page_lines(rows: DataFrame) -> DataFrame:
 
 def is_nav(lines: Column, ratio: float = NAV_RATIO) -> Column:
     """Whether a record is a table of contents or an index: enough of its lines have leaders."""
-    return (F.size(lines) > 0) & (F.size(F.filter(lines, is_dotted)) >= ratio * F.size(lines))
+    return let(lines, lambda x: (F.size(x) > 0) & (F.size(F.filter(x, is_dotted)) >= ratio * F.size(x)))
 
 
 def nav_pages(rows: DataFrame, ratio: float = NAV_RATIO) -> DataFrame:
@@ -38,16 +38,22 @@ def nav_pages(rows: DataFrame, ratio: float = NAV_RATIO) -> DataFrame:
 
 
 def edges_of(lines: Column) -> Column:
-    """The lines at the edges of a record, as array<struct<i, line>>."""
-    n = F.size(lines)
-    places = F.filter(F.array_distinct(F.array(*[F.lit(i) for i in range(EDGE_LINES)], *[n - i for i in range(EDGE_LINES, 0, -1)])), lambda i: (i >= 0) & (i < n))
-    return F.transform(places, lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("line")))
+    """The lines at the edges of a record, as array<struct<i, line>>. No lines, no edges."""
+    either = F.array(*map(F.lit, range(EDGE_LINES)))
+
+    def edges(x: Column) -> Column:
+        n = F.size(x)
+        places = F.filter(F.array_distinct(F.concat(either, F.transform(either, lambda i: n - 1 - i))), lambda i: (i >= 0) & (i < n))
+        return F.transform(F.array_sort(places), lambda i: F.struct(i.alias("i"), F.get(x, i).alias("line")))
+
+    return let(lines, edges)
 
 
 def chrome(rows: DataFrame, repeats: int = MIN_REPEATS) -> DataFrame:
     """(manual_id, line) of running heads and feet: at the edges of enough records, nav pages included."""
     heads = F.array_distinct(F.transform(edges_of(F.col("lines")), lambda e: e["line"]))
-    counted = rows.select("manual_id", F.explode(heads).alias("line")).groupBy("manual_id", "line").count()
+    # An outer explosion: of an inner one Spark infers a filter, for which it would cut the lines once more.
+    counted = rows.select("manual_id", F.explode_outer(heads).alias("line")).where("line is not null").groupBy("manual_id", "line").count()
     return counted.where(F.col("count") >= repeats).select("manual_id", "line")
 
 
@@ -58,8 +64,9 @@ def marks(rows: DataFrame, chrome: DataFrame) -> DataFrame:
     the first with a letter is the section's head. A number is never a head.
     """
     number = lambda e: is_page_number(e["line"])
-    slim = rows.where(F.size("lines") > 0).select(*PAGE, "page", F.size("lines").alias("n"), is_nav(F.col("lines")).alias("nav"), edges_of(F.col("lines")).alias("edges"))
-    each = slim.select(*PAGE, "page", "n", "nav", F.explode("edges").alias("e"), number(F.col("e")).alias("number")).select("*", "e.*")
+    told = let(F.col("lines"), lambda x: F.struct(F.size(x).alias("n"), is_nav(x).alias("nav"), edges_of(x).alias("edges")))
+    slim = rows.select(*PAGE, "page", told.alias("r")).select(*PAGE, "page", "r.n", "r.nav", F.explode_outer("r.edges").alias("e"))
+    each = slim.select("*", "e.*", number(F.col("e")).alias("number")).where("line is not null")
     seen = each.join(chrome.withColumn("known", F.lit(True)), ["manual_id", "line"], "left")
     running = F.coalesce("known", F.lit(False)) & ~F.col("number")
     first = lambda cond: F.min(F.when(cond, F.struct("i", "line")))["line"]
@@ -141,5 +148,5 @@ def paragraphs_of(body: Column) -> Column:
 
 def paragraphs(records: DataFrame, *carried: str) -> DataFrame:
     """(manual_id, ord, page, carried.., para, text) of records with a body; para numbers the paragraphs of a record."""
-    rows = records.select(*PAGE, "page", *carried, F.posexplode(paragraphs_of(F.col("body"))).alias("para", "text"))
+    rows = records.select(*PAGE, "page", *carried, F.posexplode_outer(paragraphs_of(F.col("body"))).alias("para", "text"))  # outer, as in chrome
     return rows.where("text <> ''")

@@ -60,7 +60,7 @@ def units(pages: DataFrame, target: int = TARGET) -> DataFrame:
     rows = P.page_rows(pages)
     held = P.section_runs(P.sections(P.marks(rows, P.chrome(rows))))
     text = P.paragraphs(P.with_body(rows, held), "printed", "section", "run")
-    return text.select("manual_id", "run", "ord", "para", "page", "printed", "section", F.posexplode(split_long(F.col("text"), target)).alias("piece", "text"))
+    return text.select("manual_id", "run", "ord", "para", "page", "printed", "section", F.posexplode_outer(split_long(F.col("text"), target)).alias("piece", "text"))  # no filter on what Python gives
 
 
 class Packer:
