@@ -65,7 +65,8 @@ def prints_of(words: Column, hashes: Column, lengths: list[int]) -> Column:
     """(length, place, print) of the fingerprints of a text, and of all its runs of the short lengths."""
     entry = lambda n, i, h: F.struct(F.lit(n).alias("length"), i.alias("place"), h.alias("print"))
     found = [F.transform(winnowed(hashes), lambda i: entry(WINDOW, i, F.shiftright(F.get(hashes, i), 4)))]
-    found += [F.transform(grams(words, n), lambda h, i, n=n: entry(n, i, h)) for n in lengths]
+    runs = lambda n: F.transform(grams(words, n), lambda h, i: entry(n, i, h))
+    found += map(runs, lengths)
     return F.flatten(F.array(*found)) if len(found) > 1 else found[0]
 
 
