@@ -24,11 +24,14 @@ those, so it doesn't matter how often or in what splits the table would be read.
 4. The spans return to their parts and are cut from the texts.
 
 An anchor that occurs ``hot`` times or more would bring its many contexts to
-one task. Its windows go out one by one instead, by digests of their own.
+one task. Its windows go out one by one instead, by digests of their own, which
+gives the same result; for those the method is hashing and no suffix array.
 
 Rows are put back together by the stored number of their part. Rows that repeat
 an id and text are one document; texts under one id are ranked by a hash of the text. A null
-id ranks before all others; null and empty texts have nothing to remove.
+id ranks before all others, as does -2^63, which is taken for it; null and empty
+texts have nothing to remove. A text of any length is one part, hashed piece by
+piece; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -51,8 +51,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
                 times[p] = k
                 if k > most:
                     most = k
-        for k in range(most, 0, -1):
-            moving = [p for p, c in times.items() if c == k] if most > 1 else times
+        counted: dict[int, list[int]] = {1: list(times)} if most == 1 else {}
+        if most > 1:
+            for p, k in times.items():
+                counted.setdefault(k, []).append(p)
+        for k in sorted(counted, reverse=True):
+            moving = counted[k]
             by_group: dict[int, list[int]] = {}
             for p in moving:
                 g = group[p]
