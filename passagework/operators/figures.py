@@ -43,11 +43,15 @@ def pages_of(hits: DataFrame) -> DataFrame:
 
 
 def with_figures(hits: DataFrame, figures: DataFrame, key: list[str]) -> DataFrame:
-    """hits with the array of figures on their pages, in the order of the pages, then of the figures; none is an empty array."""
-    each = hits.select(*key, "manual_id", F.posexplode("pages").alias("p", "page"))
-    met = each.join(figures.select("manual_id", "page", "n", "figure_id", "file", "width", "height"), ["manual_id", "page"])
-    listed = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("p", "n", "figure_id", F.concat(F.lit("/api/figure/"), "manual_id", F.lit("/"), "file").alias("url"), "page", "width", "height"))).alias("found"))
-    shaped = F.transform("found", lambda f: F.struct(*[f[c].alias(c) for c in ("figure_id", "url", "page", "width", "height")]))
-    joined = hits.join(listed.select(*key, shaped.alias("figures_")), key, "left")
+    """hits with the array of figures on their pages, in the order of the pages, then of the figures; none is an empty array.
+
+    The figures of a page are shaped once, and meet hits as one row.
+    """
+    url = F.concat(F.lit("/api/figure/"), "manual_id", F.lit("/"), "file").alias("url")
+    shaped = F.array_sort(F.collect_list(F.struct("n", F.struct("figure_id", url, "page", "width", "height").alias("f"))))
+    paged = figures.groupBy("manual_id", "page").agg(F.transform(shaped, lambda x: x["f"]).alias("found"))
+    met = hits.select(*key, "manual_id", F.posexplode("pages").alias("p", "page")).join(paged, ["manual_id", "page"])
+    listed = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("p", "found"))).alias("listed"))
+    joined = hits.join(listed.select(*key, F.flatten(F.transform("listed", lambda x: x["found"])).alias("figures_")), key, "left")
     empty = F.expr("cast(array() as array<struct<figure_id:string,url:string,page:int,width:int,height:int>>)")
     return joined.withColumn("figures", F.coalesce("figures_", empty)).drop("figures_")
