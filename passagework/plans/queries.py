@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, catalogue, figures, pages, passages, quality, vectors
-from ..sources import tables
+from ..sources import extraction, remote, tables
 from ..streaming import jobs
 from . import base
 from .base import CATALOGUE, HITS, MARKED, NEWEST, OWN_PAGES, PAGES, UNITS, table
@@ -309,6 +309,17 @@ def retrieve_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question_id", F.col("ord").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""with q as (select embedding as v from embeddings order by vec_id limit 1), s as (select vec_id, {_SCORE.format(a="embedding", b="v")} / sqrt({_SCORE.format(a="v", b="v")}) / sqrt({_SCORE.format(a="embedding", b="embedding")}) as score from embeddings, q where label = 5)
+select vec_id as ord, row_number() over (order by score desc, vec_id) as rank, 'passage ' || vec_id as text, round(score, 5) as score from s order by score desc, vec_id limit 7""")
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question against one manual, once its index has been found fresh; hits carry their passages' texts."""
+    index = vectors.normalised(_index(spark, sf_dir)).withColumn("manual_id", F.col("manual_id").cast("string"))
+    chunks = index.select("manual_id", "ord", F.concat(F.lit("passage "), "ord").alias("text"))
+    question = index.orderBy("ord").limit(1).first().vector
+    found = vectors.search(index, chunks, vectors.index_meta(chunks, index, "m"), "m", "5", question, 7)
+    return found.select("ord", F.col("rank").cast("long").alias("rank"), "text", F.round("score", 5).alias("score"))
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.units(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("manual_id"), F.col("at").alias("ord"), F.col("line").alias("text"))
 
@@ -580,6 +591,57 @@ def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.to_download(once, cat.where("url is null")).select("manual_id")
 
 
+@query("""select 'd' || doc_id as manual_id, i::bigint as page, md5(l[i]) as text, null::varchar as error from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents where doc_id % 11 <> 0))
+union all select 'd' || doc_id, null, null, 'no PDF' from documents where doc_id % 11 = 0""")
+def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages out of files by a parser that is given; here it splits lines, and every eleventh file is none of its kind."""
+    kind = F.when(F.col("doc_id") % 11 == 0, "").otherwise("%PDF")
+    files = base.documents(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("manual_id"), F.concat(kind, F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+
+    def parse(content: bytes) -> list[str]:
+        if not content.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        return content[4:].decode().split("\n")
+
+    pages_ = extraction.extract(files, parse)
+    return pages_.select("manual_id", F.col("page").cast("long").alias("page"), F.md5(F.col("text").cast("binary")).alias("text"), "error")
+
+
+@query("select source as manual_id, doc_id as ord, md5(text) as text, 1::bigint as n_pages, case when doc_id % 3 = 0 then 'part ' || (doc_id % 5) end as section from documents where source is not null")
+def stored_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as passages, JSON lines by manual, and read again."""
+    path, c = f"{base.scratch_dir(spark)}/passages-{uuid.uuid4().hex}", F.col("doc_id")
+    none = F.array().cast("array<int>")
+    rows = base.documents(spark, sf_dir).where("source is not null").select(F.concat_ws(":", "source", "doc_id").alias("chunk_id"), F.col("source").alias("manual_id"), c.cast("int").alias("ord"), F.when(c % 3 == 0, F.concat(F.lit("part "), (c % 5).cast("string"))).alias("section"), F.array(c.cast("int")).alias("pages"), F.array().cast("array<string>").alias("printed"), none.alias("refs"), none.alias("figures"), "text")
+    tables.write_by_manual(rows, path, "json")
+    found = tables.read_passages(spark, path)
+    return found.select("manual_id", F.col("ord").cast("long").alias("ord"), F.md5(F.col("text").cast("binary")).alias("text"), F.size("pages").cast("long").alias("n_pages"), "section")
+
+
+@query(f"with {_FIGURES} select figure_id, width::bigint as source_width, (n * 2)::bigint as width, printf('p%04d_%d.jpg', page, n) as file from fig where n % 7 <> 0")
+def stored_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures written as images and an index, and the index read again; every seventh of a page can't be rendered."""
+    path = f"{base.scratch_dir(spark)}/figures-{uuid.uuid4().hex}"
+    placed, n = figures.placements(_images(spark, sf_dir)), F.col("n").cast("int")
+    broken = F.when(n % 7 == 0, "can't be rendered")
+    drawn = placed.select("manual_id", "page", n.alias("n"), (n * 2).alias("width"), n.alias("height"), F.when(broken.isNull(), F.col("figure_id").cast("binary")).alias("jpeg"), broken.alias("error"))
+    tables.write_figures(drawn, placed, path)
+    found = tables.read_figures(spark, f"{path}/index")
+    return found.select("figure_id", F.col("source_px")[0].cast("long").alias("source_width"), F.col("width").cast("long").alias("width"), "file")
+
+
+@query("select source as manual_id, sha256(string_agg(text || chr(0), '' order by doc_id)) as digest, count(*) as n, 16::bigint as dims, 'hashed' as model, count(*) as unit_vectors from documents where source is not null group by source")
+def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over the documents of each source, built without a service, and what it says of itself; words are hashed into vectors."""
+    path = f"{base.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    chunks = base.documents(spark, sf_dir).where("source is not null").select(F.col("source").alias("manual_id"), F.col("doc_id").cast("int").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    embed = lambda rows: remote.embedded(rows, "passage", lambda texts, task: remote.hashed(texts, task, 16), tasks=8, rate=1 << 40)  # noqa: E731  no service, so no limit
+    tables.build_index(chunks, embed, "hashed", path)
+    index, meta = tables.load_index(spark, path)
+    near = vectors.norms(index).groupBy("manual_id").agg(F.count_if((F.abs(F.col("norm") - 1) < 1e-5) | (F.col("norm") == 0)).alias("unit_vectors"))
+    return meta.join(near, "manual_id").select("manual_id", "digest", "n", F.col("dims").cast("long").alias("dims"), "model", "unit_vectors")
+
+
 @query("select doc_id, length(text)::bigint as size from documents")
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files that a stream takes up once: run twice, each is there once."""
