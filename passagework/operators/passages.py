@@ -159,10 +159,14 @@ def pack(rows: DataFrame, by: list[str], order: list[str], size: str, section: s
     return _folded(rows, by, order, size, section, lambda: Packer(target, overlap), "chunk")
 
 
-def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """(chunk_id, manual_id, ord, section, pages, printed, refs, figures, text) of the pages' manuals."""
+def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, stored: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """(chunk_id, manual_id, ord, section, pages, printed, refs, figures, text) of the pages' manuals.
+
+    Units are used twice, for their lengths and for their texts. stored: what
+    writes a table and reads it again, so that they are made but once.
+    """
     order = ["ord", "para", "piece"]
-    found = units(pages, target)
+    found = stored(units(pages, target))
     sized = found.select("manual_id", "run", *order, "section", F.char_length("text").alias("size"))
     packed = pack(sized, ["manual_id", "run"], order, "size", "section", target, overlap)
     counts = packed.groupBy("manual_id", "run").agg((F.max("chunk") + 1).alias("n"))

@@ -9,6 +9,7 @@ one expression, the same on both sides.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return (named or tempfile.mkdtemp(prefix="spark-ingest-")).rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a table in the scratch folder and read again."""
+    path = f"{scratch_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dealt_out(df: DataFrame, least: int = 1_000_000) -> DataFrame:
     """df over all cores before heavy work on each row. A table of fewer rows than ``least`` may be one row group, which one task reads."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() < least else df

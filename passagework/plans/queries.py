@@ -262,7 +262,7 @@ select manual_id || ':' || lpad(chunk::varchar, 5, '0') as chunk_id, manual_id,
 
 @query(_PASSAGES)
 def manual_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages.passages(base.own_pages(spark, sf_dir))
+    found = passages.passages(base.own_pages(spark, sf_dir), stored=base.stored)
     return found.select("chunk_id", "manual_id", F.col("ord").cast("long").alias("ord"), "section", listed("pages").alias("pages"), listed("printed").alias("printed"), listed("refs").alias("refs"), listed("figures").alias("figures"), "text")
 
 
