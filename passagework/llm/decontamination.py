@@ -96,7 +96,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     prints = prints.distinct()
 
     cut = hashed(rows.select("doc", "key", words_of(F.col("text")).alias("words")))
-    each = cut.select("doc", "key", *(["words"] if is_small else []), F.explode(prints_of(F.col("words"), F.col("hashes"), short)).alias("f")).select("*", "f.*")
+    # Made in a step of their own, fingerprints are exploded beside the words without a copy of those for each. An outer
+    # explosion: of an inner one Spark infers a filter, for which it would make them once more.
+    kept = ["doc", "key", *(["words"] if is_small else [])]
+    each = cut.select(*kept, prints_of(F.col("words"), F.col("hashes"), short).alias("prints"))
+    each = each.select(*kept, F.explode_outer("prints").alias("f")).select(*kept, "f.*")
     met = each.join(small(prints), ["length", "print"])
     if not is_small:
         # A row for each place that met; gathered, they are no more than a text has words.
