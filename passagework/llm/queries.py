@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lines, mixing, neighbours, ngram_join, secrets, suffix_dedup, toxicity, urls
+from . import decontamination, infilling, langid, lines, mixing, neighbours, ngram_join, packing, secrets, spelling, suffix_dedup, toxicity, urls
 from .common import bounded_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,56 @@ from d join (select * from r where round = (select max(round) from r)) c using (
 
 
 ORACLES["op10_mixing"] = _mixing_sql()
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def _spelling_sql() -> str:
+    """The checksum as a fold over a table of 256 remainders, which eight halvings of each byte make."""
+    halved = "b"
+    for _ in range(8):
+        halved = f"case when {halved} & 1 = 1 then xor({halved} >> 1, 3988292384) else {halved} >> 1 end" if halved == "b" else f"(select case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end from (select {halved} as x))"
+    return f"""with tab as materialized (select list(r order by b) as t from (select b, {halved} as r from (select unnest(range(256))::bigint as b))),
+run as materialized (select doc_id, w, count(*) as c from (select doc_id, translate(unnest(regexp_extract_all(text, '[{spelling.LETTERS}]+')), '{spelling.UPPER}', '{spelling.LOWER}') as w from documents) where length(w) >= 6 group by all),
+sum as materialized (select doc_id, w, c, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(k)) + 1), lambda i: ('0x' || substr(hex(encode(k)), 2 * i - 1, 2))::bigint)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as h
+  from (select *, concat(coalesce(doc_id::varchar, ''), ':', w) as k from run), tab),
+v as materialized (select word, sum(c)::bigint as n from (select case when h % 199 = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, c from sum) where length(word) >= 6 group by word having sum(c) >= 5),
+cut as materialized (select word, n, i, left(word, i - 1) as a, substr(word, i + 1) as z from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+near as materialized (
+  select x.word, x.n, y.word as other, y.n as m from cut x join cut y on x.i = y.i and x.a = y.a and x.z = y.z and x.word <> y.word
+  union select x.word, x.n, y.word, y.n from cut x join v y on y.word = x.a || x.z
+  union select y.word, y.n, x.word, x.n from cut x join v y on y.word = x.a || x.z),
+best as materialized (select word, count(*)::bigint as n_near, max(m) as m, min(other collate "C") filter (where m = top) as other from (select *, max(m) over (partition by word) as top from near) group by word),
+f as materialized (select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 5 * v.n then other end as form, case when m >= 5 * v.n then m end as form_n from v left join best using (word)),
+up as (with recursive r as (select word, word as here, 0 as step from f union all select r.word, f.form, step + 1 from r join f on f.word = r.here where f.form is not null) select word, max_by(here, step) as root from r group by word)
+select word, form, root, n, n_near, form_n from f join up using (word)"""
+
+
+ORACLES["op11_spelling_variants"] = _spelling_sql()
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _digest(F.col("output")).alias("output_sha256"), _digest(infilling.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = """with d as materialized (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as g from documents),
+h as materialized (select *, len(t) as n, ('0x' || substr(g, 1, 8))::ubigint % (len(t) + 1)::ubigint as a, ('0x' || substr(g, 9, 8))::ubigint % (len(t) + 1)::ubigint as b, ('0x' || substr(g, 17, 8))::ubigint % 100 as c, ('0x' || substr(g, 25, 8))::ubigint % 100 as e from d),
+p as materialized (select doc_id, text, n, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or c >= 90 then 'plain' when e < 20 then 'spm' else 'psm' end as form,
+  array_to_string(t[1:least(a, b)], '') as pre, array_to_string(t[least(a, b) + 1:greatest(a, b)], '') as mid, array_to_string(t[greatest(a, b) + 1:], '') as suf from h)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars, case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
+#: The tokenizer whose tokens are packed, by its name among the installed public ones.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), packing.public(TOKENIZER))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
