@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import page_label, section_label, strip
+from ..functions.text import let, page_label, section_label, strip
 
 MAX_TOKENS = 4096
 REPLY = "candidates array<struct<content:struct<parts:array<struct<text:string>>>,finishReason:string>>, usageMetadata struct<totalTokenCount:long>, promptFeedback struct<blockReason:string>"
@@ -45,20 +45,22 @@ def payload(prompt: Column, system: Column, thinking: str | None = None) -> Colu
 
 
 def spoken(body: Column) -> Column:
-    """struct(text, finish, tokens) of the first candidate of a piece; all may be missing."""
-    reply = F.from_json(body, REPLY)
-    candidate = F.get(reply["candidates"], F.lit(0))
-    parts = F.coalesce(candidate["content"]["parts"], F.array())
-    return F.struct(
-        F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("text"),
-        candidate["finishReason"].alias("finish"),
-        reply["usageMetadata"]["totalTokenCount"].alias("tokens"),
+    """struct(text, finish, tokens) of the first candidate of a piece; all may be missing, and what else a piece holds, of whatever shape, doesn't matter. No JSON is an empty piece."""
+    said = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))
+    return let(
+        F.try_parse_json(body),
+        lambda v: F.struct(
+            F.array_join(F.transform(F.coalesce(F.try_variant_get(v, "$.candidates[0].content.parts", "array<variant>"), F.array().cast("array<variant>")), said), "").alias("text"),
+            F.try_variant_get(v, "$.candidates[0].finishReason", "string").alias("finish"),
+            F.try_variant_get(v, "$.usageMetadata.totalTokenCount", "long").alias("tokens"),
+        ),
     )
 
 
 def sse_bodies(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The rows of a stream that carry data, with it as ``body``; comments and blank lines are left out."""
-    return lines.where(F.startswith(F.col(line), F.lit("data:"))).withColumn("body", strip(F.substring(line, 6, 1 << 30)))
+    """The rows of a stream that carry data, with it as ``body``; white space around a line goes, comments and blank lines are left out."""
+    bare = strip(F.col(line))
+    return lines.where(F.startswith(bare, F.lit("data:"))).withColumn("body", strip(F.substring(bare, 6, 1 << 30)))
 
 
 def answer(replies: DataFrame, model: str, hits: DataFrame | None = None) -> DataFrame:
@@ -115,10 +117,10 @@ def events(pieces: DataFrame, hits: DataFrame, model: str) -> DataFrame:
 
 
 def asked_wait(body: Column) -> Column:
-    """Seconds a refused request is told to wait, and one more; null if it isn't told so."""
-    details = F.from_json(body, "error struct<details:array<struct<`@type`:string,retryDelay:string>>>")["error"]["details"]
-    told = F.get(F.filter(details, lambda d: F.endswith(d["@type"], F.lit("RetryInfo"))), F.lit(0))
-    return F.regexp_replace(told["retryDelay"], r"s+\z", "").try_cast("double") + 1
+    """Seconds a refused request is told to wait, and one more; null if it isn't told so, or not in JSON. Details of other shapes are passed over."""
+    details = F.try_variant_get(F.try_parse_json(body), "$.error.details", "array<variant>")
+    told = F.get(F.filter(details, lambda d: F.endswith(F.try_variant_get(d, "$['@type']", "string"), F.lit("RetryInfo"))), F.lit(0))
+    return F.regexp_replace(F.try_variant_get(told, "$.retryDelay", "string"), r"s+\z", "").try_cast("double") + 1
 
 
 def retry_wait(code: Column, attempt: Column, delay: Column, told: Column, header: Column) -> Column:

@@ -8,32 +8,29 @@ one expression, the same on both sides.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalogue import with_ids
+from ..scratch import scratch_path
+from ..streaming import jobs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only in local mode, where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (named or tempfile.mkdtemp(prefix="spark-ingest-")).rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a table in the scratch folder and read again."""
-    path = f"{scratch_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def streamed(slices: list[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stateful stream gives over slices of a table, one after another: after each it stops, and starts again from its checkpoint."""
+    spark = slices[0].sparkSession
+    where = scratch_path(spark, "stream")
+    for rows in slices:
+        rows.write.mode("append").parquet(f"{where}/in")
+        stream = transform(spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
+        jobs.stateful(stream, f"{where}/out", f"{where}/state").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
 def dealt_out(df: DataFrame, least: int = 1_000_000) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, catalogue, figures, pages, passages, quality, vectors
+from ..scratch import scratch_path, stored
 from ..sources import extraction, remote, tables
-from ..streaming import jobs
+from ..streaming import jobs, pacing, replies
 from . import base
 from .base import CATALOGUE, HITS, MARKED, NEWEST, OWN_PAGES, PAGES, UNITS, table
 
@@ -104,6 +104,17 @@ def picker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.search(catalogue.vehicles(base.catalogue(spark, sf_dir)), F.lit("RING (201) brand#1")).select("label", "manual_id")
 
 
+@query(f"""with {CATALOGUE}, {_VEHICLES}, h as (select label, manual_id, lower(model || ' ' || year || ' ' || edition || ' ' || brand) as hay from v),
+q as (select s_suppkey as query_id, string_split(case s_suppkey % 5 when 0 then 'ring ' || (2000 + s_suppkey % 20) when 1 then lower(left(s_name, 4)) when 2 then (s_suppkey % 10) || ' a' when 3 then 'brand#' || (s_suppkey % 10) || ' 06.1' else '' end, ' ') as terms from supplier)
+select query_id, label, manual_id from q, h where len(list_filter(terms, lambda t: not contains(hay, t))) = 0""")
+def picker_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many queries at once over an index of pieces, short terms and empty queries among them."""
+    key = F.col("s_suppkey")
+    text = F.when(key % 5 == 0, F.concat(F.lit("RING ("), (2000 + key % 20).cast("string"), F.lit(")"))).when(key % 5 == 1, F.substring("s_name", 1, 4)).when(key % 5 == 2, F.concat((key % 10).cast("string"), F.lit("  A"))).when(key % 5 == 3, F.concat(F.lit("Brand#"), (key % 10).cast("string"), F.lit(" 06.1"))).otherwise(" ")
+    found = catalogue.search_many(catalogue.search_index(catalogue.vehicles(base.catalogue(spark, sf_dir))), table(spark, sf_dir, "supplier").select(key.alias("query_id"), text.alias("query")))
+    return found.select("query_id", "label", "manual_id")
+
+
 @query(f"with {CATALOGUE}, {_VEHICLES} select label, greatest((select count(*) from v) - 60, 0) as more from v order by brand, place limit 60")
 def picker_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.drawn(catalogue.vehicles(base.catalogue(spark, sf_dir)), "brand", "place").select("label", "more")
@@ -262,7 +273,7 @@ select manual_id || ':' || lpad(chunk::varchar, 5, '0') as chunk_id, manual_id,
 
 @query(_PASSAGES)
 def manual_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages.passages(base.own_pages(spark, sf_dir), stored=base.stored)
+    found = passages.passages(base.own_pages(spark, sf_dir), stored=stored)
     return found.select("chunk_id", "manual_id", F.col("ord").cast("long").alias("ord"), "section", listed("pages").alias("pages"), listed("printed").alias("printed"), listed("refs").alias("refs"), listed("figures").alias("figures"), "text")
 
 
@@ -299,13 +310,28 @@ def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("rank").cast("long").alias("rank"), F.col("ord").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
-@query(f"""with q as (select label as manual_id, vec_id as question_id, embedding as v from embeddings qualify row_number() over (partition by label order by vec_id) = 1),
+_BATCH = f"""with q as (select label as manual_id, vec_id as question_id, embedding as v from embeddings qualify row_number() over (partition by label order by vec_id) = 1),
 s as (select question_id, vec_id, {_SCORE.format(a="embedding", b="v")} as score from embeddings join q on label = manual_id)
-select * from (select question_id, vec_id, row_number() over (partition by question_id order by score desc, vec_id) as rank from s) where rank <= 5""")
+select * from (select question_id, vec_id, row_number() over (partition by question_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+
+@query(_BATCH)
 def retrieve_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
+    found = vectors.top_k_batch(index, _first_of_each(index))
+    return found.select("question_id", F.col("ord").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
+def _first_of_each(index: DataFrame) -> DataFrame:
     first = index.groupBy("manual_id").agg(F.min_by(F.struct("ord", "vector"), "ord").alias("f"))
-    found = vectors.top_k_batch(index, first.select("manual_id", F.col("f.ord").alias("question_id"), F.col("f.vector").alias("vector")))
+    return first.select("manual_id", F.col("f.ord").alias("question_id"), F.col("f.vector").alias("vector"))
+
+
+@query(_BATCH)
+def retrieve_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks, of which those alone are read that can hold one of the best."""
+    index = _index(spark, sf_dir)
+    found = vectors.top_k_pruned(*vectors.in_blocks(index), _first_of_each(index))
     return found.select("question_id", F.col("ord").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -576,6 +602,70 @@ def sliding_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
 
 
+PACE = {"rate": 12, "window": 3600, "margin": 0.5}
+
+
+@query("""with recursive e as materialized (select *, lead(t, 1, t) over (partition by event_type order by i) as following from (select event_id, event_type, epoch_us(ts) as t, 1 + event_id % 7 as n, row_number() over (partition by event_type order by ts, event_id) as i from events)),
+r as (
+  select event_type, 1::bigint as i, t as now, []::struct(t bigint, n bigint)[] as sent, null::bigint as event_id, null::bigint as released from e where i = 1
+  union all
+  select event_type, case when fits then i + 1 else i end, case when fits then greatest(now, following) else live[1].t + 3600500000 end, case when fits then list_append(live, {'t': now, 'n': n}) else live end, case when fits then id end, case when fits then now end
+  from (select *, len(live) = 0 or list_sum(list_transform(live, lambda x: x.n)) + n <= 12 as fits from (
+    select r.event_type, r.i, r.now, e.n, e.event_id as id, following, list_filter(sent, lambda x: now - x.t < 3600000000) as live from r join e on r.event_type = e.event_type and r.i = e.i)))
+select event_id, event_type, released from r where event_id is not null""")
+def paced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests on the budget of their type, which all tasks share: when each may go. The stream is stopped and started again halfway."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", (1 + F.col("event_id") % 7).alias("n"))
+    low, high = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    half = F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(((low or 0) + (high or 0)) // 2)
+    return base.streamed([rows.where(~half), rows.where(half)], lambda stream: pacing.paced(stream, "event_type", "event_id", **PACE))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as the pieces of a reply, numbered from 1, with the reason to finish at the last."""
+    turns = Window.partitionBy("conv_id")
+    rows = table(spark, sf_dir, "conversations").withColumn("final", F.max("turn").over(turns)).withColumn("seq", F.row_number().over(turns.orderBy("turn")).cast("long"))
+    return rows.withColumn("finish", F.when(F.col("turn") == F.col("final"), F.when(F.col("final") % 2 == 1, "STOP").otherwise("MAX_TOKENS")))
+
+
+def _at(conv: str, far: bool = False) -> Column:
+    return F.timestamp_seconds(F.lit(7_000_000_000) if far else F.lit(1_700_000_000) + F.col(conv))
+
+
+@query("""with p as (select *, row_number() over (partition by conv_id order by turn) as k, max(turn) over (partition by conv_id) as final from conversations),
+b as (select conv_id, k, '{"candidates":[{"content":{"parts":[{"text":"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n') || '"}]}}]}' as body from p)
+select conv_id as reply_id, k::bigint as seq, md5(body) as body from b""")
+def streamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of data in a reply's bytes, which come cut every 37 bytes, out of order, over two runs."""
+    rows = _pieces(spark, sf_dir).withColumn("body", F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"'), F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"}]}}]}')))
+    line = F.concat(F.when(F.col("seq") % 2 == 0, F.lit(": comment\n\n")).otherwise(F.lit("\t ")), F.lit("data: "), F.col("body"), F.lit("\r\n"))
+    whole = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "").cast("binary").alias("bytes"))  # one reply
+    count = F.ceil(F.octet_length("bytes") / 37).cast("int")
+    cut = whole.select(F.col("conv_id").alias("reply_id"), F.posexplode(F.transform(F.sequence(F.lit(0), count), lambda k: F.when(k < count, F.substr("bytes", k * 37 + 1, F.lit(37))))).alias("n", "chunk"))
+    chunks = cut.select("reply_id", F.col("n").cast("long").alias("n"), "chunk", _at("reply_id").alias("at"))
+    slices = [chunks.where(F.pmod(F.xxhash64("reply_id", "n"), F.lit(2)) == k) for k in range(2)]
+    told = base.streamed(slices, lambda stream: replies.data_lines(stream, late="10000 days"))
+    return told.select("reply_id", "seq", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query("""with p as (select conv_id, turn, text, max(turn) over (partition by conv_id) as final from conversations)
+select conv_id as reply_id, 0::bigint as seq, 'hits' as event, md5('[]') as payload from conversations group by conv_id
+union all select conv_id, row_number() over (partition by conv_id order by turn), 'token', md5(text) from p where text <> ''
+union all select conv_id, count(*) filter (text <> '') + 1, case when conv_id % 10 <> 0 and max(final) % 2 = 1 then 'done' else 'error' end, md5(case when conv_id % 10 = 0 then 'nothing more came from m within 120 s; the answer is incomplete' when max(final) % 2 = 1 then '{"model":"m","tokens":' || max(final) || '}' else 'm stopped early (MAX_TOKENS); the answer is incomplete' end) from p group by conv_id""")
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the pieces of a streamed reply, out of order, over two runs; every tenth reply is never closed and ends when a third has moved time on."""
+    rows = _pieces(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    row = lambda seq, kind, text, finish, tokens: (F.col("conv_id").alias("reply_id"), seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), finish.alias("finish"), tokens.cast("long").alias("tokens"), _at("conv_id").alias("at"))
+    ends = rows.groupBy("conv_id").agg(F.max("seq").alias("n"))
+    pieces = rows.select(*row(F.col("seq"), "piece", F.col("text"), F.col("finish"), F.col("turn")))
+    pieces = pieces.union(ends.select(*row(F.lit(0), "hits", F.lit("[]"), none, F.lit(None)))).union(ends.where("conv_id % 10 <> 0").select(*row(F.col("n") + 1, "closed", none, none, F.lit(None))))
+    clock = spark.range(1).select(F.lit(-1).cast("long").alias("reply_id"), F.lit(5).cast("long").alias("seq"), F.lit("piece").alias("kind"), none.alias("text"), none.alias("finish"), F.lit(None).cast("long").alias("tokens"), _at("id", True).alias("at"))
+    slices = [pieces.where(F.pmod(F.xxhash64("reply_id", "seq"), F.lit(2)) == k) for k in range(2)] + [clock]
+    told = base.streamed(slices, lambda stream: replies.reply_events(stream, "m", late="10000 days"))
+    return told.where("reply_id >= 0").select("reply_id", "seq", "event", F.md5(F.col("payload").cast("binary")).alias("payload"))
+
+
 # Work left to do
 
 
@@ -591,6 +681,39 @@ def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.to_download(once, cat.where("url is null")).select("manual_id")
 
 
+class _Reply:
+    """A page as the reply to a request for its address; every kind of failure is among them."""
+
+    def __init__(self, url: str):
+        number = sum(url.encode())
+        if number % 7 == 0:
+            raise remote.Refused(404, "no such page")
+        self.headers = {"Content-Type": "text/html" if number % 7 == 1 else "application/pdf; v=1"}
+        self.body = (b"<html>" if number % 7 == 2 else b"%PDF-") + url.encode()
+
+    def __enter__(self) -> _Reply:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        return None
+
+    def read(self) -> bytes:
+        return self.body
+
+
+@query("""with p as (select page_id, url, list_sum(list_transform(range(1, octet_length(encode(url)) + 1), lambda i: ('0x' || substr(hex(encode(url)), 2 * i - 1, 2))::bigint)) % 7 as k from pages)
+select page_id, case when url is null or url = '' then 'no address' when k = 0 then 'HTTP 404: no such page' when k = 1 then 'expected a PDF; the reply''s type is text/html' when k = 2 then 'expected a PDF; the file begins otherwise' end as error,
+  case when url <> '' and k > 2 then octet_length(encode(url)) + 5 end::bigint as bytes from p""")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched from their addresses by a function that is given, each host in its own turn, and stored once: what there is, and why the rest isn't."""
+    plan = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("manual_id"), "url")
+    path = scratch_path(spark, "downloads")
+    _, failures = tables.write_downloads(remote.download(plan, _Reply, pause=0.0), path)
+    there = tables.read_downloads(spark, path).select("manual_id", F.lit(None).cast("string").alias("error"), F.octet_length("content").cast("long").alias("bytes"))
+    both = there.union(failures.select("manual_id", "error", F.lit(None).cast("long")))
+    return both.select(F.col("manual_id").cast("long").alias("page_id"), "error", "bytes")
+
+
 @query("""select 'd' || doc_id as manual_id, i::bigint as page, md5(l[i]) as text, null::varchar as error from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents where doc_id % 11 <> 0))
 union all select 'd' || doc_id, null, null, 'no PDF' from documents where doc_id % 11 = 0""")
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -610,30 +733,30 @@ def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select source as manual_id, doc_id as ord, md5(text) as text, 1::bigint as n_pages, case when doc_id % 3 = 0 then 'part ' || (doc_id % 5) end as section from documents where source is not null")
 def stored_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as passages, JSON lines by manual, and read again."""
-    path, c = f"{base.scratch_dir(spark)}/passages-{uuid.uuid4().hex}", F.col("doc_id")
+    path, c = scratch_path(spark, "passages"), F.col("doc_id")
     none = F.array().cast("array<int>")
     rows = base.documents(spark, sf_dir).where("source is not null").select(F.concat_ws(":", "source", "doc_id").alias("chunk_id"), F.col("source").alias("manual_id"), c.cast("int").alias("ord"), F.when(c % 3 == 0, F.concat(F.lit("part "), (c % 5).cast("string"))).alias("section"), F.array(c.cast("int")).alias("pages"), F.array().cast("array<string>").alias("printed"), none.alias("refs"), none.alias("figures"), "text")
-    tables.write_by_manual(rows, path, "json")
-    found = tables.read_passages(spark, path)
+    tables.write_passages(rows, path)
+    found = tables.stored_passages(spark, path)
     return found.select("manual_id", F.col("ord").cast("long").alias("ord"), F.md5(F.col("text").cast("binary")).alias("text"), F.size("pages").cast("long").alias("n_pages"), "section")
 
 
 @query(f"with {_FIGURES} select figure_id, width::bigint as source_width, (n * 2)::bigint as width, printf('p%04d_%d.jpg', page, n) as file from fig where n % 7 <> 0")
 def stored_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures written as images and an index, and the index read again; every seventh of a page can't be rendered."""
-    path = f"{base.scratch_dir(spark)}/figures-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "figures")
     placed, n = figures.placements(_images(spark, sf_dir)), F.col("n").cast("int")
     broken = F.when(n % 7 == 0, "can't be rendered")
     drawn = placed.select("manual_id", "page", n.alias("n"), (n * 2).alias("width"), n.alias("height"), F.when(broken.isNull(), F.col("figure_id").cast("binary")).alias("jpeg"), broken.alias("error"))
     tables.write_figures(drawn, placed, path)
-    found = tables.read_figures(spark, f"{path}/index")
+    found = tables.read_figures(spark, path)
     return found.select("figure_id", F.col("source_px")[0].cast("long").alias("source_width"), F.col("width").cast("long").alias("width"), "file")
 
 
 @query("select source as manual_id, sha256(string_agg(text || chr(0), '' order by doc_id)) as digest, count(*) as n, 16::bigint as dims, 'hashed' as model, count(*) as unit_vectors from documents where source is not null group by source")
 def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index over the documents of each source, built without a service, and what it says of itself; words are hashed into vectors."""
-    path = f"{base.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "index")
     chunks = base.documents(spark, sf_dir).where("source is not null").select(F.col("source").alias("manual_id"), F.col("doc_id").cast("int").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
     embed = lambda rows: remote.embedded(rows, "passage", lambda texts, task: remote.hashed(texts, task, 16), tasks=8, rate=1 << 40)  # noqa: E731  no service, so no limit
     tables.build_index(chunks, embed, "hashed", path)
@@ -645,7 +768,7 @@ def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, length(text)::bigint as size from documents")
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files that a stream takes up once: run twice, each is there once."""
-    where = f"{base.scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    where = scratch_path(spark, "ingest")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.mode("overwrite").parquet(f"{where}/in")
     measure = lambda batch: batch.select("doc_id", F.char_length("text").cast("long").alias("size"))

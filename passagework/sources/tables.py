@@ -1,8 +1,8 @@
 """Tables at rest: catalogue, pages, passages, figures and index.
 
-Pages and passages are JSON lines or Parquet below one folder, a file or a
-partition for each manual. Writers replace the partitions they write and
-nothing else; Spark's committer makes that atomic.
+Pages and passages come as JSON lines, a file for each manual. What is written
+here goes into stores (``snapshots``): a write replaces the manuals it is told
+of, in all of a store's tables at once, and nothing else.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.catalogue import with_ids
 from ..operators.vectors import index_meta, normalised
+from . import snapshots
 
 CATALOGUE = "brand string, model array<string>, year array<string>, edition array<string>, url string"
 PAGES = "page int, text string"
@@ -52,26 +53,32 @@ def read_passages(spark: SparkSession, path: str, manual_id: str | None = None)
     return rows.orderBy("ord")
 
 
-def read_figures(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FIGURES).json(path)
+def write_passages(rows: DataFrame, path: str, manuals: DataFrame | None = None) -> None:
+    """Stores passages as JSON lines. manuals: those that are replaced, if some have no passages any more."""
+    with snapshots.Write(rows.sparkSession, path, rows if manuals is None else manuals) as write:
+        write.add("passages", rows, "json")
+
 
+def stored_passages(spark: SparkSession, path: str) -> DataFrame:
+    return snapshots.read(spark, path, "passages", PASSAGES, "json")
 
-def write_by_manual(rows: DataFrame, path: str, kind: str = "parquet") -> None:
-    """A partition for each manual in rows; others in the folder stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("manual_id").format(kind).save(path)
 
+def read_figures(spark: SparkSession, path: str) -> DataFrame:
+    """The index of the figures of a store."""
+    return snapshots.read(spark, path, "index", FIGURES, "json")
 
-def write_downloads(rows: DataFrame, path: str) -> DataFrame:
-    """Stores what ``remote.download`` fetches, once, and returns (downloaded, bytes, failed) with the failures' ids and reasons.
+
+def write_downloads(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stores what ``remote.download`` fetches, once, and returns (report, failures): (downloaded, bytes, failed), and (manual_id, url, error) of what isn't there.
 
     Each run is a folder of its own, which Spark's committer puts in place
     whole: a broken run leaves no part of a file behind.
     """
     run = f"{path.rstrip('/')}/run={uuid.uuid4().hex}"
     rows.write.parquet(run)
-    ok = F.col("error").isNull()
-    failures = F.array_sort(F.collect_list(F.when(~ok, F.struct("manual_id", "error"))))  # of one run
-    return rows.sparkSession.read.parquet(run).agg(F.count_if(ok).alias("downloaded"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"), F.count_if(~ok).alias("failed"), failures.alias("failures"))
+    told, ok = rows.sparkSession.read.schema(rows.schema).parquet(run), F.col("error").isNull()
+    report = told.agg(F.count_if(ok).alias("downloaded"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"), F.count_if(~ok).alias("failed"))
+    return report, told.where(~ok).select("manual_id", "url", "error")
 
 
 def read_downloads(spark: SparkSession, path: str) -> DataFrame:
@@ -79,45 +86,49 @@ def read_downloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("manual_id string, url string, content binary, error string").parquet(f"{path.rstrip('/')}/run=*").where("error is null").select("manual_id", "url", "content")
 
 
-def write_figures(drawn: DataFrame, placed: DataFrame, path: str) -> None:
-    """Stores figures: their JPEGs, then the index, whose presence says that a manual is done.
+IMAGES = "page int, n int, width int, height int, jpeg binary, error string, manual_id string"
+
+
+def write_figures(drawn: DataFrame, placed: DataFrame, path: str, manuals: DataFrame | None = None) -> None:
+    """Stores figures, their JPEGs and their index, in one write.
 
     drawn: rows of ``extraction.render``, those with an error included. placed:
-    rows of ``figures.placements``. A manual without figures has no index.
+    rows of ``figures.placements``. manuals: those that are replaced, if some
+    have no figures any more; their old ones then go.
     """
-    write_by_manual(drawn, f"{path}/images")
-    stored = drawn.sparkSession.read.schema("page int, n int, width int, height int, jpeg binary, error string, manual_id string").parquet(f"{path}/images")
-    stored = stored.where("error is null")
-    about = placed.select("figure_id", "manual_id", "page", "n", "file", "bbox", F.array("width", "height").alias("source_px"))
-    index = about.join(stored.select("manual_id", "page", "n", "width", "height"), ["manual_id", "page", "n"])
-    write_by_manual(index.select("figure_id", "manual_id", "page", "n", "file", "bbox", "width", "height", "source_px"), f"{path}/index", "json")
+    given = drawn.select("manual_id").union(placed.select("manual_id"))
+    with snapshots.Write(drawn.sparkSession, path, given if manuals is None else manuals) as write:
+        write.add("images", drawn)
+        images = write.own("images", IMAGES).where("error is null").select("manual_id", "page", "n", "width", "height")
+        about = placed.select("figure_id", "manual_id", "page", "n", "file", "bbox", F.array("width", "height").alias("source_px"))
+        index = about.join(images, ["manual_id", "page", "n"])
+        write.add("index", index.select("figure_id", "manual_id", "page", "n", "file", "bbox", "width", "height", "source_px"), "json")
 
 
 def figure_bytes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(figures, skipped) for ``quality.figure_stats``, of the images that are stored."""
-    rows = spark.read.schema("page int, n int, width int, height int, jpeg binary, error string, manual_id string").parquet(f"{path}/images")
+    rows = snapshots.read(spark, path, "images", IMAGES)
     return rows.where("error is null").select("manual_id", "page", F.octet_length("jpeg").alias("bytes")), rows.where("error is not null").select("manual_id")
 
 
+VECTORS, META = "ord int, vector array<float>, manual_id string", "digest string, n long, dims int, model string, manual_id string"
+
+
 def build_index(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], model: str, path: str) -> None:
-    """Indexes the manuals of chunks: vectors of length one, then what the index says of itself.
+    """Indexes the manuals of chunks in one write: vectors of length one, and what the index says of itself.
 
-    ``embed`` adds a column ``vector`` to rows. The description is written last,
-    so a manual without one isn't indexed; others in the folder stay.
+    ``embed`` adds a column ``vector`` to rows. Other manuals stay as they are.
     """
-    vectors = normalised(embed(chunks.select("manual_id", "ord", "text"))).select("manual_id", "ord", F.col("vector").cast("array<float>").alias("vector"))
-    write_by_manual(vectors, f"{path}/vectors")
-    built = read_index(chunks.sparkSession, f"{path}/vectors").join(chunks.select("manual_id").distinct(), "manual_id", "left_semi")
-    write_by_manual(index_meta(chunks, built, model), f"{path}/meta")
+    with snapshots.Write(chunks.sparkSession, path, chunks) as write:
+        vectors = normalised(embed(chunks.select("manual_id", "ord", "text")))
+        write.add("vectors", vectors.select("manual_id", "ord", F.col("vector").cast("array<float>").alias("vector")))
+        write.add("meta", index_meta(chunks, write.own("vectors", VECTORS), model))
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vectors, descriptions) of what is indexed."""
-    return read_index(spark, f"{path}/vectors"), spark.read.schema("digest string, n long, dims int, model string, manual_id string").parquet(f"{path}/meta")
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("ord int, vector array<float>, manual_id string").parquet(path)
+    """(vectors, descriptions) of what is indexed, both as of the same write."""
+    now = snapshots.manifest(spark, path)
+    return snapshots.read(spark, path, "vectors", VECTORS, now=now), snapshots.read(spark, path, "meta", META, now=now)
 
 
 def pending(found: DataFrame, done: DataFrame, limit: int = 0, force: bool = False, key: str = "manual_id") -> DataFrame:

@@ -23,6 +23,12 @@ def ingest(spark: SparkSession, source: str, schema: str, kind: str, target: str
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stateful(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Appends what a stateful stream gives to a table, as far as there is input; then it stops. State is kept where its size doesn't burden executors' heaps."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def sliding_load(events: DataFrame, at: str = "ts", by: str = "event_type", window: str = "60 seconds", slide: str = "20 seconds", late: str = "2 minutes") -> DataFrame:
     """(window_start, by, n): events in each sliding window; for batches and streams alike."""
     rows = events.withColumn(at, F.col(at).cast("timestamp"))

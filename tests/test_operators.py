@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+
 from pyspark.sql import functions as F
 
-from passagework.operators import answers, catalogue, figures, pages, passages, quality, vectors
+from passagework.operators import answers, catalogue, figures, pages, passages, quality, ranking, vectors
 
 CATALOGUE = "entry_ord long, brand string, model array<string>, year array<string>, edition array<string>, url string"
 ENTRIES = [
@@ -56,15 +58,53 @@ def brute_pack(units, target, overlap):
     return [*out, buffer] if buffer else out
 
 
+def brute_batches(sizes, most, chars):
+    out = []
+    for i, size in enumerate(sizes):
+        if not out or len(out[-1]) >= most or sum(sizes[j] for j in out[-1]) + size > chars:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
+@pytest.mark.parametrize("block", [20_000, 10])
+def test_one_key_of_a_third_of_all_rows_is_folded_in_blocks(spark, block):
+    """Blocks are no smaller than pointers reach, some 50 rows; the hot key has 900, null is a key, and sections change within keys."""
+    rng = random.Random(5)
+    keys = ["hot"] * 900 + [None] * 200 + [f"k{rng.randrange(300)}" for _ in range(1600)]
+    rows = [(k, None if rng.random() < 0.1 else "x", n, rng.choice([1, 2, 3, 9, 25, 40]), rng.choice("ab") if rng.random() < 0.02 else "a") for n, k in enumerate(keys)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "k string, extra string, ord long, size int, section string")
+    whole = {}
+    for k, _, o, size, section in sorted(rows, key=lambda r: r[2]):
+        whole.setdefault(k, []).append((o, size, section))
+    for target, overlap in ((30, 8), (30, 0), (20, 30)):
+        got = {}
+        for r in passages.pack(frame, ["k"], ["ord"], "size", "section", target, overlap, block=block).collect():
+            got.setdefault(r.k, {}).setdefault(r.chunk, []).append((r.at, r.ord))
+        for k, units in whole.items():
+            want = brute_pack([(s, x) for _, s, x in units], target, overlap)
+            assert [[at for at, _ in sorted(got[k][c])] for c in range(len(want))] == want and len(got[k]) == len(want)
+            assert all(units[at][0] == o for c in got[k].values() for at, o in c)
+    for most, chars in ((5, 60), (40, 10_000)):
+        got = {}
+        for r in passages.batches(frame, ["k"], ["ord"], "size", most, chars, block=block).collect():
+            got.setdefault(r.k, {}).setdefault(r.batch, []).append(r.at)
+        assert {k: [sorted(v[b]) for b in range(len(v))] for k, v in got.items()} == {k: brute_batches([s for _, s, _ in u], most, chars) for k, u in whole.items()}
+    assert passages.pack(frame.where("1 = 0"), ["k"], ["ord"], "size").count() == 0
+
+
 def test_packing_and_cutting_equal_brute_force():
     rng = random.Random(1)
     for _ in range(500):
         units = [(rng.choice([0, 5, 30, 60, 100, 130]), rng.choice([None, "a"]) if rng.random() < 0.2 else "a") for _ in range(rng.randint(0, 20))]
         target, overlap = rng.choice([80, 120]), rng.choice([0, 40, 200])
-        packer, got = passages.Packer(target, overlap), {}
-        for chunk, i in [x for u in units for x in packer.add(*u)] + packer.finish():
-            got.setdefault(chunk, []).append(i)
-        assert list(got.values()) == brute_pack(units, target, overlap)
+        first = [i for i in range(len(units)) if not i or units[i][1] != units[i - 1][1]]
+        low = [max(f for f in first if f <= i) for i in range(len(units))]
+        high = [min([f for f in first if f > i] or [len(units)]) for i in range(len(units))]
+        start, after = passages.Filling(target, overlap).pointers(np.array([u[0] for u in units], np.int64), np.array(low, np.int64), np.array(high, np.int64))
+        way = passages._way(after.tolist(), 0, len(units))
+        assert [list(range(start[i], after[i])) for i in way] == brute_pack(units, target, overlap)
     for _ in range(500):
         text = "".join(rng.choice("ab  ") for _ in range(rng.randint(0, 60))).strip()
         got = passages.pieces(text, 10)
@@ -216,3 +256,77 @@ def test_a_question_is_sent_once_it_says_something(spark):
     rows = [(" qué \n", False), ("  ", False), ("x", True), ("\ufeff y", None), (None, False)]
     got = spark.createDataFrame(rows, "q string, busy boolean").select(answers.to_send(F.col("q"), F.col("busy")).alias("s")).collect()
     assert [r.s for r in got] == ["qué", None, None, "y", None]
+
+
+@pytest.mark.parametrize("partitions", ["3", "13"])
+def test_places_of_one_key_that_holds_most_rows(spark, partitions, monkeypatch):
+    """No task sorts a whole key: ranges of it are numbered apart. Nulls are keys, and values that repeat take places beside each other."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(50), n) for n in range(4000)]
+    before, dealt = spark.conf.get("spark.sql.shuffle.partitions"), []
+    write = ranking.stored
+    monkeypatch.setattr(ranking, "stored", lambda d: dealt.append(write(d)) or dealt[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = spark.createDataFrame(rows, "k string, v int, n int").repartition(5)
+        ranked = ranking.ranked(frame, ["k"], [F.desc("v"), "n"])
+        got = {(r.k, r.v, r.n): r.place for r in ranked.collect()}
+        assert ranking.ranked(frame.where("1 = 0"), ["k"], ["v"]).count() == 0
+        spread = dealt[0].where("k = 'hot'").select("_range").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {}
+    for k in {r[0] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])), 1):
+            want[r] = place
+    assert got == want and spread > 1
+
+
+def test_many_searches_equal_a_scan_for_each(spark):
+    rng = random.Random(6)
+    part = lambda: "".join(rng.choice("abA. ") for _ in range(rng.randint(0, 5)))
+    rows = spark.createDataFrame([(part(), "Uno " + part(), str(2000 + i % 7), "06.22") for i in range(150)], "brand string, model string, year string, edition string")
+    asked = [(i, q) for i, q in enumerate(["", "   ", None, "uno", "UNO (2003)", "a", "ab", "aba", "aaaa b", "no such thing", "06.22 2001 u", "2 2 2", "éé", *(part() + " " + part() for _ in range(40))])]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    index = catalogue.search_index(rows)
+    for meet in (1, 3):
+        got = sorted((r.query_id, r.brand, r.model, r.year) for r in catalogue.search_many(index, queries, meet).collect())
+        want = sorted((i, r.brand, r.model, r.year) for i, q in asked if q is not None for r in catalogue.search(rows, F.lit(q)).collect())
+        assert got == want
+    assert catalogue.search_many(index, queries.where("1 = 0")).count() == 0
+
+
+def clustered(rng, centres, n, dims, spread):
+    at = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(centres)]
+    return [[c + rng.gauss(0, spread) for c in at[i % centres]] for i in range(n)]
+
+
+@pytest.mark.parametrize("unit_length", [True, False])
+def test_pruned_search_is_exact(spark, unit_length):
+    rng = random.Random(3)
+    made = [(m, i, v) for m, n in (("big", 1500), ("small", 3), ("one", 1)) for i, v in enumerate(clustered(rng, 12, n, 16, 0.1))]
+    made += [("big", 1500 + i, made[i][2]) for i in range(4)] + [("big", 1600, [0.0] * 16)]  # ties, and a vector without a direction
+    index = spark.createDataFrame(made, "manual_id string, ord int, vector array<double>")
+    index = vectors.normalised(index) if unit_length else index
+    asked = [(q, m, v) for q, (m, v) in enumerate([("big", made[i][2]) for i in range(0, 60, 5)] + [("big", [rng.gauss(0, 1) for _ in range(16)]), ("small", made[0][2]), ("one", made[1][2]), ("none", made[1][2]), ("big", [0.0] * 16)])]
+    questions = spark.createDataFrame(asked, "question_id int, manual_id string, vector array<double>")
+    rows, blocks = vectors.in_blocks(index)
+    found = vectors.top_k_pruned(rows, blocks, questions, 5).collect()
+    want = vectors.top_k_batch(index, questions, 5).collect()
+    assert sorted((r.question_id, r["rank"], r.ord) for r in found) == sorted((r.question_id, r["rank"], r.ord) for r in want)
+    read = {r.question_id: r.read for r in found}
+    assert len(read) == len(asked) - 1 and max(read[q] for q in range(12)) < 0.5 and all(0 < v <= 1 for v in read.values())
+
+
+def test_pieces_of_any_shape_are_read(spark):
+    bodies = ['{"candidates":[{"content":{"parts":[{"text":"a"},{"inline":{"x":[1]}},{"text":"b"}]},"finishReason":"STOP","odd":[[1],{}]}],"usageMetadata":{"totalTokenCount":7,"more":{}}}', "not json", "", None, "[]", '{"candidates":[]}', '{"candidates":"none"}', '{"candidates":[{"content":{"parts":"x"}}],"usageMetadata":3}']
+    frame = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    got = [tuple(r.s) for r in frame.select("i", answers.spoken(F.col("body")).alias("s")).orderBy("i").collect()]
+    assert got == [("ab", "STOP", 7)] + [("", None, None)] * 7
+    waits = ['{"error":{"details":[{"@type":"t/Help","links":[{"url":"x"}]},7,{"@type":{"odd":1}},{"@type":"t/RetryInfo","retryDelay":"59s"}]}}', '{"error":{"details":"no"}}', "<html>", None, '{"error":{"details":[{"@type":"t/RetryInfo","retryDelay":{"s":1}}]}}', '{"error":{"details":[{"@type":"t/RetryInfo"}]}}', '{"error":{"details":[{"@type":"t/RetryInfo","retryDelay":"1.5s"}]}}']
+    frame = spark.createDataFrame(list(enumerate(waits)), "i int, body string")
+    assert [r.w for r in frame.select("i", answers.asked_wait(F.col("body")).alias("w")).orderBy("i").collect()] == [60.0, None, None, None, None, None, 2.5]
+    lines = spark.createDataFrame([("data: a",), ("  data:b \r",), (": data: c",), ("",), (None,), ("\tdata:",)], "line string")
+    assert sorted(r.body for r in answers.sse_bodies(lines).collect()) == ["", "a", "b"]

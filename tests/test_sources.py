@@ -5,7 +5,7 @@ import pytest
 from pyspark import cloudpickle
 
 from passagework.operators import figures, quality, vectors
-from passagework.sources import config, extraction, remote, tables
+from passagework.sources import config, extraction, remote, snapshots, tables
 from passagework.streaming import jobs
 
 
@@ -28,17 +28,63 @@ def test_pages_and_errors(spark, tmp_path):
     assert [r.name for r in errors.collect()] == ["bad"]
 
 
-def test_partitions_replace_only_themselves(spark, tmp_path):
-    rows = lambda m, v: spark.createDataFrame([(m, 0, [v])], "manual_id string, ord int, vector array<float>")
-    for m, v in (("a", 1.0), ("b", 2.0), ("a", 3.0)):
-        tables.write_by_manual(rows(m, v), str(tmp_path / "index"))
-    assert {(r.manual_id, r.vector[0]) for r in tables.read_index(spark, str(tmp_path / "index")).collect()} == {("a", 3.0), ("b", 2.0)}
+def test_what_is_pending(spark):
     found = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "manual_id string")
     done = spark.createDataFrame([("a",)], "manual_id string")
     assert [r[0] for r in tables.pending(found, done, limit=2).collect()] == ["b", "c"]
     assert tables.pending(found, done, force=True).count() == 4
 
 
+def stored_rows(spark, path):
+    one, two = (snapshots.read(spark, path, t, "n int, manual_id string").collect() for t in ("one", "two"))
+    return sorted((r.manual_id, r.n) for r in one), sorted((r.manual_id, r.n) for r in two)
+
+
+def test_a_reader_sees_all_of_a_write_or_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame(list(x), "manual_id string, n int")
+    assert stored_rows(spark, path) == ([], []) and snapshots.manuals(spark, path).count() == 0
+    with snapshots.Write(spark, path, rows(("a", 0), ("007", 0))) as w:
+        w.add("one", rows(("a", 1), ("007", 2)))
+        w.add("two", rows(("a", 1)))
+    first = ([("007", 2), ("a", 1)], [("a", 1)])
+    assert stored_rows(spark, path) == first
+
+    class Stopped(BaseException):
+        pass
+
+    with pytest.raises(Stopped), snapshots.Write(spark, path, rows(("a", 0))) as w:
+        w.add("one", rows(("a", 10)))
+        assert stored_rows(spark, path) == first  # between the two tables a reader sees the old state whole
+        raise Stopped
+    assert stored_rows(spark, path) == first and len(list((tmp_path / "store" / "one").glob("part=*"))) == 1
+
+    killed = snapshots.Write(spark, path, rows(("a", 0)))  # a writer that never gets to clean up
+    killed.add("one", rows(("a", 20)))
+    assert stored_rows(spark, path) == first
+    with snapshots.Write(spark, path, rows(("a", 0), ("b", 0))) as w:  # "a" loses its row of "two"
+        w.add("one", rows(("a", 30), ("b", 31)))
+        w.add("two", rows(("b", 31)))
+    second = ([("007", 2), ("a", 30), ("b", 31)], [("b", 31)])
+    assert stored_rows(spark, path) == second and {r[0] for r in snapshots.manuals(spark, path).collect()} == {"a", "b", "007"}
+    killed.add("two", rows(("a", 20)))
+    with pytest.raises(snapshots.Conflict):  # it began before that write
+        killed.complete()
+    assert stored_rows(spark, path) == second
+
+    assert snapshots.swept(spark, path) == []  # too young
+    gone = snapshots.swept(spark, path, keep=1, older_than=-60.0)
+    assert any(killed.part in g for g in gone) and stored_rows(spark, path) == second
+    left = {p.name for p in (tmp_path / "store").glob("*/part=*")}
+    assert f"part={killed.part}" not in left and len(list((tmp_path / "store" / "_manifests").glob("0*.json"))) == 1
+
+
+def test_manifests_are_put_in_place_once(spark, tmp_path):
+    files = snapshots.Files(spark, str(tmp_path))
+    assert files.put("_manifests/1.json", "{}") and not files.put("_manifests/1.json", "other")
+    assert files.read("_manifests/1.json") == "{}" and [n for n in files.listed("_manifests") if not n.endswith(".crc")] == ["1.json"]
+
+
 def test_extraction_isolates_failures(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF one|two")
     (tmp_path / "b.pdf").write_bytes(b"broken")
@@ -156,6 +202,16 @@ def test_opening_is_retried_and_reading_only_when_fetched_whole():
         remote.named("model:verb", lambda: (_ for _ in ()).throw(remote.Refused(400, "why")))
 
 
+def test_each_host_rests_between_its_own():
+    now, asked = [0.0], []
+    sleep = lambda s: now.__setitem__(0, now[0] + s)
+    due = {}
+    for hosts in (["a", "a", "a", "b", "c", "b"], ["a", "d"]):
+        for k in remote.in_turns(hosts, due, 1.0, lambda: now[0], sleep):
+            asked.append((hosts[k], now[0]))
+    assert sorted(asked) == [("a", 0.0), ("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 0.0), ("b", 1.0), ("c", 0.0), ("d", 2.0)]
+
+
 def test_downloads_are_checked_and_stored_once(spark, tmp_path):
     def connect(url):
         if url == "gone":
@@ -164,9 +220,10 @@ def test_downloads_are_checked_and_stored_once(spark, tmp_path):
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks don't import tests
     plan = spark.createDataFrame([(u.upper(), u) for u in ("a", "html", "fake", "gone", "b")], "manual_id string, url string")
-    report = tables.write_downloads(remote.download(plan, connect, pause=0.0), str(tmp_path / "raw")).first()
+    report, failures = tables.write_downloads(remote.download(plan, connect, pause=0.0), str(tmp_path / "raw"))
+    report = report.first()
     assert (report.downloaded, report.bytes, report.failed) == (2, 16, 3)
-    assert [(f.manual_id, f.error[:13]) for f in report.failures] == [("FAKE", "content does "), ("GONE", "HTTP 404: no "), ("HTML", "not a PDF (Co")]
+    assert sorted((f.manual_id, f.error) for f in failures.collect()) == [("FAKE", "expected a PDF; the file begins otherwise"), ("GONE", "HTTP 404: no such file"), ("HTML", "expected a PDF; the reply's type is text/html")]
     have = tables.read_downloads(spark, str(tmp_path / "raw"))
     assert {r.manual_id for r in have.collect()} == {"A", "B"}
     left = tables.to_download(plan, have)
@@ -196,10 +253,12 @@ def test_figures_are_stored_before_their_index(spark, tmp_path):
     images = spark.createDataFrame([(m, 1, n, 0.0, 0.0, float(n), 5.0, 200, 100) for m in "ab" for n in (1, 2)], "manual_id string, page int, seq long, x0 double, y0 double, x1 double, y1 double, width int, height int")
     drawn = spark.createDataFrame([("a", 1, 1, 9, 8, b"jpeg", None), ("a", 1, 2, None, None, None, "boom"), ("b", 1, 1, 9, 8, b"jp", None)], extraction.FIGURES)
     tables.write_figures(drawn, figures.placements(images), path)
-    index = tables.read_figures(spark, f"{path}/index").orderBy("figure_id").collect()
+    index = tables.read_figures(spark, path).orderBy("figure_id").collect()
     assert [(r.figure_id, r.file, r.width, list(r.source_px)) for r in index] == [("a:0001:1", "p0001_1.jpg", 9, [200, 100]), ("b:0001:1", "p0001_1.jpg", 9, [200, 100])]
     stats = {r.name: (r.figures, r.skipped, r.pages, r.bytes) for r in quality.figure_stats(*tables.figure_bytes(spark, path)).collect()}
     assert stats == {"a": (1, 1, 1, 4), "b": (1, 0, 1, 2)}
+    tables.write_figures(drawn.where("1 = 0"), figures.placements(images.where("1 = 0")), path, spark.createDataFrame([("a",)], "manual_id string"))
+    assert {r.manual_id for r in tables.read_figures(spark, path).collect()} == {"b"}  # a manual without figures has no old index either
 
 
 def test_passages_are_read_in_file_order(spark, tmp_path):
@@ -209,8 +268,8 @@ def test_passages_are_read_in_file_order(spark, tmp_path):
     assert tables.read_passages(spark, str(tmp_path)).count() == 24
     with pytest.raises(LookupError, match="chunk it"):
         tables.read_passages(spark, str(tmp_path), "c")
-    tables.write_by_manual(tables.read_passages(spark, str(tmp_path)), str(tmp_path / "out"), "json")
-    again = tables.read_passages(spark, str(tmp_path / "out"))
+    tables.write_passages(tables.read_passages(spark, str(tmp_path)), str(tmp_path / "out"))
+    again = tables.stored_passages(spark, str(tmp_path / "out"))
     assert sorted((r.manual_id, r.ord, r.text) for r in again.collect()) == sorted((r["manual_id"], r["ord"], r["text"]) for r in rows)
 
 
