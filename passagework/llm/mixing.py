@@ -8,12 +8,20 @@ they stay probabilities. A document is drawn when a uniform number made from
 its id falls below its cell's probability, so a draw is repeatable and needs no
 order.
 
-Cells number at most the product of the marginals' values. They stay in a
-DataFrame throughout: a round is one join for each marginal, and its outcome a
-written table. Rounds go on until one moves no probability by more than a
-share ``tolerance`` of itself. What a cut at 1 leaves over goes to the other cells of its values in
-the rounds after; a target that all of a value's tokens don't reach stays
-unmet. ``residuals`` tells how far each value is from its target.
+Cells number at most the product of the marginals' values. Up to
+``cell_bytes``, which are added up, they are raked as arrays, for a round over a
+few hundred numbers is no work for a cluster; beyond that they stay in a
+DataFrame, where a round is one join for each marginal and its outcome a written
+table. Both do the same arithmetic.
+
+Rounds go on until one moves no probability by more than ``tolerance``, or for
+``most`` rounds. What a cut at 1 leaves over goes to the other cells of its
+values in the rounds after. Targets need not be within reach: a value may have
+too few tokens for its own, or the cells that would be needed may not exist, as
+where one large source has one language and a small one has many. Raking then
+settles where the marginals' pulls balance, with the last marginal met as far as
+its tokens go; cells that it would empty come near 0. Nothing is raised:
+``residuals`` tells how far each value is from its target.
 
 A null source or language is a value of its own; a null or empty text has no
 tokens and doesn't count. Rows that share an id are drawn alike. An empty table
@@ -25,6 +33,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,26 +66,50 @@ def targets(cells: DataFrame, marginal: str, rate: float, power: float, total: f
     return by.select(marginal, (F.col("share") * F.lit(rate * total / scale)).alias("target"))
 
 
-def rake(cells: DataFrame, marginals: Sequence[str], rate: float, power: float, tolerance: float = 1e-3, most: int = 100) -> DataFrame:
-    """cells with a column p and, for each marginal m, a column ``target_m``.
-
-    Raises if ``most`` rounds don't settle the probabilities.
-    """
+def _raked(cells: pd.DataFrame, marginals: Sequence[str], tolerance: float, most: int) -> np.ndarray:
+    """The probabilities of cells (marginals.., tokens, p, targets)."""
+    tokens, p = cells["tokens"].to_numpy(float), cells["p"].to_numpy(float)
+    sides = []
+    for m in marginals:
+        codes, _ = pd.factorize(cells[m])
+        target = np.full(codes.max(initial=-1) + 1, np.nan)
+        target[codes] = cells[f"target_{m}"].to_numpy(float)
+        sides.append((codes, target))
+    for _ in range(most):
+        before = p
+        for codes, target in sides:
+            held = np.bincount(codes, tokens * p, len(target))
+            factor = np.divide(target, held, out=np.ones_like(held), where=(held > 0) & ~np.isnan(target))
+            p = np.minimum(1.0, p * factor[codes])
+        if np.abs(p - before).max(initial=0.0) <= tolerance:
+            break
+    return p
+
+
+def rake(cells: DataFrame, marginals: Sequence[str], rate: float, power: float, tolerance: float = 1e-4, most: int = 100, cell_bytes: int = 16 << 20) -> DataFrame:
+    """cells with a column p and, for each marginal m, a column ``target_m``."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     for m in marginals:
         cells = cells.join(targets(cells, m, rate, power, total).withColumnRenamed("target", f"target_{m}"), m, "left")
     cells = materialised(cells.withColumn("p", F.lit(float(rate))), few=True)
+    if size_of(cells, marginals) <= cell_bytes:
+        few = cells.toPandas()  # at most so many bytes
+        return cells.sparkSession.createDataFrame(few.assign(p=_raked(few, marginals, tolerance, most)).replace(np.nan, None), cells.schema)
     for _ in range(most):
         at = cells.withColumn("before", F.col("p"))
         for m in marginals:
-            now = at.groupBy(m).agg((F.max(f"target_{m}") / F.sum(F.col("tokens") * F.col("p"))).alias("factor"))
+            now = at.groupBy(m).agg(F.try_divide(F.max(f"target_{m}"), F.sum(F.col("tokens") * F.col("p"))).alias("factor"))
             at = at.join(now, m).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.coalesce("factor", F.lit(1.0)))).drop("factor")
         at = materialised(at, few=True)
-        moved = at.agg(F.max(F.abs(F.col("p") / F.col("before") - 1))).first()[0]
         cells = at.drop("before")
-        if (moved or 0.0) <= tolerance:
-            return cells
-    raise RuntimeError(f"the weights are not settled after {most} rounds")
+        if (at.agg(F.max(F.abs(F.col("p") - F.col("before")))).first()[0] or 0.0) <= tolerance:
+            break
+    return cells
+
+
+def size_of(cells: DataFrame, marginals: Sequence[str]) -> int:
+    """Bytes of the table of cells, counted."""
+    return cells.agg(F.sum(F.lit(16 + 8 * len(marginals)) + sum((F.octet_length(m) for m in marginals), F.lit(0)))).first()[0] or 0
 
 
 def residuals(cells: DataFrame, marginals: Sequence[str]) -> DataFrame:
@@ -91,7 +125,7 @@ def _cells(docs: DataFrame, marginals: dict[str, Column], text_col: str) -> tupl
     return rows, materialised(rows.groupBy(*marginals).agg(F.sum("tokens").alias("tokens")), few=True)
 
 
-def mixed_cells(docs: DataFrame, marginals: dict[str, Column], text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-3) -> DataFrame:
+def mixed_cells(docs: DataFrame, marginals: dict[str, Column], text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-4) -> DataFrame:
     """The raked cells of docs, for a look at their residuals."""
     return rake(_cells(docs, marginals, text_col)[1], list(marginals), rate, power, tolerance)
 
@@ -100,8 +134,7 @@ def _drawn(docs: DataFrame, marginals: dict[str, Column], id_col: str, text_col:
     """(row, tokens, p, kept) of each document."""
     rows, cells = _cells(docs, marginals, text_col)
     cells = rake(cells, list(marginals), rate, power, tolerance).select(*marginals, "p")
-    size = cells.agg(F.sum(F.lit(32) + sum((F.octet_length(m) for m in marginals), F.lit(0)))).first()[0] or 0
-    joined = rows.join(F.broadcast(cells) if size <= broadcast_bytes else cells, list(marginals), "left")
+    joined = rows.join(F.broadcast(cells) if size_of(cells, list(marginals)) <= broadcast_bytes else cells, list(marginals), "left")
     given = F.col("row").getField(id_col).cast("string")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(given, F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     return joined.select("row", "tokens", "p", (draw < F.col("p")).alias("kept"))
@@ -111,7 +144,7 @@ def _with(row: list[str], *added: str) -> list[Column]:
     return [*(F.col("row").getField(c).alias(c) for c in row if c not in added), *map(F.col, added)]
 
 
-def mix(docs: DataFrame, marginals: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-3, seed: str = "mix", broadcast_bytes: int = 16 << 20) -> DataFrame:
+def mix(docs: DataFrame, marginals: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-4, seed: str = "mix", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """docs with the columns tokens, p and kept; named marginals give each document's values.
 
     Every document is returned; ``kept`` says whether it was drawn. The table of
@@ -122,7 +155,7 @@ def mix(docs: DataFrame, marginals: dict[str, Column], id_col: str = "doc_id", t
     return drawn.select(*_with(docs.columns, "tokens", "p", "kept"))
 
 
-def draw(docs: DataFrame, marginals: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-3, seed: str = "mix", broadcast_bytes: int = 16 << 20) -> DataFrame:
+def draw(docs: DataFrame, marginals: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, power: float = 0.7, tolerance: float = 1e-4, seed: str = "mix", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The documents that are drawn, with the columns tokens and p; a given column ``kept`` passes untouched."""
     drawn = _drawn(docs, marginals, id_col, text_col, rate, power, tolerance, seed, broadcast_bytes)
     return drawn.where("kept").select(*_with(docs.columns, "tokens", "p"))

@@ -15,8 +15,10 @@
    group is held only against one, a typical group of its hashes, and each
    member against its own group, which connects most copies at a cost linear in
    their number. In the second, all pairs that these links leave in different
-   components are filtered by size and position, expanded to members and
-   verified. So no link between components is lost, and a large group of copies
+   components are filtered by size, position and bits, expanded to members and
+   verified. Bits are parities of a set's hashes, and two sets differ in at
+   least as many hashes as bits, so documents that share stock paragraphs
+   without being copies are told apart before their hashes are fetched. So no link between components is lost, and a large group of copies
    never becomes all its pairs.
 
 Linking is exact integer arithmetic on the sets. Sets are of 62-bit hashes or
@@ -47,12 +49,12 @@ from .common import materialised, text_bytes
 from .graph import components
 
 WORDS = 5
-LOW = np.uint64((1 << 56) - 1)
 NO_ID = -(1 << 63)
 HOME = 8  # rows of a part from which on a hash's rows stay with their part, and their number alone goes out
 PACKED = "bucket long, part long, rows binary, counts binary, tokens binary"
 PARTS = 1_000_000  # a table partition has fewer parts
-SETS = "doc long, key long, n long, hi long, lo long, tokens array<long>"
+BITS = 1024  # of a set's parities
+SETS = "doc long, key long, n long, hi long, lo long, tokens array<long>, bits array<long>"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -79,6 +81,19 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
     return (4 * n + 4) // 5
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits, of which a set's each hash turns one over: two sets' bits differ in no more places than the sets do."""
+    odd = np.bincount(tokens & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether two sets' sizes, shared sizes and bits leave room for a link: those in common are at most half of what isn't told apart."""
+    of = lambda side, c: F.col(f"{side}.{c}")
+    apart = F.aggregate(F.zip_with(of(a, "bits"), of(b, "bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(9 * (of(a, "m") + of(b, "m") - apart) >= 8 * (of(a, "n") + of(b, "n")), F.lit(True))
+
+
 def _small(a: np.ndarray) -> bytes:
     """Whole numbers of which most are small, compressed."""
     return zstandard.ZstdCompressor(1).compress(np.asarray(a).astype(np.uint32).tobytes())
@@ -207,6 +222,7 @@ def _sets(found: pd.DataFrame) -> pd.DataFrame:
     at, digest, docs = np.concatenate(firsts), np.concatenate(digests), np.concatenate(ids, 1)
     n = np.concatenate([np.frombuffer(c, np.int64) for c in about["counts"]])
     lists: list = [None] * len(at)
+    bits: list = [None] * len(at)
     rows, df, tokens = ([np.zeros(0, t)] for t in (np.uint32, np.uint32, np.int64))
     for r, c, t in zip(own["rows"], own["counts"], own["tokens"], strict=True):
         rows.append(np.cumsum(_large(r), dtype=np.uint32))
@@ -227,7 +243,8 @@ def _sets(found: pd.DataFrame) -> pd.DataFrame:
     lo, hi = np.searchsorted(rows, at), np.searchsorted(rows, at, side="right")
     for i in np.flatnonzero((hi - lo >= needed(n)) & (n > 0)):
         lists[i] = tokens[lo[i] : hi[i]]
-    return pd.DataFrame({"doc": docs[0], "key": docs[1], "n": n, "hi": digest[:, 0], "lo": digest[:, 1], "tokens": lists})
+        bits[i] = parities(lists[i])
+    return pd.DataFrame({"doc": docs[0], "key": docs[1], "n": n, "hi": digest[:, 0], "lo": digest[:, 1], "tokens": lists, "bits": bits})
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = 6 << 20, flush: int = 600_000) -> DataFrame:
@@ -249,14 +266,14 @@ def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def link(sets: DataFrame) -> DataFrame:
     """(node, root) of the classes that link with another class; node is the high half of the set's digest."""
-    able = sets.where("tokens is not null").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    able = sets.where("tokens is not null").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
     need = F.floor((4 * F.col("n") + 4) / 5).cast("int")
     prefix = F.slice("tokens", 1, F.size("tokens") - need + 1)
-    nodes = materialised(able.select(F.col("hi").alias("node"), "n", "tokens", F.size("tokens").alias("m"), prefix.alias("prefix"), F.xxhash64(prefix, "n").alias("group")))
+    nodes = materialised(able.select(F.col("hi").alias("node"), "n", "tokens", "bits", F.size("tokens").alias("m"), prefix.alias("prefix"), F.xxhash64(prefix, "n").alias("group")))
 
     # One of each group stands for it: the same prefix and size, so the same places in every list.
-    leads = materialised(nodes.groupBy("group").agg(F.min("node").alias("lead"), F.first("n").alias("n"), F.max("m").alias("m"), F.first("prefix").alias("prefix")), few=True)
-    members = materialised(nodes.select("node", "group").join(leads.select("group", "lead"), "group"), few=True)
+    leads = materialised(nodes.groupBy("group").agg(F.min("node").alias("lead"), F.first("n").alias("n"), F.max("m").alias("m"), F.first("prefix").alias("prefix"), F.when(F.count("*") == 1, F.first("bits")).alias("bits")), few=True)
+    members = materialised(nodes.select("node", "group", "n", "m", "bits").join(leads.select("group", "lead"), "group"), few=True)
     lists = leads.select("group", F.col("lead").alias("node"), "n", "m", F.posexplode("prefix").alias("pos", "token"))
 
     typical = materialised(lists.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node")).alias("best"), F.count("*").alias("k")).where("k > 1").select("token", F.col("best.node").alias("hub")), few=True)
@@ -268,20 +285,21 @@ def link(sets: DataFrame) -> DataFrame:
     roots = materialised(components(found), few=True)
 
     # Second round: pairs over different components. In each list one side is outside the hub's component.
-    place = members.join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("root"))
+    place = members.join(roots, "node", "left").select("node", "group", "n", "m", "bits", F.coalesce("root", "node").alias("root"))
     place = materialised(place, few=True)
     spread = place.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    listed = lists.join(spread, "group").select("token", "pos", "group", "n", "m", "low", "high")
+    listed = lists.join(leads.select("group", "bits"), "group").join(spread, "group").select("token", "pos", "group", "n", "m", "low", "high", "bits")
     hub = typical.join(place.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub").select("token", "main")
     outside = listed.join(hub, "token").where("low <> main or high <> main").alias("x")
     y = listed.alias("y")
     room = F.least(F.col("x.m") - F.col("x.pos"), F.col("y.m") - F.col("y.pos"))
     near = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n")) & (9 * room >= 4 * (F.col("x.n") + F.col("y.n")))
     apart = ~((F.col("x.low") == F.col("y.high")) & (F.col("x.high") == F.col("y.low")))
-    pairs = outside.join(y, F.col("x.token") == F.col("y.token")).where(near & apart).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
+    pairs = outside.join(y, F.col("x.token") == F.col("y.token")).where(near & apart & _may_link("x", "y")).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
     mixed = spread.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    a, b = (place.select(F.col("group").alias(g), F.col("node").alias(c), F.col("root").alias(r)) for g, c, r in (("g", "a", "r_a"), ("h", "b", "r_b")))
-    rest = pairs.union(mixed).join(a, "g").join(b, "h").where("r_a <> r_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    a, b = place.alias("a"), place.alias("b")
+    met = pairs.union(mixed).join(a, F.col("g") == F.col("a.group")).join(b, F.col("h") == F.col("b.group")).where((F.col("a.root") != F.col("b.root")) & _may_link("a", "b"))
+    rest = met.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
     more = materialised(_linked(materialised(rest, few=True), nodes), few=True)
     return components(found.union(more))
 

@@ -135,7 +135,7 @@ def marginals() -> dict[str, Column]:
     return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
 
 
-RATE, POWER, TOLERANCE = 0.5, 0.7, 1e-3
+RATE, POWER, TOLERANCE, ROUNDS = 0.5, 0.7, 1e-4, 100
 
 
 @query
@@ -146,10 +146,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixing_sql() -> str:
-    """Raking as a recursion over the cells: a step for each marginal of a round, until a round moves nothing much."""
+    """Raking as a recursion over the cells: a step for each marginal of a round, until a round moves no probability much."""
     names = ["source", "lang", "topic"]
     targets = ", ".join(f"{RATE} * (select n from total) * pow(h_{m}, {POWER}) / (select sum(s) from (select pow(sum(tokens)::double, {POWER}) as s from d group by {m} having sum(tokens) > 0)) as t_{m}" for m in names)
-    at = "select *, p as before from r where moved > %g" % TOLERANCE
+    at = f"select *, p as before from r where moved > {TOLERANCE:g} and round < {ROUNDS}"
     for m in names:
         at = f"select * replace (least(1.0, p * coalesce(t_{m} / nullif(sum(tokens * p) over (partition by {m}), 0), 1.0)) as p) from ({at})"
     return f"""with recursive d as materialized (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
@@ -162,7 +162,7 @@ total as materialized (select sum(tokens)::double as n from d),
 h as (select *, {", ".join(f"(sum(tokens) over (partition by {m}))::double as h_{m}" for m in names)} from (select source, lang, topic, sum(tokens)::double as tokens from d group by all)),
 r as (select 0 as round, source, lang, topic, tokens, {targets}, {RATE}::double as p, 1.0::double as moved from h
   union all
-  select round + 1, source, lang, topic, tokens, {", ".join(f"t_{m}" for m in names)}, p, max(abs(p / before - 1)) over () from ({at}))
+  select round + 1, source, lang, topic, tokens, {", ".join(f"t_{m}" for m in names)}, p, max(abs(p - before)) over () from ({at}))
 select d.doc_id, d.tokens, round(p, 4) as p, ('0x' || substr(md5('mix:' || d.doc_id), 1, 8))::ubigint / 4294967296.0 < p as kept
 from d join (select * from r where round = (select max(round) from r)) c using (source, lang, topic)"""
 

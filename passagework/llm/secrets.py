@@ -72,10 +72,10 @@ def _crc_token(m: re.Match) -> bool:
 
 
 def _signed_token(m: re.Match) -> bool:
-    """The header of a signed token decodes to a JSON object naming its algorithm."""
+    """The header of a signed token decodes to a JSON object naming its algorithm. One that is nested too deeply to be read is none."""
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head
 

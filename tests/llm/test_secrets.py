@@ -1,3 +1,4 @@
+import base64
 import binascii
 import hashlib
 import re
@@ -103,6 +104,15 @@ def test_hostile_texts_take_linear_time():
         secrets.spans_of(text, auto)
         return time.perf_counter() - began
 
+    def nested(n):  # the header of a signed token, nested too deeply to be read
+        return "eyJ" + base64.urlsafe_b64encode(b'{"alg":' + b"[" * n).decode().rstrip("=")[3:] + ".eyJhbGciOiJ4In0.c2lnbmF0dXJlLXRoYXQtaXMtbG9uZw "
+
+    took(nested(1000))
+    assert min(took(nested(2_000_000)) for _ in range(2)) < 6 * max(min(took(nested(500_000)) for _ in range(2)), 0.02)
+    assert "jwt" not in {k for k, _, _ in secrets.spans_of(nested(200_000), auto)}
+    deep, good = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 5 + b"]" * 5 + b"}").decode().rstrip("="), ".eyJhbGciOiJ4In0.c2lnbmF0dXJlLXRoYXQtaXMtbG9uZw"
+    assert "jwt" in {k for k, _, _ in secrets.spans_of(nested(200_000) + deep + good, auto)}
+
     for piece in ("eyJ", "password ", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "eyJaaaaaaaa.", "AKIA", "secret=\"", "A "):
         took(piece * 1000)
         assert min(took(piece * 200_000) for _ in range(2)) < 6 * max(min(took(piece * 50_000) for _ in range(2)), 0.02), piece

@@ -2,6 +2,7 @@ import math
 import time
 from collections import Counter
 
+import pytest
 from passagework.llm import mixing, urls
 from pyspark.sql import functions as F
 
@@ -54,8 +55,8 @@ def test_raking_meets_its_targets(spark):
     assert max(abs(r.residual) for r in mixing.residuals(cells, ["source", "lang"]).collect() if r.expected > 1000) < 0.05
 
 
-def rake_by_force(cells, marginals, rate, power, tolerance):
-    """cells: {values: tokens}."""
+def rake_by_force(cells, marginals, rate, power, tolerance, most=100):
+    """cells: {values: tokens}. Rounds end when one moves no probability by more than tolerance."""
     p, total = dict.fromkeys(cells, rate), sum(cells.values())
     goal = []
     for m in range(marginals):
@@ -64,23 +65,60 @@ def rake_by_force(cells, marginals, rate, power, tolerance):
             held[v[m]] += n
         scale = sum(n**power for n in held.values() if n)
         goal.append({v: rate * total * n**power / scale for v, n in held.items() if n})
-    while True:
+    for _ in range(most):
         before = dict(p)
         for m in range(marginals):
             expected = Counter()
             for v, n in cells.items():
                 expected[v[m]] += n * p[v]
             p = {v: min(1.0, x * (goal[m].get(v[m], 0) / expected[v[m]] if expected[v[m]] else 1.0)) for v, x in p.items()}
-        if max(abs(p[v] / before[v] - 1) for v in p) <= tolerance:
-            return p
+        if max(abs(p[v] - before[v]) for v in p) <= tolerance:
+            break
+    return p
 
 
 def test_raking_equals_brute_force_where_cuts_leave_some_over(spark):
     cells = {("a", "x"): 1000, ("a", "y"): 10, ("b", "x"): 20, ("b", "y"): 300, ("c", "y"): 5}
     frame = spark.createDataFrame([(*v, n) for v, n in cells.items()], "source string, lang string, tokens long")
-    got = {(r.source, r.lang): r.p for r in mixing.rake(frame, ["source", "lang"], 0.5, 0.3).collect()}
-    want = rake_by_force(cells, 2, 0.5, 0.3, 1e-3)
-    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want) and max(want.values()) == 1.0
+    for limit in (16 << 20, 0):  # as arrays, and as tables
+        got = {(r.source, r.lang): r.p for r in mixing.rake(frame, ["source", "lang"], 0.5, 0.3, tolerance=1e-3, cell_bytes=limit).collect()}
+        want = rake_by_force(cells, 2, 0.5, 0.3, 1e-3)
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want) and max(want.values()) == 1.0
+
+
+# Cells that would be needed don't exist; a value has no tokens; one cell alone; all at the cut.
+UNREACHABLE = [
+    {("A", "en"): 9000, ("B", "en"): 100, **{("B", f"l{i}"): 100 for i in range(10)}},
+    {("A", "x"): 10, ("B", "y"): 1000},
+    {("A", "x"): 0, ("A", "y"): 5, ("B", "x"): 0},
+    {("A", "x"): 7},
+    {("A", "x"): 5, ("B", "y"): 5, ("C", "z"): 5},
+]
+
+
+@pytest.mark.parametrize("cells", UNREACHABLE)
+@pytest.mark.parametrize("rate", [0.5, 1.0])
+def test_raking_of_targets_out_of_reach(spark, cells, rate):
+    frame = spark.createDataFrame([(*v, n) for v, n in cells.items()], "source string, lang string, tokens long")
+    for limit, most in ((16 << 20, 100), (0, 3)):
+        raked = mixing.rake(frame, ["source", "lang"], rate, 0.7, most=most, cell_bytes=limit)
+        got = {(r.source, r.lang): r.p for r in raked.collect()}
+        want = rake_by_force(cells, 2, rate, 0.7, 1e-4, most)
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want) and all(0 <= p <= 1 for p in got.values())
+    held = Counter()
+    for v, n in cells.items():
+        for m, value in zip(("source", "lang"), v, strict=True):
+            held[m, value] += n
+    told = mixing.residuals(raked, ["source", "lang"]).collect()
+    assert {(r.marginal, r.value) for r in told} == {v for v, n in held.items() if n}
+
+
+def test_one_large_source_beside_a_small_one_of_many_languages(spark):
+    rows = [(i, "x" * 400, "A", "en") for i in range(90)] + [(90 + i, "x" * 400, "B", f"l{i}" if i else "en") for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    began = time.time()
+    out = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang")}).collect()
+    assert len(out) == len(rows) and time.time() - began < 30 and all(0 <= r.p <= 1 for r in out)
 
 
 def test_mixing_of_awkward_rows(spark, documents, awkward):
