@@ -78,7 +78,7 @@ def _raked(cells: pd.DataFrame, marginals: Sequence[str], tolerance: float, most
     for _ in range(most):
         before = p
         for codes, target in sides:
-            held = np.bincount(codes, tokens * p, len(target))
+            held = np.bincount(codes, tokens * p, len(target)).astype(float)
             factor = np.divide(target, held, out=np.ones_like(held), where=(held > 0) & ~np.isnan(target))
             p = np.minimum(1.0, p * factor[codes])
         if np.abs(p - before).max(initial=0.0) <= tolerance:

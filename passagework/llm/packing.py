@@ -239,7 +239,7 @@ def placed(rows: DataFrame, room: int, shard: int = 50_000, levels: int = 4) ->
         shards = -(-rows.count() // shard)
         if not shards:
             break
-        found = materialised(_placed(rows, shards, level, room), few=True)
+        found = materialised(_placed(rows, shards, level, room))  # a task for each shard, whose number is in its sequences'
         last = shards == 1 or level == levels
         done.append((found if last else found.where("whole")).select("key", "sequence_id", "offset"))
         if last:
