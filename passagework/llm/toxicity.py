@@ -132,8 +132,12 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
     return float(beta[0]), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, lexicon: int = 20_000, prior: float = 500.0, least: float = 3.0, z_least: float = 2.5, drift: float = 0.15) -> Model:
-    """labels: (id, label) of the rows that may be learned from. least: the constant part of the prior."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, lexicon: int = 20_000, prior: float = 500.0, least: float = 3.0, z_least: float = 3.0, drift: float = 0.3) -> Model:
+    """labels: (id, label) of the rows that may be learned from. least: the constant part of the prior.
+
+    z_least and drift gave the least log-loss, of twelve settings, on one fold of
+    the learnable rows when the rest of those was learned from.
+    """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     sizes = dict(marked.groupBy("y").count().collect())
     if set(sizes) != {0, 1}:
