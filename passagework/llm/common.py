@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path
+
 #: The ASCII letters, for lower-casing A-Z alone.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,27 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a folder of our own only in local mode, where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def materialised(df: DataFrame, few: bool = False, **options: str | int) -> DataFrame:
     """Writes df as a table in the shared folder and returns a read of it.
 
     This cuts lineage and keeps a costly result from being computed twice; a
-    lost executor costs a re-read, never a recomputation. few: no more files
+    lost executor costs a re-read, never a recomputation. It is removed when the
+    driver ends. few: no more files
     than four for each core, for tables of short rows, of which a job with many
     partitions would else write a great number of tiny ones.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     rows = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df
     rows.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,8 +1,11 @@
+import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
+from passagework.llm import ngram_join
 from passagework.llm.decontamination import find_contamination
 from passagework.llm.graph import components
 from passagework.llm.ngram_join import near_duplicates, representatives, shingle_sets
@@ -163,3 +166,36 @@ def test_long_shared_text_takes_linear_time(spark, documents):
 
     took(50)
     assert took(20_000) < 6 * max(took(5_000), 1.0)
+
+
+def test_stock_paragraphs_are_told_apart_before_hashes_are_fetched(spark, documents, monkeypatch):
+    """Texts of 20 paragraphs out of 60 share many rare shingles without being copies: pairs to be verified grow with the texts, not with their square."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=6))
+    stock = [" ".join(word() for _ in range(25)) for _ in range(60)]
+    verified = []
+    check = ngram_join._linked
+
+    def counted(pairs, nodes):
+        verified[-1] += pairs.count()
+        return check(pairs, nodes)
+
+    monkeypatch.setattr(ngram_join, "_linked", counted)
+    for n in (150, 300):
+        rows = [(i, " ".join(rng.sample(stock, 20))) for i in range(n)]
+        rows += [(n + i, t + " and some words more") for i, (_, t) in enumerate(rows[:20])] + [(900 + i, t) for i, (_, t) in enumerate(rows[20:30])]
+        verified.append(0)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(documents(rows)).collect()}
+        assert got == brute(rows)
+    assert verified[1] <= 2.2 * verified[0] and verified[1] < 3 * 300
+
+
+def test_parities_never_rule_out_a_link():
+    rng = random.Random(2)
+    for _ in range(200):
+        a = {rng.getrandbits(62) for _ in range(rng.randint(1, 3000))}
+        b = set(rng.sample(sorted(a), rng.randint(0, len(a)))) | {rng.getrandbits(62) for _ in range(rng.randint(0, 500))}
+        x, y = (np.array(sorted(s), np.int64) for s in (a, b))
+        if len(x) and len(y):
+            apart = sum(bin(int(p) & (2**64 - 1)).count("1") for p in ngram_join.parities(x) ^ ngram_join.parities(y))
+            assert apart <= len(a ^ b)
