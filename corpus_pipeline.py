@@ -33,6 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and such without a letter, are in no language and go.
     Rows are judged one by one: ties and repeated rows fare alike, an empty
     table stays empty, and columns beside ``text`` and ``lang`` pass untouched.
+    A text of any length is read whole, in time that grows with it.
     """
     bounded_batches(spark)
     model = langid.train(docs.where(learnable("doc_id")), "doc_id", "text", "lang")
@@ -45,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts that share an id are told apart by a hash, so none is lost for its
     id. Of rows that repeat an id and text one stays, the smallest by the hash of
     all its columns. Null texts and texts without words are in no group and
-    all stay. An empty table stays empty; no name of a column can clash.
+    all stay. An empty table stays empty; no name of a column can clash. A very
+    long text is one set of hashes, eight bytes a word, held by one task.
     """
     bounded_batches(spark)
     first = materialised(ngram_join.representatives(docs))
@@ -62,7 +64,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no words and stay; texts that share an id are
     judged each by itself, repeated rows alike. Empty tables are fine on either
-    side, and no name of a column can clash.
+    side, and no name of a column can clash. The words of a very long text are
+    one array of a row.
     """
     found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where(decontamination.contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias("doc"), "key").distinct()
@@ -75,6 +78,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts pass, with a length of null and 0. Rows are treated one by one: repeated rows alike, an
     empty table stays empty, and of columns only ``text`` and ``n_chars`` change.
+    A text of any length takes time in proportion to it, whatever it holds.
     """
     bounded_batches(spark)
     return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
@@ -86,6 +90,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source or language is a value of its own; null and empty texts have
     no tokens and change no weights. Rows that share an id are drawn alike. An empty table
     stays empty; given columns ``tokens`` and ``p`` are replaced, all others stay.
+    Of a text, however long, its length and a few words it may contain are
+    looked at. Targets out of reach are met as nearly as the cells allow.
     """
     return mixing.draw(docs, marginals(), rate=RATE, power=POWER)
 

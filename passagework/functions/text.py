@@ -126,11 +126,6 @@ def edition_key(edition: Column) -> Column:
     return F.struct(parts(2).alias("yy"), parts(1).alias("mm"))
 
 
-def digest(texts: Column) -> Column:
-    """SHA-256 over the texts in order, each closed by a NUL."""
-    return F.sha2(F.array_join(F.transform(texts, lambda t: F.concat(t, F.lit("\u0000"))), "").cast("binary"), 256)
-
-
 def section_label(section: Column) -> Column:
     return F.coalesce(F.nullif(section, F.lit("")), F.lit("sin seccion"))
 

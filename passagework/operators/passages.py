@@ -70,9 +70,9 @@ def split_long(text: Column, target: int = TARGET) -> Column:
     return short.otherwise(cut(F.when(long, text)))  # a task's Python is handed the long ones alone
 
 
-def units(pages: DataFrame, target: int = TARGET) -> DataFrame:
-    """(manual_id, run, ord, para, piece, page, printed, section, text): what is packed, by runs of one section."""
-    rows = P.page_rows(pages)
+def units(pages: DataFrame, target: int = TARGET, stored: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """(manual_id, run, ord, para, piece, page, printed, section, text): what is packed, by runs of one section. Lines are used three times: for heads, for marks and for the text; stored: see ``passages``."""
+    rows = stored(P.page_rows(pages))
     held = P.section_runs(P.sections(P.marks(rows, P.chrome(rows))))
     text = P.paragraphs(P.with_body(rows, held), "printed", "section", "run")
     return text.select("manual_id", "run", "ord", "para", "page", "printed", "section", F.posexplode_outer(split_long(F.col("text"), target)).alias("piece", "text"))  # no filter on what Python gives
@@ -294,7 +294,7 @@ def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, sto
     writes a table and reads it again, so that they are made but once.
     """
     order = ["ord", "para", "piece"]
-    found = stored(units(pages, target))
+    found = stored(units(pages, target, stored))
     sized = found.select("manual_id", "run", *order, "section", F.char_length("text").alias("size"))
     packed = pack(sized, ["manual_id", "run"], order, "size", "section", target, overlap)
     counts = packed.groupBy("manual_id", "run").agg((F.max("chunk") + 1).alias("n"))
