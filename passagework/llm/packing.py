@@ -7,13 +7,15 @@ sequences with that gap becomes smallest. That choice needs the numbers alone:
 a task holds a count and a stack of open sequences for each gap.
 
 Documents are tokenised and placed in the same pass, each task by itself, so
-texts are never shuffled. What a task's last open sequences hold is set free
-and placed once more, over all tasks: those pieces, by then short rows of a key
-and a length, are dealt into shards of at most ``shard`` rows and placed from
-long to short. What shards leave open is dealt into fewer ones, until one
-remains or ``levels`` are done. So no task, group or driver holds more than its
-share, at any size, and sequences that stay partly empty are few: some tens
-for each shard of the last level.
+texts are never shuffled. A task places up to ``hold`` pieces at a time, from
+long to short; then it sets free what open sequences hold and places that anew,
+as long as this saves sequences. What is left open is set free once more and
+placed over all tasks: those pieces, by then short rows of a key and a length,
+are dealt into shards of at most ``shard`` rows and placed alike. What shards
+leave open is dealt into fewer ones, until one remains or ``levels`` are done.
+So no task, group or driver holds more than its share, at any size, and
+sequences that stay partly empty are few: some tens for each shard of the last
+level.
 
 Tokens come from a file of the ``tokenizers`` library. Words repeat, so a worker
 keeps the ids of the pieces that it has met, up to ``KEPT``, and asks the
@@ -147,6 +149,24 @@ class Gaps:
         return [at for stack in self.open for at in stack]
 
 
+def settled(lengths: np.ndarray, room: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(sequences, offsets, whether their sequence is full, numbers used) of pieces: placed from long to short, and what open sequences hold placed anew, as long as that saves any."""
+    sequence, offset, whole = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+    todo = np.argsort(-lengths, kind="stable")
+    used, full, least = 0, 0, len(lengths) + 1
+    for _ in range(rounds):
+        gaps = Gaps(room)
+        places = np.array([gaps.place(n) for n in lengths[todo].tolist()], np.int64).reshape(-1, 2)
+        if full + gaps.n >= least:
+            break
+        least = full + gaps.n
+        still = gaps.still_open()
+        done = ~np.isin(places[:, 0], still)
+        sequence[todo], offset[todo], whole[todo] = used + places[:, 0], places[:, 1], done
+        used, full, todo = used + gaps.n, full + gaps.n - len(still), todo[~done]
+    return sequence, offset, whole, used
+
+
 def numbered(level: int, part: int, at: int) -> int:
     """A number for a sequence: of so many levels, parts and sequences of a part that they fit a long."""
     return (level << 58) | (part << 30) | at
@@ -160,8 +180,8 @@ def first_length(n: int, room: int) -> int:
 def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, room: int, end: int, hold: int, pieces_repeat: bool) -> DataFrame:
     """(doc_id, piece, start, length, ids, key, sequence_id, offset): pieces, placed by the task that made them; without a place if what they were in stayed open.
 
-    A task holds pieces of open sequences back, at most ``hold`` of them; beyond
-    that they are let go as they are and it begins with none.
+    A task holds back the first pieces of at most ``hold`` documents, which it
+    then places together; all other pieces are full.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = docs.select(F.col(id_col).alias("doc_id")).withColumns({"piece": F.lit(0), "start": F.lit(0).cast("long"), "length": F.lit(0).cast("long"), "ids": F.lit(b""), "key": F.lit(0).cast("long"), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}).schema
@@ -169,8 +189,8 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, room: int
 
     def made(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids_of = TaskContext.get().partitionId(), token_ids(path, pieces_repeat)
-        gaps, base, key = Gaps(room), 0, part << 33
-        held: dict[int, list[tuple]] = {}  # sequence: its pieces, as (doc, piece, start, ids, key, offset)
+        n_sequences, key = 0, part << 33
+        held: list[tuple] = []  # (doc, piece, start, ids, key)
         out: list[tuple] = []
         kind = None
 
@@ -180,36 +200,35 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, room: int
             columns = [pa.array(doc, kind), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.int64()), pa.array(seq, pa.int64()), pa.array(off, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        def let_go(sequences: list[int]) -> None:
-            out.extend((*p[:5], None, None) for at in sequences for p in held.pop(at))
+        def place() -> None:
+            nonlocal n_sequences
+            at, offset, whole, used = settled(np.array([len(p[3]) // 4 for p in held], np.int64), room)
+            out.extend((*p, numbered(0, part, n_sequences + a), o) if w else (*p, None, None) for p, a, o, w in zip(held, at.tolist(), offset.tolist(), whole.tolist(), strict=True))
+            n_sequences += used
+            held.clear()
 
         for frame in frames:
-            kind = frame.schema.field(0).type
-            size = 0
+            kind, size = frame.schema.field(0).type, 0
             for doc, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
                 ids = ids_of(text or "") + mark
                 n = len(ids) // 4
                 first = first_length(n, room)
-                at, offset = gaps.place(first)
-                held.setdefault(at, []).append((doc, 0, 0, ids[: 4 * first], key, offset))
+                held.append((doc, 0, 0, ids[: 4 * first], key))
                 key += 1
-                if offset + first == room:
-                    out.extend((*p[:5], numbered(0, part, base + at), p[5]) for p in held.pop(at))
                 for k, start in enumerate(range(first, n, room)):
-                    out.append((doc, k + 1, start, ids[4 * start : 4 * (start + room)], key, numbered(0, part, base + gaps.n), 0))
-                    gaps.n += 1
+                    out.append((doc, k + 1, start, ids[4 * start : 4 * (start + room)], key, numbered(0, part, n_sequences), 0))
+                    n_sequences += 1
                     key += 1
+                if len(held) >= hold:
+                    place()
                 size += len(ids)
-                if len(held) > hold:
-                    let_go(list(held))
-                    base, gaps = base + gaps.n, Gaps(room)
                 if size > 4 << 20 and out:
                     yield batch()
                     size = 0
             if out:
                 yield batch()
         if held:
-            let_go(list(held))
+            place()
             yield batch()
 
     return rows.mapInArrow(made, schema)
@@ -219,16 +238,13 @@ def _placed(rows: DataFrame, shards: int, level: int, room: int) -> DataFrame:
     """(key, length, sequence_id, offset, whole) of rows (key, length): dealt into shards by key, each placed from long to short; whole says if the sequence is full."""
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, gaps = TaskContext.get().partitionId(), Gaps(room)
-        held: list[pd.DataFrame] = []
-        for frame in frames:  # at most a shard's rows, of five numbers each
-            places = [gaps.place(n) for n in frame["length"].tolist()]
-            held.append(frame.assign(at=[p[0] for p in places], offset=[p[1] for p in places]))
-        still = set(gaps.still_open())
-        for frame in held:
-            yield pd.DataFrame({"key": frame["key"], "length": frame["length"], "sequence_id": [numbered(level, part, at) for at in frame["at"]], "offset": frame["offset"], "whole": [at not in still for at in frame["at"]]})
-
-    dealt = rows.repartition(shards, F.xxhash64("key")).sortWithinPartitions(F.desc("length"), "key")
+        held = list(frames)  # at most a shard's rows, of two numbers each
+        if held:
+            frame = pd.concat(held, ignore_index=True)
+            at, offset, whole, _ = settled(frame["length"].to_numpy(np.int64), room)
+            yield frame.assign(sequence_id=numbered(level, TaskContext.get().partitionId(), 0) + at, offset=offset, whole=whole)
+
+    dealt = rows.repartition(shards, F.xxhash64("key")).sortWithinPartitions("key")
     return dealt.mapInPandas(place, "key long, length long, sequence_id long, offset long, whole boolean")
 
 
@@ -251,7 +267,7 @@ def placed(rows: DataFrame, room: int, shard: int = 50_000, levels: int = 4) ->
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 1024, end: int = 2, hold: int = 4096, shard: int = 50_000, pieces_repeat: bool = True, broadcast_rows: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 1024, end: int = 2, hold: int = 10_000, shard: int = 50_000, pieces_repeat: bool = True, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset): where each piece of each document goes.
 
     tokenizer: the path of its file, the same on all executors. end: the id put
