@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -682,12 +682,18 @@ def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class _Reply:
-    """A page as the reply to a request for its address; every kind of failure is among them."""
+    """A page as the reply to a request for its address; every kind of failure is among them, some that pass and some that stay."""
+
+    asked: dict[str, int] = {}
 
     def __init__(self, url: str):
         number = sum(url.encode())
+        self.asked[url] = self.asked.get(url, 0) + 1
+        self.breaks = number % 7 == 4 and self.asked[url] % 3
         if number % 7 == 0:
             raise remote.Refused(404, "no such page")
+        if number % 7 == 3:
+            raise remote.Refused(503, "busy")
         self.headers = {"Content-Type": "text/html" if number % 7 == 1 else "application/pdf; v=1"}
         self.body = (b"<html>" if number % 7 == 2 else b"%PDF-") + url.encode()
 
@@ -698,22 +704,74 @@ class _Reply:
         return None
 
     def read(self) -> bytes:
+        if self.breaks:
+            raise ConnectionError("broken off")
         return self.body
 
 
 @query("""with p as (select page_id, url, list_sum(list_transform(range(1, octet_length(encode(url)) + 1), lambda i: ('0x' || substr(hex(encode(url)), 2 * i - 1, 2))::bigint)) % 7 as k from pages)
-select page_id, case when url is null or url = '' then 'no address' when k = 0 then 'HTTP 404: no such page' when k = 1 then 'expected a PDF; the reply''s type is text/html' when k = 2 then 'expected a PDF; the file begins otherwise' end as error,
-  case when url <> '' and k > 2 then octet_length(encode(url)) + 5 end::bigint as bytes from p""")
+select page_id, case when url is null or url = '' then 'no address' when k = 0 then 'HTTP 404: no such page' when k = 1 then 'expected a PDF; the reply''s type is text/html' when k = 2 then 'expected a PDF; the file begins otherwise' when k = 3 then 'HTTP 503: busy' end as error,
+  case when url <> '' and k > 3 then octet_length(encode(url)) + 5 end::bigint as bytes from p""")
 def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages fetched from their addresses by a function that is given, each host in its own turn, and stored once: what there is, and why the rest isn't."""
+    """Pages fetched from their addresses by a function that is given, each host in its own turn, and stored once: what there is, and why the rest isn't. Replies that break off twice are read whole at the third attempt, refusals that may pass are tried four times."""
     plan = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("manual_id"), "url")
     path = scratch_path(spark, "downloads")
-    _, failures = tables.write_downloads(remote.download(plan, _Reply, pause=0.0), path)
+    _, failures = tables.write_downloads(remote.download(plan, _Reply, pause=0.0, sleep=lambda _: None), path)
     there = tables.read_downloads(spark, path).select("manual_id", F.lit(None).cast("string").alias("error"), F.octet_length("content").cast("long").alias("bytes"))
     both = there.union(failures.select("manual_id", "error", F.lit(None).cast("long")))
     return both.select(F.col("manual_id").cast("long").alias("page_id"), "error", "bytes")
 
 
+@query(f"with {CATALOGUE} select brand, row_number() over (partition by brand order by entry_ord) - 1 as entry_ord, manual_id, md5(array_to_string(model, '|') || coalesce(url, '-')) as rest from ids")
+def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue written as JSON arrays, a file for each brand, and read again in their order."""
+    path = scratch_path(spark, "catalogue")
+    entry = F.struct("brand", "model", "year", "edition", "url")
+    arrays = base.catalogue(spark, sf_dir).groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("entry_ord", entry.alias("e")))).alias("all"))  # a catalogue's file is one text
+    arrays.repartition("brand").select("brand", F.to_json(F.transform("all", lambda x: x["e"])).alias("value")).write.partitionBy("brand").text(path)
+    found = tables.read_catalogue(spark, f"{path}/brand=*")
+    return found.select("brand", F.col("entry_ord").cast("long").alias("entry_ord"), "manual_id", F.md5(F.concat(F.array_join("model", "|"), F.coalesce("url", F.lit("-"))).cast("binary")).alias("rest"))
+
+
+@query("""with p as (select source as manual_id, doc_id, text, bool_or(doc_id % 211 = 0) over (partition by source) as bad from documents where source is not null)
+select manual_id, doc_id::bigint as page, md5(coalesce(text, '')) as text, false as failed from p where not bad
+union all select distinct manual_id, null::bigint, null, true from p where bad""")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages in JSON lines, a folder for each source; one line that is no JSON fails its whole manual."""
+    path = scratch_path(spark, "pages")
+    line = F.to_json(F.struct(F.col("doc_id").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = base.documents(spark, sf_dir).where("source is not null").select(F.col("source").alias("manual_id"), F.when(F.col("doc_id") % 211 == 0, F.concat(F.lit("{"), line)).otherwise(line).alias("value"))
+    rows.write.partitionBy("manual_id").text(path)
+    found, errors = tables.read_pages(spark, path)
+    whole = found.select("manual_id", F.col("page").cast("long").alias("page"), F.md5(F.col("text").cast("binary")).alias("text"), F.lit(False).alias("failed"))
+    return whole.union(errors.select("name", F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(True)))
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null) order by doc_id limit 40")
+def pending_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit on what is taken up at once is the feature here."""
+    return tables.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), limit=40, key="doc_id")
+
+
+@query("""select 'd' || doc_id as manual_id, i::bigint as page, 1::bigint as n, case when l[i] <> '' then octet_length(encode(l[i])) end::bigint as bytes, case when l[i] <> '' then length(l[i]) end::bigint as width, case when l[i] = '' then 'nothing to draw' end as error
+from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))""")
+def rendered_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures drawn by a function that is given: here each line is one, and an empty line can't be drawn."""
+    files = base.documents(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("manual_id"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+    def draw(content: bytes) -> Iterator[tuple[int, int, Callable]]:
+        def drawn(line: str) -> tuple[bytes, int, int]:
+            if not line:
+                raise ValueError("nothing to draw")
+            return line.encode(), len(line), 1
+
+        for page, line in enumerate(content.decode().split("\n"), 1):
+            yield page, 1, lambda line=line: drawn(line)
+
+    found = extraction.render(files, draw)
+    return found.select("manual_id", F.col("page").cast("long").alias("page"), F.col("n").cast("long").alias("n"), F.octet_length("jpeg").cast("long").alias("bytes"), F.col("width").cast("long").alias("width"), "error")
+
+
 @query("""select 'd' || doc_id as manual_id, i::bigint as page, md5(l[i]) as text, null::varchar as error from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents where doc_id % 11 <> 0))
 union all select 'd' || doc_id, null, null, 'no PDF' from documents where doc_id % 11 = 0""")
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,9 +88,10 @@ class Write:
         self.tables: list[str] = []
 
     def add(self, table: str, rows: DataFrame, kind: str = "parquet") -> None:
-        """Writes a table's rows, a folder for each manual."""
+        """Writes a table's rows, those of a manual beside each other: in few files however many manuals there are, and in several for a large one."""
         self.tables.append(table)
-        rows.write.partitionBy("manual_id").format(kind).save(f"{self.path}/{table}/part={self.part}")
+        together = rows.hint("rebalance", "manual_id").sortWithinPartitions("manual_id")
+        together.write.format(kind).save(f"{self.path}/{table}/part={self.part}")
 
     def own(self, table: str, schema: str, kind: str = "parquet") -> DataFrame:
         """The rows of a table that this write has added."""

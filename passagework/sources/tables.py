@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalogue import with_ids
@@ -24,18 +24,21 @@ FIGURES = "figure_id string, manual_id string, page int, n int, file string, bbo
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a JSON array in their order, with ids."""
+    """The entries of a JSON array in their order, with ids. A folder may hold several such files, each with an order of its own."""
     whole = spark.read.text(path, wholetext=True)
     entries = whole.select(F.posexplode(F.from_json("value", f"array<struct<{CATALOGUE.replace(' ', ':').replace(',:', ',')}>>")).alias("entry_ord", "e"))
     return with_ids(entries.select("entry_ord", "e.*"))
 
 
-def _manual() -> F.Column:
-    return F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*?)(\.jsonl?(\.gz)?)?\z", 1), "%20", " ")
+def _manual() -> Column:
+    """The manual that a file is of: its folder says so, or else its name."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/manual_id=([^/]+)/", 1)
+    name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*?)(\.jsonl?(\.gz)?)?\z", 1), "%20", " ")
+    return F.coalesce(F.nullif(folder, F.lit("")), name)
 
 
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(pages, errors) of JSON lines, a file for each manual. One bad line fails its whole manual."""
+    """(pages, errors) of JSON lines, a file or a folder ``manual_id=..`` for each manual. One bad line fails its whole manual."""
     parsed = F.from_json("value", PAGES + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = spark.read.text(path).select(_manual().alias("manual_id"), F.monotonically_increasing_id().alias("ord"), parsed.alias("r")).select("manual_id", "ord", "r.*")
     bad = rows.where("_corrupt_record is not null").groupBy("manual_id").agg(F.concat(F.lit("not JSON: "), F.substring(F.first("_corrupt_record"), 1, 80)).alias("error"))
