@@ -621,6 +621,15 @@ def paced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.streamed([rows.where(~half), rows.where(half)], lambda stream: pacing.paced(stream, "event_type", "event_id", **PACE))
 
 
+@query("select doc_id, length(coalesce(text, ''))::double as chars, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::double as es from documents")
+def embedded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sent to a service under one budget, over a restart; a text's vector here are its length and its e's."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    service = lambda texts, task: [[len(t), t.count("e")] for t in texts]
+    told = base.streamed([rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 <> 0")], lambda stream: pacing.embedded(stream, "doc_id", "passage", service, rate=1 << 40))
+    return told.select("doc_id", F.col("vector")[0].cast("double").alias("chars"), F.col("vector")[1].cast("double").alias("es"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as the pieces of a reply, numbered from 1, with the reason to finish at the last."""
     turns = Window.partitionBy("conv_id")

@@ -9,6 +9,7 @@ who, when and how many. Budgets run beside each other.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from ..sources.remote import MARGIN, RATE, WINDOW, pace
+from ..sources.remote import BATCH, CHARS, KINDS, MARGIN, RATE, WINDOW, Call, batched, pace
 
 SECOND = 1_000_000  # times are whole microseconds, so that sums are exact
 LEDGER = "times array<long>, counts array<long>, last long"
@@ -85,3 +86,52 @@ def paced(requests: DataFrame, by: str, key: str, at: str = "ts", count: str = "
     ledger = Ledger(rate, int(window * SECOND), int(margin * SECOND))
     out = rows.groupBy("budget").transformWithStateInPandas(statefulProcessor=ledger, outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return out.select(F.col("budget").alias(by), F.col("request").alias(key), "released")
+
+
+class Sender(StatefulProcessor):
+    """Sends a budget's texts to a service, in requests, and waits before each until the ledger lets it go."""
+
+    def __init__(self, call: Call, task: str, rate: int, window: int, margin: int, most: int):
+        self.call, self.task, self.limits, self.most = call, task, (rate, window, margin), most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("ledger", LEDGER)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        times, counts, last = self.kept.get() if self.kept.exists() else ([], [], 0)
+        sent = tuple(zip(times, counts, strict=True))
+        for frame in rows:
+            at = 0
+            for texts in batched([t or "" for t in frame["text"]], self.most, CHARS):
+                now = int(time.time() * SECOND)  # of the clock, as the next run may be another process
+                sent, wait = pace(sent, now, len(texts), *self.limits)
+                while wait:
+                    time.sleep(wait / SECOND)
+                    now = int(time.time() * SECOND)
+                    sent, wait = pace(sent, now, len(texts), *self.limits)
+                sent += ((now, len(texts)),)
+                # Told before it is sent: a request that fails has still used the budget.
+                self.kept.update(([int(t) for t, _ in sent], [int(n) for _, n in sent], now))
+                found = self.call(texts, self.task)
+                yield pd.DataFrame({"request": frame["request"].iloc[at : at + len(texts)].tolist(), "vector": [[float(x) for x in v] for v in found]})
+                at += len(texts)
+
+    def close(self) -> None:
+        pass
+
+
+def embedded(texts: DataFrame, key: str, kind: str, call: Call, text: str = "text", rate: int = RATE, window: float = WINDOW, margin: float = MARGIN, most: int = BATCH) -> DataFrame:
+    """(key, vector) of a stream of texts, sent under one budget whatever else runs on the cluster.
+
+    What the service allows is the bottleneck, so one task sends, and the
+    ledger in its state tells the next batch, or the query that goes on after a
+    restart, what was sent in the last window. A null text is sent as an empty
+    one. ``remote.embedded`` is the same for a table, where tasks that run at
+    once each have a share of the rate.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}; expected one of {sorted(KINDS)}")
+    rows = texts.select(F.lit(0).alias("budget"), F.col(key).alias("request"), F.col(text).cast("string").alias("text"))
+    sender = Sender(call, KINDS[kind], rate, int(window * SECOND), int(margin * SECOND), min(most, rate))
+    out = rows.groupBy("budget").transformWithStateInPandas(statefulProcessor=sender, outputStructType=f"request {rows.schema['request'].dataType.simpleString()}, vector array<float>", outputMode="Append", timeMode="None")
+    return out.select(F.col("request").alias(key), "vector")

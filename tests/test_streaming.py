@@ -1,6 +1,7 @@
 """Streams with state: against brute force, however rows are cut into batches and ordered, and over restarts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,16 @@ def test_each_reply_ends_once(spark):
         "stalled": [("hits", "[]"), ("token", "y"), ("error", "nothing more came from m within 120 s; the answer is incomplete")],
         "untold": [("hits", "[]"), ("token", "z"), ("done", '{"model":"m"}')],
     }
+
+
+def test_texts_are_sent_under_one_budget_over_restarts(spark):
+    """The service here answers with the time it was asked: no window holds more than the rate, whatever tasks and runs there were."""
+    service = lambda texts, task: [[time.time() % 100_000, len(texts), len(task)] for _ in texts]
+    rows = spark.createDataFrame([(i, None if i == 3 else f"text {i}") for i in range(25)], "id long, text string").repartition(5)
+    slices = [rows.where(f"id % 2 = {k}") for k in (0, 1)]
+    out = base.streamed(slices, lambda s: pacing.embedded(s, "id", "query", service, rate=8, window=3.0, margin=0.2, most=4)).collect()
+    assert sorted(r.id for r in out) == list(range(25)) and {r.vector[2] for r in out} == {len("RETRIEVAL_QUERY")} and max(r.vector[1] for r in out) <= 4
+    times = sorted(round(r.vector[0], 2) for r in out)
+    assert all(sum(t <= u < t + 2.9 for u in times) <= 8 for t in times)
+    with pytest.raises(ValueError, match="unknown kind"):
+        pacing.embedded(rows, "id", "other", service)
