@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, catalogue, figures, pages, passages, quality, vectors
+from ..operators import answers, catalogue, figures, pages, passages, quality, routes, vectors
 from ..scratch import scratch_path, stored
 from ..sources import extraction, remote, tables
 from ..streaming import jobs, pacing, replies
@@ -675,6 +675,22 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.where("reply_id >= 0").select("reply_id", "seq", "event", F.md5(F.col("payload").cast("binary")).alias("payload"))
 
 
+@query("""with p as (select page_id, page_id % 10 as c, 'm' || (page_id // 10) as m from pages)
+select page_id, case when c in (0, 1, 2) then 'figure' when c = 3 then 'catalog' when c in (4, 7, 8) then 'ask' when c = 9 then 'ask_stream' when c = 5 then 'file' else 'none' end as route,
+  case when c in (1, 2, 6) or (c = 0 and (page_id // 10) % 2 = 1) then 404 when c in (7, 8) then 400 else 200 end as status,
+  case when c = 0 and (page_id // 10) % 2 = 0 then m || '/p0001_1.jpg' when c = 5 then 'index.html' when c in (4, 9) then m end as target from p""")
+def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for figures, some by ways out of their folder, for the catalogue, the interface and answers, met with what there is."""
+    c, m = F.col("page_id") % 10, F.concat(F.lit("m"), F.floor(F.col("page_id") / 10).cast("string"))
+    figure = lambda *way: F.concat(F.lit("/api/figure/"), *way)
+    path = F.when(c == 0, figure(m, F.lit("/x/../p0001_1.jpg?v=1"))).when(c == 1, figure(m, F.lit("//p0001_1.jpg"))).when(c == 2, figure(F.lit("../"), m, F.lit("/p0001_1.jpg"))).when(c == 3, F.lit("/api/catalog")).when(c == 5, F.concat(F.lit("/../"), "url")).when(c == 6, F.lit("/api/none")).when(c == 9, F.lit("/api/ask/stream")).otherwise("/api/ask")
+    body = F.when(c.isin(4, 9), F.to_json(F.struct(m.alias("manual"), F.col("url").alias("question")))).when(c == 7, "{").when(c == 8, '{"question":"q"}')
+    requests = table(spark, sf_dir, "pages").select("page_id", F.when(c.isin(4, 7, 8, 9), "POST").otherwise("GET").alias("method"), path.alias("path"), body.alias("body"))
+    there = table(spark, sf_dir, "pages").where("page_id % 20 < 10").select(m.alias("manual_id"), F.lit("p0001_1.jpg").alias("file"))
+    found = routes.routed(requests, there, spark.createDataFrame([(routes.INDEX,)], "path string"))
+    return found.select("page_id", "route", "status", "target")
+
+
 # Work left to do
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from passagework.operators import answers, catalogue, figures, pages, passages, quality, ranking, vectors
+from passagework.operators import answers, catalogue, figures, pages, passages, quality, ranking, routes, vectors
 
 CATALOGUE = "entry_ord long, brand string, model array<string>, year array<string>, edition array<string>, url string"
 ENTRIES = [
@@ -330,3 +330,44 @@ def test_pieces_of_any_shape_are_read(spark):
     assert [r.w for r in frame.select("i", answers.asked_wait(F.col("body")).alias("w")).orderBy("i").collect()] == [60.0, None, None, None, None, None, 2.5]
     lines = spark.createDataFrame([("data: a",), ("  data:b \r",), (": data: c",), ("",), (None,), ("\tdata:",)], "line string")
     assert sorted(r.body for r in answers.sse_bodies(lines).collect()) == ["", "a", "b"]
+
+
+def test_requests_meet_files_and_never_leave_their_folder(spark):
+    get = {
+        "/api/catalog?x=1": ("catalog", 200, None, None),
+        "/api/figure/m/p1.jpg": ("figure", 200, "m/p1.jpg", None),
+        "/api/figure/m/./x/../p1.jpg?y": ("figure", 200, "m/p1.jpg", None),
+        "/api/figure/m//p1.jpg": ("figure", 404, None, "no figure"),
+        "/api/figure//m/p1.jpg": ("figure", 200, "m/p1.jpg", None),  # an empty step
+        "/api/figure/../figures/m/p1.jpg": ("figure", 404, None, "no figure"),
+        "/api/figure/m/../../secret": ("figure", 404, None, "no figure"),
+        "/api/figure/m/none.jpg": ("figure", 404, None, "no figure"),
+        "/api/figure/": ("figure", 404, None, "no figure"),
+        "/api/other": ("none", 404, None, "no route"),
+        "/": ("file", 200, "index.html", None),
+        "/deep/place": ("file", 200, "index.html", None),
+        "/assets/../app.js": ("file", 200, "app.js", None),
+        "/../../etc/passwd": ("file", 200, "index.html", None),
+        None: ("file", 200, "index.html", None),
+    }
+    post = {
+        ("/api/ask", '{"manual":"m","question":"q"}'): ("ask", 200, "m", None),
+        ("/api/ask/stream?z", '{"manual":"m","question":"q","k":"7"}'): ("ask_stream", 200, "m", None),
+        ("/api/ask", '{"manual":"m"}'): ("ask", 400, None, "bad fields"),
+        ("/api/ask", '{"manual":"m","question":"q","k":"many"}'): ("ask", 400, None, "bad fields"),
+        ("/api/ask", "[1]"): ("ask", 400, None, "bad fields"),
+        ("/api/ask", None): ("ask", 400, None, "bad fields"),
+        ("/api/ask", "no json"): ("ask", 400, None, "bad body"),
+        ("/api/ask", '{"manual":"m","question":"' + "q" * 70_000 + '"}'): ("ask", 400, None, "bad body"),
+        ("/api/none", '{"manual":"m","question":"q"}'): ("none", 404, None, "no route"),
+        ("/api/none", "no json"): ("none", 400, None, "bad body"),
+    }
+    rows = [("GET", p, None) for p in get] + [("POST", p, b) for p, b in post] + [("PUT", "/", None)]
+    requests = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, method string, path string, body string")
+    figures_, files = spark.createDataFrame([("m", "p1.jpg")], "manual_id string, file string"), spark.createDataFrame([("index.html",), ("app.js",)], "path string")
+    got = [tuple(r) for r in routes.routed(requests, figures_, files).orderBy("id").select("route", "status", "target", "error").collect()]
+    assert got == [*get.values(), *post.values(), ("none", 501, None, "no method")]
+    kinds = {r.path: r.kind for r in routes.routed(requests, figures_, files).where("method = 'GET'").collect()}
+    assert kinds["/assets/../app.js"].startswith("text/javascript") and kinds["/api/figure/m/p1.jpg"] == "image/jpeg" and kinds["/"].startswith("text/html")
+    assert routes.routed(requests, figures_, files.where("1 = 0")).where("path = '/'").first().error in ("no file", "no method")
+    assert [r.k for r in requests.limit(0).union(requests.where("method = 'POST'")).orderBy("id").select(routes.asked_for(F.col("body")).alias("k")).limit(2).collect()] == [5, 7]
