@@ -11,7 +11,12 @@ in most parts, and clustered data in few; the answer says in which share.
 Vectors are filed so that parts are balanced as well: each part's score has a
 bias that is raised or lowered until the sample falls evenly over the parts.
 The number of parts grows with that of vectors, up to a sixteenth of the
-sample, which is a documented bound: raise ``sample`` with the index.
+sample. An index that wants more than twice as many has two levels: each part
+draws a sample of its own, is cut and learns its own router, in a task of its
+own, and a query is routed within each part that it probes. Each level then
+aims at the root of the wanted recall. So neither the driver nor a task ever
+fits more than ``sample`` vectors, and two levels reach to ``sample`` ** 2 / 256
+parts.
 
 Equal vectors are one entry of the index. An answer holds k others, so the
 entry need only name its k + 1 smallest ids; nothing is lost by that. A
@@ -29,6 +34,7 @@ counts once.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,7 +195,46 @@ def fit(sample: np.ndarray, parts: int, k: int, recall: float) -> tuple[Router,
     return router, 1 + int(np.argmax(np.array(reached) >= recall)) if max(reached) >= recall else parts
 
 
-def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = 6000, recall: float = 0.94, block: int = 20_000, query_block: int = 20_000) -> DataFrame:
+def _refined(filed: DataFrame, dim: int, k: int, recall: float, sample: int, block: int, part_size: int) -> tuple[DataFrame, float]:
+    """(filed, share): each part cut into parts of its own, by a router that is learned from a sample of the part, and the share of those that a probe of the part searches."""
+    most = max(sample // 16, 1)
+    home = F.element_at("places", 1)
+    sizes = filed.groupBy(home.alias("part")).agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("entry", F.lit(5)), F.lit(1 << 30)) / F.lit(1 << 30)
+    drawn = filed.select("vector", draw.alias("draw"), home.alias("part")).join(F.broadcast(sizes), "part").where(F.col("draw") < F.lit(float(sample)) / F.col("n"))
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.array([np.frombuffer(v) for v in sorted(rows["vector"])]).reshape(-1, dim)
+        parts = int(min(max(int(rows["n"].iloc[0]) // part_size, 1), max(len(x) // 16, 1)))
+        router, probes = fit(x, parts, k, recall) if parts > 1 else (None, 1)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "router": [pickle.dumps(router and vars(router))], "parts": [parts], "probes": [probes]})
+
+    learned = materialised(drawn.groupBy("part").applyInPandas(learn, "part int, router binary, parts int, probes int"))
+    told = sizes.join(learned.drop("router"), "part", "left").select("part", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("probes", F.lit(1)).alias("probes"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    told = materialised(told, few=True)
+    share = told.agg(F.sum(F.col("probes") / F.col("parts")) / F.count("*")).first()[0]
+    # A row meets the router of its own part, and a query those of all parts that it probes, in blocks.
+    met = filed.select("entry", "vector", "ids", "asked", F.posexplode(F.when(F.col("asked"), F.col("places")).otherwise(F.slice("places", 1, 1))).alias("pos", "part"))
+    met = met.join(F.broadcast(told.select("part", "blocks")), "part").withColumn("block", F.pmod(F.xxhash64("entry", F.lit(6)), F.col("blocks")).cast("int"))
+    routers = learned.join(told.select("part", "blocks"), "part").select("part", "router", "probes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def place(rows: pd.DataFrame, router: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({c: [] for c in ("entry", "vector", "ids", "asked", "pos", "within")})
+        known = pickle.loads(router["router"].iloc[0]) if len(router) else None
+        ranked = np.zeros((len(rows), 1), np.int32)
+        if known:
+            own = Router.__new__(Router)
+            vars(own).update(known)
+            ranked = own.ranked(np.frombuffer(b"".join(rows["vector"])).reshape(-1, dim))[:, : int(router["probes"].iloc[0])].astype(np.int32)
+        return rows[["entry", "vector", "ids", "asked", "pos"]].assign(within=[(r + int(p) * most).tolist() for r, p in zip(ranked, rows["part"], strict=True)])
+
+    placed = met.groupBy("part", "block").cogroup(routers.groupBy("part", "block")).applyInPandas(place, ENTRY + ", pos int, within array<int>")
+    whole = placed.groupBy("entry").agg(F.first("vector").alias("vector"), F.first("ids").alias("ids"), F.first("asked").alias("asked"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "within"))), lambda s: s["within"])).alias("places"))
+    return materialised(whole), share
+
+
+def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = 6000, recall: float = 0.94, block: int = 20_000, query_block: int = 20_000, part_size: int = 1500) -> DataFrame:
     """(query, rank, id, score, probed) for the rows whose id is divisible by ``every``: their k nearest of all other rows. probed: the share of parts searched."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sizes = rows.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -206,8 +251,10 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     x = np.array([np.frombuffer(r.vector) for r in sorted(drawn)]).reshape(-1, dim)
     if len(x) < 20:
         x = np.array([np.frombuffer(r.vector) for r in index.orderBy("entry").limit(20).collect()]).reshape(-1, dim)
-    parts = int(min(max(n // 1500, 4), max(len(x) // 16, 1)))
-    router, probes = fit(x, parts, k, recall)
+    wanted = max(n // part_size, 4)
+    parts = int(min(wanted, max(len(x) // 16, 1)))
+    two = wanted > 2 * parts
+    router, probes = fit(x, parts, k, recall**0.5 if two else recall)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,17 +263,20 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(places), pa.list_(pa.int32()))], [*b.schema.names, "places"])
 
     filed = materialised(index.mapInArrow(file, ENTRY + ", places array<int>"))
+    share = probes / parts
+    if two:
+        filed, within = _refined(filed, dim, k, recall**0.5, sample, block, part_size)
+        share *= within
     held = filed.groupBy(F.element_at("places", 1).alias("part")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("q"))
     wanted = filed.where("asked").select(F.explode("places").alias("part")).groupBy("part").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("q"))
-    load = held.union(wanted).groupBy("part").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).collect()  # a row for each part
-    cuts = {r.part: (-(-r.n // block), -(-r.q // query_block)) for r in load}
-    blocks, batches = (F.array(*[F.lit(cuts.get(p, (0, 0))[i]) for p in range(parts)]) for i in (0, 1))
+    load = held.union(wanted).groupBy("part").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+    cuts = F.broadcast(materialised(load.select("part", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("q") / query_block).cast("int").alias("batches")), few=True))  # a row for each part
     salt = lambda c, seed: F.pmod(F.xxhash64("entry", F.lit(seed)), c).cast("int")
     several = lambda c: F.explode(F.when(c > 0, F.sequence(F.lit(0), c - 1)))
-    at = F.element_at("places", 1)
-    base = filed.select("entry", "vector", "ids", at.alias("part"), salt(F.get(blocks, at), 3).alias("block"), several(F.get(batches, at)).alias("batch"))
-    probe = filed.where("asked").select("entry", "vector", F.explode("places").alias("part"))
-    probe = probe.select("entry", "vector", "part", several(F.get(blocks, F.col("part"))).alias("block"), salt(F.get(batches, F.col("part")), 4).alias("batch"))
+    base = filed.select("entry", "vector", "ids", F.element_at("places", 1).alias("part")).join(cuts, "part")
+    base = base.select("entry", "vector", "ids", "part", salt(F.col("blocks"), 3).alias("block"), several(F.col("batches")).alias("batch"))
+    probe = filed.where("asked").select("entry", "vector", F.explode("places").alias("part")).join(cuts, "part")
+    probe = probe.select(F.col("entry").alias("entry"), F.col("vector").alias("vector"), "part", several(F.col("blocks")).alias("block"), salt(F.col("batches"), 4).alias("batch"))
 
     def rank(base: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
         if base.empty or probe.empty:
@@ -256,4 +306,4 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     queries = rows.where(F.col("id") % every == 0).mapInArrow(name, "query long, entry string").distinct()
     others = F.slice(F.filter("found", lambda s: s["id"] != F.col("query")), 1, k)
     found = queries.join(answers, "entry").select("query", F.posexplode(others).alias("pos", "s"))
-    return found.select("query", (F.col("pos") + 1).alias("rank"), F.col("s.id").alias("id"), (-F.col("s.away")).alias("score"), F.lit(probes / parts).alias("probed"))
+    return found.select("query", (F.col("pos") + 1).alias("rank"), F.col("s.id").alias("id"), (-F.col("s.away")).alias("score"), F.lit(share).alias("probed"))

@@ -312,3 +312,27 @@ def test_neighbours_recall_and_ties(spark):
         found += len(set(ids) & set(want.tolist()))
     assert found / (20 * len(got)) >= 0.9
     assert [got[0][k][0] for k in range(1, 4)] != [] and neighbours.search_nearest(vectors.where("1 = 0")).count() == 0
+
+
+def test_neighbours_over_two_levels_of_parts(spark):
+    """An index that wants more parts than one sample can teach: parts are cut again, each in a task of its own."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16)) * 4
+    x = centres[rng.integers(60, size=4000)] + rng.normal(size=(4000, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(4000 + i, x[i].tolist()) for i in range(50)], "vec_id long, embedding array<double>")
+    whole = np.concatenate([x, x[:50]])
+    got, share = {}, set()
+    for r in neighbours.search_nearest(vectors, sample=640, part_size=25, block=60, query_block=20).collect():
+        got.setdefault(r.query, {})[r.rank] = (r.id, r.score)
+        share.add(r.probed)
+    asked = range(0, 4050, 20)
+    assert set(got) == set(asked) and all(sorted(v) == list(range(1, 21)) for v in got.values())
+    hits = 0
+    for q in asked:
+        s = whole @ whole[q]
+        s[q] = -np.inf
+        best = set(np.argsort(-s, kind="stable")[:20].tolist())
+        hits += len(best & {i for i, _ in got[q].values()})
+        assert all(abs(score - s[i]) < 1e-9 for i, score in got[q].values())
+        assert [got[q][k][1] for k in range(1, 21)] == sorted((got[q][k][1] for k in range(1, 21)), reverse=True)
+    assert hits / (20 * len(asked)) > 0.9 and len(share) == 1 and 0 < share.pop() < 0.6
