@@ -11,7 +11,7 @@ A short unit repeats by chance: a greeting, a list mark, a stock sentence. So
 repeats that follow one another, with nothing but white space between, are one
 block, and a block is cut out of its text when it has ``block`` words or more;
 a character of a script without spaces counts as a word. Offsets of what
-is cut, in the original, are returned. Units of any length take part, so a
+is cut, in the original, are returned, and those of the shorter repeats that stay. Units of any length take part, so a
 passage laid out in short lines goes as one in long lines does.
 
 Units without a letter or digit are no units: they neither repeat nor part a
@@ -45,6 +45,7 @@ ENDS = re.compile(r"(?<![.!?])[.!?]++(?=\s)|[。！？｡]++[」』”’）]*+"
 #: Scripts written without spaces.
 DENSE = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 WORD = re.compile(r"[^\W_]+")
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 UNIT = "doc long, key long, start int, stop int, hi long, lo long"
 
 
@@ -95,15 +96,15 @@ def weight(text: str) -> int:
     return dense + (len(WORD.findall(DENSE.sub(" ", text))) if dense else len(WORD.findall(text)))
 
 
-def blocks(text: str, spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """The spans made one where only white space parts them, without those of less than ``least`` words."""
+def blocks(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans made one where only white space parts them."""
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and (s <= out[-1][1] or text[out[-1][1] : s].isspace()):
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
             out.append((s, e))
-    return [(s, e) for s, e in out if weight(text[s:e]) >= least]
+    return out
 
 
 def units(rows: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def units(rows: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 25) -> DataFrame:
-    """(id, n_chars, n_removed, spans array<struct<start,stop>>, kept) of every row; offsets in code points of the original."""
+    """(id, n_chars, n_removed, spans array<struct<start,stop>>, short array<struct<start,stop>>, kept) of every row; offsets in code points of the original. short: the repeats that stay, as they have too few words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     found = materialised(units(rows))
     place = F.struct("doc", "key", "start")
@@ -133,15 +134,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             out: list[tuple] = []
             for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                spans, kept, last = blocks(text or "", [(c["start"], c["stop"]) for c in cuts or ()], block), [], 0
+                spans, short, kept, last = [], [], [], 0
+                for s, e in blocks(text or "", [(c["start"], c["stop"]) for c in cuts or ()]):
+                    (spans if weight(text[s:e]) >= block else short).append((s, e))
                 for s, e in spans:
                     kept.append(text[last:s])
                     last = e
                 kept.append((text or "")[last:])
-                out.append((len(text or ""), sum(e - s for s, e in spans), [{"start": s, "stop": e} for s, e in spans], "".join(kept)))
-            n, removed, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.string())], ["doc", "n_chars", "n_removed", "spans", "kept"])
+                out.append((len(text or ""), sum(e - s for s, e in spans), [{"start": s, "stop": e} for s, e in spans], [{"start": s, "stop": e} for s, e in short], "".join(kept)))
+            n, removed, spans, short, kept = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, SPANS), pa.array(short, SPANS), pa.array(kept, pa.string())], ["doc", "n_chars", "n_removed", "spans", "short", "kept"])
 
     r, c = rows.alias("r"), cuts.alias("c")
     whole = r.join(c, F.col("r.doc").eqNullSafe(F.col("c.doc")) & (F.col("r.key") == F.col("c.key")), "left").select("r.doc", "r.text", "c.cuts")
-    return whole.mapInArrow(cut, "doc long, n_chars long, n_removed long, spans array<struct<start:int,stop:int>>, kept string").withColumnRenamed("doc", id_col)
+    return whole.mapInArrow(cut, "doc long, n_chars long, n_removed long, spans array<struct<start:int,stop:int>>, short array<struct<start:int,stop:int>>, kept string").withColumnRenamed("doc", id_col)

@@ -52,7 +52,7 @@ def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return out.select("doc_id", "n_chars", "n_removed", F.size("spans").cast("long").alias("n_spans"), _digest(F.col("kept")).alias("kept_sha256"), spans.alias("spans"))
+    return out.select("doc_id", "n_chars", "n_removed", F.size("spans").cast("long").alias("n_spans"), _digest(F.col("kept")).alias("kept_sha256"), spans.alias("spans"), F.size("short").cast("long").alias("n_short"))
 
 
 @query

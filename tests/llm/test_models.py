@@ -174,6 +174,10 @@ def test_line_dedup_keeps_the_first(spark, documents, awkward):
     assert line not in got[32].kept and got[32].kept.startswith("An own")
     assert got[33].n_removed == 0 and got[1].kept == "" and got[1].n_chars == 0
     assert lines.dedup_lines(documents([])).count() == 0
+    told = {r.doc_id: r for r in lines.dedup_lines(documents([(1, "a short line\none two three four five six"), (2, "A SHORT line\nown words\none two three four five six")]), block=6).collect()}
+    text = "A SHORT line\nown words\none two three four five six"
+    assert [text[s.start : s.stop] for s in told[2].spans] == ["one two three four five six"] and [text[s.start : s.stop] for s in told[2].short] == ["A SHORT line"]
+    assert not told[1].spans and not told[1].short
 
 
 def test_line_query_cuts_passages_and_leaves_stock_phrases(spark, documents, tmp_path):
