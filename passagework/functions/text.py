@@ -21,10 +21,11 @@ GLYPHS = r"[›»⇒]+"
 #: A reference from its noun on. The first part is what most positions fail at, at little cost.
 PAGE_NUMBERED = r"(?iU)(?=p)\bp[áa]g(?:ina|s)?\b\.?\s*(\d{1,4})"
 NUMBER_AT_START = r"(?U)\A\d{1,4}"
-#: What may lead up to the noun, with every word spelt backwards, as it is read from the noun to the left.
+# The words that may lead up to a reference's noun, in the order in which they are read.
+LEAD_WORDS = [["véase", "vease", "ver", "consulte", "consultar"], ["de", "en"], ["la"]]
+#: The same as it is met from the noun to the left, in a reversed text: only there can a lead be cut off in time that grows with the text.
 LEAD_BACKWARDS = (
-    r"(?iU)\A(?:[^\S\n]*\bal\b)?(?:[^\S\n]*\b(?:ed|ne)\b)?(?:[^\S\n]*\b(?:esa[ée]v|rev|etlusnoc|ratlusnoc)\b)?"
-    r"(?:[^\S\n]*" + GLYPHS + r")?[^\S\n]*[,;]?"
+    r"(?iU)\A" + "".join(rf"(?:[^\S\n]*\b(?:{'|'.join(w[::-1] for w in words)})\b)?" for words in reversed(LEAD_WORDS)) + rf"(?:[^\S\n]*{GLYPHS})?[^\S\n]*[,;]?"
 )
 FIGURE_REFERENCE = r"(?iU)(?=f)\bfig\.?\s*(\d{1,4})"
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -32,7 +32,7 @@ def test_references(spark, given, text, refs, figures):
     assert (got.text, got.refs, got.figures) == (text, refs, figures)
 
 
-#: The same in one pattern, which tries every position of a text.
+# Fixed value: the same in one pattern, which tries every position of a text.
 WHOLE = re.compile(r"[,;]?[^\S\n]*(?:[›»⇒]+[^\S\n]*)?(?:\b(?:v[ée]ase|ver|consulte|consultar)\b[^\S\n]*)?(?:\b(?:de|en)\b[^\S\n]*)?(?:\bla\b[^\S\n]*)?\bp[áa]g(?:ina|s)?\b\.?\s*(\d{1,4})", re.I)
 
 
