@@ -124,8 +124,8 @@ def asked_wait(body: Column) -> Column:
 
 
 def retry_wait(code: Column, attempt: Column, delay: Column, told: Column, header: Column) -> Column:
-    """The pause before another attempt, null when a failure is final; a null code is no HTTP failure."""
-    return F.when(attempt >= RETRIES, None).when(code.isNull(), delay).when(code.isin(*RETRY_CODES), F.coalesce(F.nullif(told, F.lit(0.0)), F.nullif(header, F.lit(0.0)), delay))
+    """The pause before another attempt, null when a failure is final; a null code is no HTTP failure. A header that says 0 is kept to."""
+    return F.when(attempt >= RETRIES, None).when(code.isNull(), delay).when(code.isin(*RETRY_CODES), F.coalesce(F.nullif(told, F.lit(0.0)), header, delay))
 
 
 def status(outcome: Column) -> Column:

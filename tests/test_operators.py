@@ -1,11 +1,13 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from passagework.operators import answers, catalogue, figures, pages, passages, quality, ranking, routes, vectors
+from passagework.plans import queries
 
 CATALOGUE = "entry_ord long, brand string, model array<string>, year array<string>, edition array<string>, url string"
 ENTRIES = [
@@ -207,6 +209,17 @@ def test_answers(spark):
     assert "thinkingConfig" not in spark.range(1).select(body.alias("b")).first().b
 
 
+def test_retry_plan_is_as_its_sql_where_a_wait_is_none_or_missing(spark, tmp_path):
+    """Told waits of 0, and errors without one, over all attempts and kinds of failure."""
+    rows = [(4 * k + a, kind, value) for k, (kind, value) in enumerate((kind, value) for kind in ("error", "view", "click", "purchase", None) for value in (0.0, -0.0, 1.5, None)) for a in range(4)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["retry_plan"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        want = db.sql(queries.ORACLES["retry_plan"]).fetchall()
+    assert {tuple(r) for r in got} == set(want) and len(got) == len(want)
+
+
 def piece(text=None, finish=None, tokens=None):
     import json
 

@@ -128,6 +128,18 @@ def test_embedding_client():
     assert remote.hashed(["a b"]) == remote.hashed(["a b"])
 
 
+def test_a_header_that_says_no_wait_is_kept_to():
+    waits, outcomes = [], [remote.Refused(429, header=0.0), remote.Refused(503, told=0.0, header=3.0), remote.Refused(503), "ok"]
+
+    def call():
+        x = outcomes.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert remote.retried(call, sleep=waits.append) == "ok" and waits == [0.0, 3.0, 8.0]
+
+
 def test_retries_and_settings(tmp_path):
     waits, outcomes = [], [remote.Refused(429, told=9.0), remote.Refused(503, header=3.0), OSError(), "ok"]
 
