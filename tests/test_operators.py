@@ -311,6 +311,15 @@ def test_many_searches_equal_a_scan_for_each(spark):
     assert catalogue.search_many(index, queries.where("1 = 0")).count() == 0
 
 
+def test_many_alike_searches_are_looked_up_once_and_nothing_large_is_broadcast(spark):
+    rows = spark.createDataFrame([("B", f"Uno {i}", "2020", "06.22") for i in range(200)], "brand string, model string, year string, edition string")
+    asked = [(i, ("", "b UNO", "uno b", "uno 19")[i % 4]) for i in range(2500)]
+    found = catalogue.search_many(catalogue.search_index(rows), spark.createDataFrame(asked, "query_id int, query string"))
+    got = {r.query_id: r.n for r in found.groupBy("query_id").agg(F.count_distinct("model").alias("n")).collect()}
+    assert got == {i: (200, 200, 200, 12)[i % 4] for i, _ in asked} and found.count() == 625 * 612
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def clustered(rng, centres, n, dims, spread):
     at = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(centres)]
     return [[c + rng.gauss(0, spread) for c in at[i % centres]] for i in range(n)]
