@@ -43,15 +43,19 @@ def pages_of(hits: DataFrame) -> DataFrame:
 
 
 def with_figures(hits: DataFrame, figures: DataFrame, key: list[str]) -> DataFrame:
-    """hits with the array of figures on their pages, in the order of the pages, then of the figures; none is an empty array.
+    """hits, which ``key`` tells apart, with the array of figures on their pages, in the order of the pages, then of the figures; none is an empty array.
 
-    The figures of a page are shaped once, and meet hits as one row.
+    The figures of a page are shaped once, and listed once for all hits of the
+    same manual and pages. Hits are only then given their list, and figures are
+    not moved for each of them.
     """
     url = F.concat(F.lit("/api/figure/"), "manual_id", F.lit("/"), "file").alias("url")
     shaped = F.array_sort(F.collect_list(F.struct("n", F.struct("figure_id", url, "page", "width", "height").alias("f"))))
     paged = figures.groupBy("manual_id", "page").agg(F.transform(shaped, lambda x: x["f"]).alias("found"))
-    met = hits.select(*key, "manual_id", F.posexplode("pages").alias("p", "page")).join(paged, ["manual_id", "page"])
-    listed = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("p", "found"))).alias("listed"))
-    joined = hits.join(listed.select(*key, F.flatten(F.transform("listed", lambda x: x["found"])).alias("figures_")), key, "left")
+    places = ["manual_id", "pages"]
+    met = hits.select(*places).distinct().select(*places, F.posexplode("pages").alias("p", "page")).join(paged, ["manual_id", "page"])
+    listed = met.groupBy(*places).agg(F.array_sort(F.collect_list(F.struct("p", "found"))).alias("listed"))
+    lists = listed.select(*places, F.flatten(F.transform("listed", lambda x: x["found"])).alias("figures_"))
+    joined = hits.join(lists.hint("merge"), places, "left").select(*hits.columns, "figures_")  # lists may be long: no broadcast
     empty = F.expr("cast(array() as array<struct<figure_id:string,url:string,page:int,width:int,height:int>>)")
     return joined.withColumn("figures", F.coalesce("figures_", empty)).drop("figures_")

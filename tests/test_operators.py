@@ -199,6 +199,18 @@ def test_figures(spark):
     assert got == {1: ["/api/figure/m/p0002_1.jpg", "/api/figure/m/p0001_1.jpg"], 2: [], 3: []}
 
 
+def test_figures_are_listed_once_for_hits_of_the_same_pages(spark):
+    found = spark.createDataFrame([("m", p, n, f"m:{p}:{n}", f"p{p}_{n}.jpg", 1, 1) for p in (1, 2) for n in (2, 1)], "manual_id string, page int, n int, figure_id string, file string, width int, height int")
+    hits = spark.createDataFrame([*((i, "m", [2, 1, 2]) for i in range(50)), (50, "m", None), (51, None, [1]), (52, "m", [1, None]), (53, "z", [1])], "h int, manual_id string, pages array<int>")
+    with_ = figures.with_figures(hits, found, ["h"])
+    got = {r.h: [f.figure_id for f in r.figures] for r in with_.collect()}
+    both = [["m:1:1", "m:1:2"], ["m:2:1", "m:2:2"]]
+    assert got == {**{i: both[1] + both[0] + both[1] for i in range(50)}, 50: [], 51: [], 52: both[0], 53: []} and with_.columns == [*hits.columns, "figures"]
+    plan = with_._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    listed = next(k for k, line in enumerate(plan) if "Generate posexplode" in line)
+    assert any("Aggregate [manual_id" in line for line in plan[listed + 1 : listed + 3])  # of distinct pages, not of hits
+
+
 def test_answers(spark):
     hits = spark.createDataFrame([(1, 1, "S", "uno\ndos\nuno"), (1, 2, "", "dos\ntres"), (1, 3, None, "tres")], "question_id int, rank int, section string, text string")
     kept = answers.seen(hits)
