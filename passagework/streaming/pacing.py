@@ -4,7 +4,8 @@ The ledger of what was sent in the last window lives in the stream's state, one
 for each budget, and not in the tasks that send. So it holds over all of them,
 and a task, a query or a driver that starts again finds it as it was left. A
 budget is one order of events, so its requests pass one task, as numbers alone:
-who, when and how many. Budgets run beside each other.
+who, when and how many. Budgets run beside each other. Where texts themselves are
+sent, the budget is cut into shares, each with a ledger of its own.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def paced(requests: DataFrame, by: str, key: str, at: str = "ts", count: str = "
 
 
 class Sender(StatefulProcessor):
-    """Sends a budget's texts to a service, in requests, and waits before each until the ledger lets it go."""
+    """Sends a share's texts to a service, in requests, and waits before each until the ledger lets it go."""
 
     def __init__(self, call: Call, task: str, rate: int, window: int, margin: int, most: int):
         self.call, self.task, self.limits, self.most = call, task, (rate, window, margin), most
@@ -120,18 +121,21 @@ class Sender(StatefulProcessor):
         pass
 
 
-def embedded(texts: DataFrame, key: str, kind: str, call: Call, text: str = "text", rate: int = RATE, window: float = WINDOW, margin: float = MARGIN, most: int = BATCH) -> DataFrame:
+def embedded(texts: DataFrame, key: str, kind: str, call: Call, text: str = "text", rate: int = RATE, window: float = WINDOW, margin: float = MARGIN, most: int = BATCH, senders: int = 4) -> DataFrame:
     """(key, vector) of a stream of texts, sent under one budget whatever else runs on the cluster.
 
-    What the service allows is the bottleneck, so one task sends, and the
-    ledger in its state tells the next batch, or the query that goes on after a
-    restart, what was sent in the last window. A null text is sent as an empty
-    one. ``remote.embedded`` is the same for a table, where tasks that run at
-    once each have a share of the rate.
+    The budget is dealt out over ``senders`` in equal shares, so no task is
+    handed all texts. A text's sender follows from its key. A sender's ledger is
+    in its state, so the next batch, or the query that goes on after a restart,
+    is told what it sent in the last window. More senders than the cluster has
+    cores, or than there is rate, leave shares unused. A null text is sent as
+    an empty one. ``remote.embedded`` is the same for a table.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; expected one of {sorted(KINDS)}")
-    rows = texts.select(F.lit(0).alias("budget"), F.col(key).alias("request"), F.col(text).cast("string").alias("text"))
-    sender = Sender(call, KINDS[kind], rate, int(window * SECOND), int(margin * SECOND), min(most, rate))
+    senders = max(min(senders, rate), 1)  # a share is one text at least, and all together keep to the rate
+    share = rate // senders
+    rows = texts.select(F.pmod(F.xxhash64(F.col(key)), F.lit(senders)).cast("int").alias("budget"), F.col(key).alias("request"), F.col(text).cast("string").alias("text"))
+    sender = Sender(call, KINDS[kind], share, int(window * SECOND), int(margin * SECOND), min(most, share))
     out = rows.groupBy("budget").transformWithStateInPandas(statefulProcessor=sender, outputStructType=f"request {rows.schema['request'].dataType.simpleString()}, vector array<float>", outputMode="Append", timeMode="None")
     return out.select(F.col("request").alias(key), "vector")

@@ -122,3 +122,16 @@ def test_texts_are_sent_under_one_budget_over_restarts(spark):
     assert all(sum(t <= u < t + 2.9 for u in times) <= 8 for t in times)
     with pytest.raises(ValueError, match="unknown kind"):
         pacing.embedded(rows, "id", "other", service)
+
+
+def test_texts_are_dealt_out_to_senders_that_together_keep_to_the_rate(spark):
+    """The service answers with its task and time: many tasks send, and no window holds more than the rate, even one of fewer texts than senders."""
+    from pyspark import TaskContext
+
+    service = lambda texts, task: [[TaskContext.get().partitionId(), time.time() % 100_000] for _ in texts]
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "id long, text string")
+    out = base.streamed([rows], lambda s: pacing.embedded(s, "id", "query", service, rate=1 << 20, senders=16)).collect()
+    assert sorted(r.id for r in out) == list(range(40)) and len({r.vector[0] for r in out}) > 1
+    out = base.streamed([rows.where("id < 9")], lambda s: pacing.embedded(s, "id", "query", service, rate=3, window=2.0, margin=0.2, senders=16)).collect()
+    times = [round(r.vector[1], 2) for r in out]
+    assert len(times) == 9 and all(sum(t <= u < t + 1.9 for u in times) <= 3 for t in times)
