@@ -13,8 +13,7 @@ import json
 import pickle
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -23,7 +22,7 @@ HELD = "held binary"
 
 
 class InTurn(StatefulProcessor):
-    """A processor of numbered pieces that a subclass takes one by one, in order, into ``self.now``, what it knows of the reply."""
+    """A processor of numbered pieces that a subclass takes one by one, in order, into ``now``, what it knows of the reply. Its rows are the reply, when it arrived, the number, the moment, and the piece."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -43,34 +42,38 @@ class InTurn(StatefulProcessor):
         """The rows that a reply gives from which nothing came in time."""
         return []
 
-    def shown(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=self.columns)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        now = pickle.loads(self.kept.get()[0]) if self.kept.exists() else {"next": 0, "waiting": {}, "last": 0, "ended": False, **self.fresh()}
-        for frame in rows:
-            for number, at, *piece in frame[self.taken].astype(object).where(frame[self.taken].notna(), None).itertuples(index=False):
-                now["last"] = max(now["last"], int(at))
-                if number >= now["next"]:
-                    now["waiting"].setdefault(int(number), tuple(piece))  # a piece that comes twice counts once
+    def shown(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
+        shape = Row(*self.columns)
+        return (shape(key[0], *r) for r in rows)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.kept.get()
+        now = pickle.loads(held[0]) if held else {"next": 0, "waiting": {}, "last": 0, "ended": False, "timer": None, **self.fresh()}
+        for _, _, number, at, *piece in rows:
+            now["last"] = max(now["last"], at)
+            if number >= now["next"]:
+                now["waiting"].setdefault(number, tuple(piece))  # a piece that comes twice counts once
         out: list[tuple] = []
         while not now["ended"] and now["next"] in now["waiting"]:
             out += self.take(now, now["waiting"].pop(now["next"]))
             now["next"] += 1
         if now["ended"]:
             now["waiting"] = {}
+        due = now["last"] + self.timeout_ms
+        if now.get("timer") != due:  # each call asks the JVM, so the timer is known from the state
+            for timer in [now["timer"]] if "timer" in now else list(self.handle.listTimers()):
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            now["timer"] = due
         self.kept.update((pickle.dumps(now),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(now["last"] + self.timeout_ms)
-        if out:
-            yield self.shown(key, out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = pickle.loads(self.kept.get()[0]) if self.kept.exists() else {"ended": True}
+        return self.shown(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        held = self.kept.get()
+        now = pickle.loads(held[0]) if held else {"ended": True}
         self.kept.clear()
-        if not now["ended"] and (out := self.stalled(now)):
-            yield self.shown(key, out)
+        return self.shown(key, [] if now["ended"] else self.stalled(now))
 
     def close(self) -> None:
         pass
@@ -79,7 +82,7 @@ class InTurn(StatefulProcessor):
 class Lines(InTurn):
     """Bytes to the data of their lines: a line may be cut anywhere, within a letter too. No bytes (null) say that the reply is closed, which ends its last line."""
 
-    taken, columns = ["n", "moment", "chunk"], ["reply_id", "seq", "body"]
+    columns = ["reply_id", "seq", "body"]
 
     def fresh(self) -> dict:
         return {"tail": b"", "seq": 0}
@@ -100,7 +103,7 @@ class Lines(InTurn):
 class Events(InTurn):
     """Pieces to events: hits once, a token for each piece with text, and then exactly one end, also if nothing more comes."""
 
-    taken, columns = ["seq", "moment", "kind", "text", "finish", "tokens"], ["reply_id", "seq", "event", "payload"]
+    columns = ["reply_id", "seq", "event", "payload"]
 
     def __init__(self, timeout_ms: int, model: str):
         super().__init__(timeout_ms)
@@ -146,8 +149,8 @@ def data_lines(chunks: DataFrame, at: str = "at", timeout: int = 120, late: str
     Bytes that are no UTF-8 are shown as U+FFFD. What a reply that isn't closed
     leaves in an unfinished line is never shown; it is forgotten after timeout.
     """
-    rows = _timed(chunks, at, late).select("reply_id", "n", "arrived", "moment", "chunk")
-    return rows.groupBy("reply_id").transformWithStateInPandas(statefulProcessor=Lines(timeout * 1000), outputStructType=f"reply_id {rows.schema['reply_id'].dataType.simpleString()}, seq long, body string", outputMode="Append", timeMode="EventTime")
+    rows = _timed(chunks, at, late).select("reply_id", "arrived", F.col("n").cast("long").alias("n"), "moment", "chunk")
+    return rows.groupBy("reply_id").transformWithState(statefulProcessor=Lines(timeout * 1000), outputStructType=f"reply_id {rows.schema['reply_id'].dataType.simpleString()}, seq long, body string", outputMode="Append", timeMode="EventTime")
 
 
 def reply_events(pieces: DataFrame, model: str, at: str = "at", timeout: int = 120, late: str = "1 hour") -> DataFrame:
@@ -158,5 +161,5 @@ def reply_events(pieces: DataFrame, model: str, at: str = "at", timeout: int = 1
     nothing has come for ``timeout`` seconds, by the stream's own time, ends with
     an error; what comes of it later is not shown.
     """
-    rows = _timed(pieces, at, late).select("reply_id", "seq", "arrived", "moment", "kind", "text", "finish", F.col("tokens").cast("long").alias("tokens"))
-    return rows.groupBy("reply_id").transformWithStateInPandas(statefulProcessor=Events(timeout * 1000, model), outputStructType=f"reply_id {rows.schema['reply_id'].dataType.simpleString()}, seq long, event string, payload string", outputMode="Append", timeMode="EventTime")
+    rows = _timed(pieces, at, late).select("reply_id", "arrived", F.col("seq").cast("long").alias("seq"), "moment", "kind", "text", "finish", F.col("tokens").cast("long").alias("tokens"))
+    return rows.groupBy("reply_id").transformWithState(statefulProcessor=Events(timeout * 1000, model), outputStructType=f"reply_id {rows.schema['reply_id'].dataType.simpleString()}, seq long, event string, payload string", outputMode="Append", timeMode="EventTime")

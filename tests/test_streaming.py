@@ -84,6 +84,37 @@ def test_lines_are_the_same_however_bytes_are_cut(spark, seed):
     assert sorted(r.seq for r in out if r.reply_id == "b") == [1, 2, 3, 4, 5]
 
 
+def test_a_reply_asks_for_its_state_once_and_moves_its_timer_only_if_that_changes():
+    """Each such call waits for the JVM; replies are many and short."""
+    calls = []
+
+    class Handle:
+        held = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+        def deleteTimer(self, at):
+            calls.append(("gone", at))
+
+    lines = replies.Lines(1000)
+    lines.init(Handle())
+    got = [list(lines.handleInputRows(("r",), iter(rows), None)) for rows in ([("r", None, 1, 5, b"ta: x\n")], [("r", None, 0, 5, b"da")], [("r", None, 2, 9, None)])]
+    assert [[tuple(r) for r in rows] for rows in got] == [[], [("r", 1, "x")], []]
+    assert calls == ["get", ("timer", 1005), "update", "get", "update", "get", ("gone", 1005), ("timer", 1009), "update"]
+
+
 def test_each_reply_ends_once(spark):
     piece = lambda r, seq, kind, text=None, finish=None, tokens=None, t=0: (r, seq, kind, text, finish, tokens, 1_700_000_000 + t)
     rows = [
