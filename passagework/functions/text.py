@@ -6,7 +6,9 @@ white space carry ``(?U)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 NON_TEXT = r"[\uE000-\uF8FF\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 DOTTED = r"(?U)\.\s*\.\s*\.\s*\."
 PAGE_NUMBER = r"\A[0-9]{1,4}\z"
-BULLET = r"(?U)\A\s*[●▪•–-]\s*"
+BULLETS = "●▪•–-"
+BULLET = rf"(?U)\A\s*[{BULLETS}]\s*"
 FIGURE_CAPTION = r"(?U)\AFig\.\s*\d"
-GLYPHS = r"[›»⇒]+"
+GLYPH = "›»⇒"
+GLYPHS = rf"[{GLYPH}]+"
 #: A reference from its noun on. The first part is what most positions fail at, at little cost.
 PAGE_NUMBERED = r"(?iU)(?=p)\bp[áa]g(?:ina|s)?\b\.?\s*(\d{1,4})"
 NUMBER_AT_START = r"(?U)\A\d{1,4}"
@@ -29,6 +33,9 @@ LEAD_BACKWARDS = (
 )
 FIGURE_REFERENCE = r"(?iU)(?=f)\bfig\.?\s*(\d{1,4})"
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space on a line other than the two kinds of space; of the second, all begin with the bytes E2 80.
+RARE_SPACE = "\t\x0b\x0c\r\x85\u1680\u205f\u3000"
+SPACES_E280 = "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f"
 ACCENTED = "áéíóúüñÁÉÍÓÚÜÑ¡¿"
 
 MARK = "\u0000"  # cannot occur once a text is cleaned
@@ -39,6 +46,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
+def has_any(c: Column, parts: Iterable[str]) -> Column:
+    """Holds one of the parts. A plain search costs a small part of what an expression does, so it goes before those that few texts need."""
+    return reduce(or_, (c.contains(p) for p in parts))
+
+
 def clean(c: Column) -> Column:
     """Private-use and control characters as spaces."""
     return F.regexp_replace(c, NON_TEXT, " ")
@@ -63,9 +75,13 @@ def is_title(line: Column) -> Column:
 
 
 def rejoin_hyphens(c: Column) -> Column:
-    """Words split over lines made whole, in one pass; a compound with a capital keeps its hyphen."""
-    marked = F.regexp_replace(c, r"(?U)(\w)-\n(\w)", "$1" + MARK + "$2")
-    return F.regexp_replace(F.regexp_replace(marked, MARK + r"(?=\p{Lu})", "-"), MARK, "")
+    """Words split over lines made whole, in one pass; a compound with a capital keeps its hyphen.
+
+    A letter joins on one side only: of a-, b-, c on lines of their own, b joins
+    a and c stays.
+    """
+    marked = F.regexp_replace(c, r"(?U)-\n(?<=\w{1,2}-\n)(\w(?:-\n)?)", MARK + "$1")  # from its fixed part on; a letter may be two units long
+    return F.replace(F.regexp_replace(marked, MARK + r"(?=\p{Lu})", "-"), F.lit(MARK), F.lit(""))
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -80,13 +96,22 @@ def _distinct_numbers(found: Column) -> Column:
 
 def figure_references(c: Column) -> Column:
     """Figures named in a text from which page references are gone."""
-    return _distinct_numbers(F.regexp_extract_all(c, F.lit(FIGURE_REFERENCE), F.lit(1)))
+    # The other two letters i are read as one where case doesn't count.
+    found = F.when(~has_any(F.lower(c), ["fig"]) & ~has_any(c, "ıİ"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(c, F.lit(FIGURE_REFERENCE), F.lit(1)))
+    return _distinct_numbers(found)
 
 
 def tidy(c: Column) -> Column:
     """Glyphs and hard spaces as one space, no blank lines."""
-    plain = F.when(c.rlike(GLYPHS), F.regexp_replace(c, r"(?U)[^\S\n]*" + GLYPHS + r"[^\S\n]*", " ")).otherwise(c)
-    narrow = F.regexp_replace(F.translate(plain, "\u00a0", " "), r"(?U)[^\S\n]{2,}", " ")
+    spaced = c
+    for glyph in GLYPH + "\u00a0":
+        spaced = F.replace(spaced, F.lit(glyph), F.lit(" "))
+
+    def narrowed(x: Column) -> Column:
+        rare = has_any(x, RARE_SPACE) | (F.contains(x.cast("binary"), F.lit(b"\xe2\x80")) & has_any(x, SPACES_E280))
+        return F.when(rare, F.regexp_replace(x, r"(?U)[^\S\n]{2,}", " ")).when(x.contains("  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
+
+    narrow = let(spaced, narrowed)
     return F.array_join(F.filter(F.transform(F.split(narrow, "\n"), strip), lambda x: x != ""), "\n")
 
 
@@ -97,7 +122,7 @@ def strip_references(c: Column) -> Column:
     begin with. The words that lead up to it are then taken off the end of the
     text before, read backwards; its number heads the text after.
     """
-    marked = F.split(F.regexp_replace(c, PAGE_NUMBERED, MARK + "$1"), MARK)
+    marked = F.when(~has_any(F.lower(c), ["pag", "pág"]), F.array(c)).otherwise(F.split(F.regexp_replace(c, PAGE_NUMBERED, MARK + "$1"), MARK))
     bare = lambda p, i, n: F.when(i < n - 1, F.reverse(F.regexp_replace(F.reverse(p), LEAD_BACKWARDS, ""))).otherwise(p)
     behind = lambda p, i: F.when(i > 0, F.regexp_replace(p, NUMBER_AT_START, "")).otherwise(p)
 

@@ -71,9 +71,10 @@ def split_long(text: Column, target: int = TARGET) -> Column:
 
 
 def units(pages: DataFrame, target: int = TARGET, stored: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """(manual_id, run, ord, para, piece, page, printed, section, text): what is packed, by runs of one section. Lines are used three times: for heads, for marks and for the text; stored: see ``passages``."""
+    """(manual_id, run, ord, para, piece, page, printed, section, text): what is packed, by runs of one section. Lines are used for the text alone, their edges for heads and marks; stored: see ``passages``."""
     rows = stored(P.page_rows(pages))
-    held = P.section_runs(P.sections(P.marks(rows, P.chrome(rows))))
+    marks = stored(P.marks(rows, stored(P.chrome(rows))))
+    held = P.section_runs(stored(P.sections(marks)))
     text = P.paragraphs(P.with_body(rows, held), "printed", "section", "run")
     return text.select("manual_id", "run", "ord", "para", "page", "printed", "section", F.posexplode_outer(split_long(F.col("text"), target)).alias("piece", "text"))  # no filter on what Python gives
 
@@ -290,13 +291,14 @@ def pack(rows: DataFrame, by: list[str], order: list[str], size: str, section: s
 def passages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, stored: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """(chunk_id, manual_id, ord, section, pages, printed, refs, figures, text) of the pages' manuals.
 
-    Units are used twice, for their lengths and for their texts. stored: what
-    writes a table and reads it again, so that they are made but once.
+    Units are used twice, for their lengths and for their texts, and so are
+    marks, sections and packed units. stored: what writes a table and reads it
+    again, so that each is made but once.
     """
     order = ["ord", "para", "piece"]
     found = stored(units(pages, target, stored))
     sized = found.select("manual_id", "run", *order, "section", F.char_length("text").alias("size"))
-    packed = pack(sized, ["manual_id", "run"], order, "size", "section", target, overlap)
+    packed = stored(pack(sized, ["manual_id", "run"], order, "size", "section", target, overlap))
     counts = packed.groupBy("manual_id", "run").agg((F.max("chunk") + 1).alias("n"))
     numbered = packed.join(P.running_total(counts, "manual_id", "run", "n", "before").drop("n"), ["manual_id", "run"])
     numbered = numbered.withColumn("chunk", (F.col("before") + F.col("chunk")).cast("int")).drop("before", "run")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from passagework.operators import answers, catalogue, figures, pages, passages, quality, ranking, routes, vectors
 from passagework.plans import queries
+from passagework.scratch import stored
 
 CATALOGUE = "entry_ord long, brand string, model array<string>, year array<string>, edition array<string>, url string"
 ENTRIES = [
@@ -177,6 +178,35 @@ def test_passages_of_changing_sections_equal_brute_force(spark):
         assert got[m] == [(k, units[g[0]].section, "\n".join(units[i].text for i in g)) for k, g in enumerate(groups)]
 
 
+def test_runs_of_a_section_over_blocks(spark):
+    rng = random.Random(3)
+    rows = [(m, o, rng.choice([None, "a", "b"]), rng.choice([0, 1, 1])) for m in "mn" for o in sorted(rng.sample(range(400), 150))]
+    rows = [(m, o, s, n) if rng.random() < 0.3 else (m, o, "a", n) for m, o, s, n in rows]
+    want, before = {}, {}
+    for m, o, s, n in rows:
+        if n:
+            if m not in before or before[m][0] != s:
+                before[m] = (s, o)
+            want[m, o] = before[m][1]
+    frame = spark.createDataFrame(rows, "manual_id string, ord long, section string, n_body int")
+    for block in (1, 7, 60, 1000):
+        assert {(r.manual_id, r.ord): r.run for r in pages.section_runs(frame, block=block).collect()} == want
+
+
+def test_what_is_used_twice_is_stored_once(spark):
+    held = []
+
+    def keep(d):
+        held.append(set(d.columns))
+        return stored(d)
+
+    got = passages.passages(manual(spark), target=200, overlap=0, stored=keep).collect()
+    assert sorted(got) == sorted(passages.passages(manual(spark), target=200, overlap=0).collect())
+    for made in ({"lines", "edges", "nav"}, {"gone", "head"}, {"section", "n_body"}, {"text", "piece"}, {"chunk", "at"}):
+        assert sum(made <= c for c in held) >= 1, made
+    assert not any("lines" in c and "gone" in c for c in held)
+
+
 def test_search_refuses_a_stale_index(spark):
     chunks = spark.createDataFrame([("m", 0, "uno"), ("m", 1, "dos"), ("m", 2, "tres"), ("m", 3, "x")], "manual_id string, ord int, text string")
     index = spark.createDataFrame([("m", 0, [1.0, 0.0]), ("m", 1, [0.6, 0.8]), ("m", 2, [0.0, 1.0]), ("m", 3, [-1.0, 0.0])], "manual_id string, ord int, vector array<float>")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.functions.vectors import dot, norm, unit
+from passagework.operators import pages as P
 
 
 def column(spark, values, *exprs):
@@ -58,6 +59,18 @@ def test_hyphens_join_in_one_pass(spark):
     assert [r[0] for r in column(spark, given, T.rejoin_hyphens(F.col("t")))] == want
 
 
+def test_plain_searches_miss_no_text_that_an_expression_finds(spark):
+    assert column(spark, ["𝒜-\nb-\nc-\nd", "-\na"], T.rejoin_hyphens(F.col("t"))) == [("𝒜b-\ncd",), ("-\na",)]
+    rare = [f"a {x}b" for x in T.RARE_SPACE + T.SPACES_E280 + "\u00a0 ›"]
+    assert {r[0] for r in column(spark, [*rare, "a\t\u2009b", "a»⇒b"], T.tidy(F.col("t")))} == {"a b"}
+    found = column(spark, ["f\u0131g. 3", "F\u0130G 4", "FiG.5", "higo 6"], T.figure_references(F.col("t")))
+    assert found == [([3],), ([4],), ([5],), ([],)]
+    named = column(spark, ["x pAg. 7 y", "VER LA PÁGINA 8", "página", "nada"], T.strip_references(F.col("t")))
+    assert [(r[0].text, r[0].refs) for r in named] == [("x y", [7]), ("", [8]), ("página", []), ("nada", [])]
+    bullets = column(spark, ["•a\n- b.\nc\nFig. 3\nd-e"], P.paragraphs_of(F.split("t", "\n")))
+    assert bullets == [(["", "- a", "- b.", "c", "Fig. 3 d-e"],)]
+
+
 def test_lines_and_predicates(spark):
     ((lines,),) = column(spark, ["  a \x07b \n\n  \nc\td\r\n"], T.lines_of(F.col("t")))
     assert lines == ["a  b", "c\td"]
