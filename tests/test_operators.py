@@ -362,6 +362,22 @@ def test_many_alike_searches_are_looked_up_once_and_nothing_large_is_broadcast(s
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_what_searches_find_is_small_in_files_and_whole_in_any_blocks(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("B", f"Uno {i}", "2020", "06.22") for i in range(60)], "brand string, model string, year string, edition string")
+    many = spark.range(40_000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "uno").otherwise("uno 59").alias("query"))
+    catalogue.search_many(catalogue.search_index(rows), many).select("query_id", "model").write.parquet(str(tmp_path / "found"))
+    found = spark.read.parquet(str(tmp_path / "found"))
+    assert found.count() == found.distinct().count() == 20_000 * 61
+    assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < 20_000 * 61 / 2
+
+    for name, n in (("TOGETHER", 3), ("SHARE", 7), ("GROUP", 11), ("TOLD", 200)):
+        monkeypatch.setattr(catalogue, name, n)
+    asked = [(i, ("", "b UNO", "uno 1", "no such thing", "uno 2 4")[i % 5]) for i in range(200)]
+    got = catalogue.search_many(catalogue.search_index(rows), spark.createDataFrame(asked, "query_id int, query string")).select("query_id", "model").collect()
+    want = {q: [r.model for r in catalogue.search(rows, F.lit(q)).collect()] for _, q in asked}
+    assert sorted(map(tuple, got)) == sorted((i, m) for i, q in asked for m in want[q])
+
+
 def clustered(rng, centres, n, dims, spread):
     at = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(centres)]
     return [[c + rng.gauss(0, spread) for c in at[i % centres]] for i in range(n)]
